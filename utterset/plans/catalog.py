@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_label_id,
                               text_prefix, token_estimate, trim_to_tokens)
-from ..operators import audit, evaluate, rules, split
+from ..operators import audit, evaluate, generate, labels, merge, rules, split
 from ..operators.dedup import clean_questions
 from ..session import table
 from ..sources import tables
@@ -185,6 +185,82 @@ def eval_top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.top_confusions(_lang_pairs(spark, sf_dir), k=5)
 
 
+
+# --- generation -------------------------------------------------------------
+
+def _n_per_label(spark, sf_dir) -> int:
+    """Samples per label = user turns in the question log (grows with the data)."""
+    return tables.question_log(spark, sf_dir).count()
+
+
+def generate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.generate(spark, _n_per_label(spark, sf_dir), seed=SEED)
+
+
+def generate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = generate.generate(spark, _n_per_label(spark, sf_dir), seed=SEED)
+    return g.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  F.countDistinct("text").alias("distinct_texts"),
+                                  F.min(F.length("text")).alias("min_len"),
+                                  F.max(F.length("text")).alias("max_len"))
+
+
+def generate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = generate.generate(spark, _n_per_label(spark, sf_dir), seed=SEED)
+    return split.per_label_prefix_split(g, "label", "sample_idx", seed=SEED).select("label", "sample_idx", "split")
+
+
+# --- merge and label dictionaries -------------------------------------------
+
+def _two_generations(spark, sf_dir):
+    d = tables.source_labelled(spark, sf_dir)
+    old = split.per_label_prefix_split(d, "label", "doc_id", seed=SEED)
+    new = split.per_label_prefix_split(d, "label", "doc_id", seed=7)
+    return old, new
+
+
+def merge_existing_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _two_generations(spark, sf_dir)
+    return merge.merge_splits(old, new, pos_col="doc_id").select("split", "doc_id", "label", "origin")
+
+
+def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _two_generations(spark, sf_dir)
+    merged = merge.merge_splits(old, new, pos_col="doc_id")
+    return merge.merge_stats(old, new, merged)
+
+
+def label_index_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.labelled_set(spark, sf_dir)
+    existing = labels.label_index(d.filter(F.col("label").startswith("Q1")))
+    return labels.extend_label_index(existing, d)
+
+
+def label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label_id"),
+                                                 F.col("lang").alias("label_name"))
+    return labels.label_map_last_wins(d, "label_id", "label_name", "doc_id")
+
+
+def label_map_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label_id"),
+                                                 F.col("lang").alias("label_name"))
+    return labels.inverse_map_last_wins(d, "label_id", "label_name", "doc_id")
+
+
+KNOWN_LANGS = ["DE", "EN", "FR"]
+
+
+def unknown_labels_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = labels.normalize_labels(table(spark, sf_dir, "documents").select(F.col("lang").alias("label")))
+    known = spark.createDataFrame([(x,) for x in KNOWN_LANGS], "label STRING")
+    return labels.unknown_labels(d, known)
+
+
+def label_ids_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.labelled_set(spark, sf_dir)
+    return labels.attach_label_ids(d, labels.label_index(d)).select("doc_id", "label", "label_idx")
+
 QUERIES = {
     "clean_dedup_questions": clean_dedup_questions,
     "rule_intent_counts": rule_intent_counts,
@@ -210,4 +286,14 @@ QUERIES = {
     "eval_confusion": eval_confusion,
     "eval_confidence": eval_confidence,
     "eval_top_confusions": eval_top_confusions,
+    "generate_samples": generate_samples,
+    "generate_stats": generate_stats,
+    "generate_split": generate_split,
+    "merge_existing_new": merge_existing_new,
+    "merge_report": merge_report,
+    "label_index_extend": label_index_extend,
+    "label_map": label_map,
+    "label_map_inverse": label_map_inverse,
+    "unknown_labels_lang": unknown_labels_lang,
+    "label_ids_labelled": label_ids_labelled,
 }

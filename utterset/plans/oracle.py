@@ -7,6 +7,7 @@ portable forms documented in ``functions/hashing.py`` and ``functions/text.py``.
 
 from __future__ import annotations
 
+from ..functions.templates import LABEL_ORDER, TEMPLATE_SETS
 from ..operators import rules as R
 from . import catalog as C
 
@@ -36,8 +37,8 @@ def u32(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', '{SEED}', {', '.join(parts)})), 1, 8))::BIGINT"
 
 
-def okey(*keys: str) -> str:
-    return f"sha1(concat_ws('|', '{SEED}', {', '.join(keys)}))"
+def okey(*keys: str, seed=SEED) -> str:
+    return f"sha1(concat_ws('|', '{seed}', {', '.join(keys)}))"
 
 
 def SRC_POS() -> str:
@@ -241,3 +242,83 @@ SELECT pred AS label, count(*) AS n, round(avg(confidence), 6) AS mean_confidenc
     "eval_top_confusions": f"""WITH {lang_scored()}, {LANG_PAIRS}
 SELECT y, pred, count(*) AS n FROM lp WHERE y <> pred GROUP BY y, pred ORDER BY n DESC, y, pred LIMIT 5""",
 }
+
+
+def _gen_cte() -> str:
+    """CTE ``gen(label, sample_idx, grp, text)``: the template generator in SQL."""
+    labs = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(LABEL_ORDER))
+    h = lambda slot: u32("label", "CAST(sample_idx AS VARCHAR)", slot)
+    grp_arms, text_arms = [], []
+    for lab in LABEL_ORDER:
+        groups = TEMPLATE_SETS[lab]
+        g_n = len(groups)
+        if g_n > 1:
+            grp_arms.append(f"WHEN label = {q(lab)} THEN CASE WHEN sample_idx < {g_n} * greatest(1, n // {g_n}) "
+                            f"THEN sample_idx // greatest(1, n // {g_n}) ELSE {h(q('group'))} % {g_n} END")
+        for g, (tmpls, vocab) in enumerate(groups):
+            arr = "[" + ", ".join(q(t) for t in tmpls) + "]"
+            expr = f"{arr}[({h(q('template'))} % {len(tmpls)}) + 1]"
+            for slot, vals in vocab.items():
+                varr = "[" + ", ".join(q(v) for v in vals) + "]"
+                expr = f"replace({expr}, {q('{' + slot + '}')}, {varr}[({h(q('slot:' + slot))} % {len(vals)}) + 1])"
+            text_arms.append(f"WHEN label = {q(lab)} AND grp = {g} THEN {expr}")
+    return f"""
+gn AS (SELECT count(*) AS n FROM conversations WHERE role = 'user'),
+gl(label_idx, label) AS (VALUES {labs}),
+gi AS (SELECT gl.label, unnest(range(0, gn.n)) AS sample_idx, gn.n AS n FROM gl, gn),
+gg AS (SELECT label, sample_idx, n, CASE {' '.join(grp_arms)} ELSE 0 END AS grp FROM gi),
+gen AS (SELECT label, sample_idx, grp, CASE {' '.join(text_arms)} END AS text FROM gg)"""
+
+
+def _prefix_split(seed: int) -> str:
+    return f"""(WITH sc AS (SELECT source AS label, count(*) AS n_c FROM documents GROUP BY source),
+rk AS (SELECT doc_id, text, source AS label,
+              row_number() OVER (PARTITION BY source ORDER BY {okey('source', 'doc_id', seed=seed)}, doc_id) AS r
+       FROM documents)
+SELECT doc_id, text, rk.label, CASE WHEN r <= CAST(floor(n_c * 0.8::DOUBLE) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+FROM rk JOIN sc ON rk.label = sc.label)"""
+
+
+MERGED = f"""
+me AS {_prefix_split(SEED)}, mn AS {_prefix_split(7)},
+mu AS (SELECT split, text, label, doc_id, 0 AS origin FROM me UNION ALL SELECT split, text, label, doc_id, 1 FROM mn),
+mm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, text, label ORDER BY origin, doc_id) AS rn
+                      FROM mu) WHERE rn = 1)"""
+
+LABEL_MAP_PAIRS = "lmp AS (SELECT source, lang, min(doc_id) AS f FROM documents GROUP BY source, lang)"
+
+ORACLES_2 = {
+    "generate_samples": f"WITH {_gen_cte()} SELECT label, sample_idx, grp, text FROM gen",
+    "generate_stats": f"""WITH {_gen_cte()}
+SELECT label, count(*) AS n, count(DISTINCT text) AS distinct_texts, min(length(text)) AS min_len,
+       max(length(text)) AS max_len FROM gen GROUP BY label""",
+    "generate_split": f"""WITH {_gen_cte()},
+sc AS (SELECT label, count(*) AS n_c FROM gen GROUP BY label),
+rk AS (SELECT label, sample_idx, row_number() OVER (PARTITION BY label
+        ORDER BY {okey('label', 'CAST(sample_idx AS VARCHAR)')}, sample_idx) AS r FROM gen)
+SELECT rk.label, sample_idx, CASE WHEN r <= CAST(floor(n_c * 0.8::DOUBLE) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+FROM rk JOIN sc ON rk.label = sc.label""",
+    "merge_existing_new": f"WITH {MERGED} SELECT split, doc_id, label, origin FROM mm",
+    "merge_report": f"""WITH {MERGED}
+SELECT e.split, e.existing, n.new, m.merged, e.existing + n.new - m.merged AS removed FROM
+ (SELECT split, count(*) AS existing FROM me GROUP BY split) e
+ JOIN (SELECT split, count(*) AS new FROM mn GROUP BY split) n ON e.split = n.split
+ JOIN (SELECT split, count(*) AS merged FROM mm GROUP BY split) m ON e.split = m.split""",
+    "label_index_extend": f"""WITH L AS ({LABELLED}),
+ex AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx
+       FROM (SELECT DISTINCT label FROM L WHERE label LIKE 'Q1%')),
+nw AS (SELECT DISTINCT label FROM L WHERE label NOT IN (SELECT label FROM ex))
+SELECT label, label_idx FROM ex
+UNION ALL SELECT label, CAST((SELECT coalesce(max(label_idx), -1) FROM ex) + row_number() OVER (ORDER BY label) AS INTEGER)
+FROM nw""",
+    "label_map": f"WITH {LABEL_MAP_PAIRS} SELECT source AS label_id, arg_max(lang, f) AS label_name FROM lmp GROUP BY source",
+    "label_map_inverse": f"""WITH {LABEL_MAP_PAIRS},
+fwd AS (SELECT source, arg_max(lang, f) AS name, min(f) AS idf FROM lmp GROUP BY source)
+SELECT name AS label_name, arg_max(source, idf) AS label_id FROM fwd GROUP BY name""",
+    "unknown_labels_lang": f"""SELECT upper({strip('lang')}) AS label, count(*) AS count FROM documents
+WHERE upper({strip('lang')}) NOT IN ('DE', 'EN', 'FR') GROUP BY 1""",
+    "label_ids_labelled": f"""WITH L AS ({LABELLED}),
+ix AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx FROM (SELECT DISTINCT label FROM L))
+SELECT doc_id, L.label, label_idx FROM L JOIN ix ON L.label = ix.label""",
+}
+ORACLES.update(ORACLES_2)
