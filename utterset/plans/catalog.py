@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_label_id,
                               text_prefix, token_estimate, trim_to_tokens)
-from ..operators import audit, evaluate, generate, labels, merge, rules, split
+from ..functions.replies import parse_reply, reply_error, reply_fields
+from ..operators import annotate, audit, evaluate, generate, labels, merge, prompt, rules, split
+from ..session import scratch_path
 from ..operators.dedup import clean_questions
 from ..session import table
 from ..sources import tables
@@ -261,6 +263,84 @@ def label_ids_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.labelled_set(spark, sf_dir)
     return labels.attach_label_ids(d, labels.label_index(d)).select("doc_id", "label", "label_idx")
 
+
+# --- replies, annotation, prompts ---------------------------------------------
+
+# Fixture expression (valid in Spark SQL and DuckDB): annotator replies in every
+# shape the parser must handle, made from the documents' own fields.
+REPLY_SQL = """CASE doc_id % 8
+ WHEN 0 THEN '{"label_id": "' || lang || '", "label_name": "' || source || '", "confidence": 0.' || CAST(doc_id % 97 + 3 AS STRING) || '}'
+ WHEN 1 THEN '```json' || chr(10) || '{"label_id": "' || lang || '", "confidence": 0.8}' || chr(10) || '```'
+ WHEN 2 THEN 'Sure, here it is: {"label_id": "' || upper(lang) || '", "label_name": "' || source || '"} Thanks!'
+ WHEN 3 THEN '{"label_id": "' || lang || '", "confidence": "0.75",}'
+ WHEN 4 THEN 'I cannot decide for ' || source
+ WHEN 5 THEN ''
+ WHEN 6 THEN '{"label_id": "' || lang || '", "confidence": "high"}'
+ ELSE CASE WHEN doc_id % 16 = 7 THEN '{"label_id": "' || lang || '", "confidence": true}'
+           ELSE '["' || lang || '"]' END END"""
+
+
+def parse_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(REPLY_SQL).alias("reply"))
+    d = d.withColumn("__v", parse_reply("reply"))
+    f = reply_fields(F.col("__v"))
+    d = d.withColumn("error", reply_error(F.col("reply"), F.col("__v")))
+    ok = F.col("error").isNull()
+    return d.select("doc_id",
+                    F.when(ok, f["label_id"]).otherwise(F.lit(annotate.FALLBACK_ID)).alias("label_id"),
+                    F.when(ok, f["label_name"]).otherwise(F.lit(annotate.FALLBACK_NAME)).alias("label_name"),
+                    F.when(ok, f["confidence"]).otherwise(F.lit(0.0)).alias("confidence"),
+                    "error")
+
+
+def lang_label_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label space derived from the data: one label per document language."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.countDistinct("source").alias("n_src")).select(
+        F.col("lang").alias("id"), F.col("lang").alias("name"),
+        F.concat(F.lit("Documents written in "), F.col("lang"), F.lit(" from "),
+                 F.col("n_src").cast("string"), F.lit(" sources.")).alias("description"))
+
+
+def render_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label_json = prompt.compact_label_space(lang_label_space(spark, sf_dir), order_col="id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prompt.with_prompts(d, label_json).select("doc_id", "cache_key", "prompt")
+
+
+def annotate_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two labelling runs sharing one cache: the training texts first, then
+    every text; the second run reuses cached labels and calls the annotator
+    only for the rest. Failed replies are neither cached nor reused."""
+    label_json = prompt.compact_label_space(lang_label_space(spark, sf_dir), order_col="id")
+    fn = annotate.keyword_annotator(LANG_RULES)
+    cache, errors = scratch_path(spark, "label-cache"), scratch_path(spark, "label-errors")
+    d = tables.source_labelled(spark, sf_dir)
+    train = split.per_label_prefix_split(d, "label", "doc_id", seed=SEED).filter("split = 'train'")
+    annotate.annotate(train.select("text").distinct(), fn, label_json, cache, errors, attempts=1).count()
+    out = annotate.annotate(d.select("text").distinct(), fn, label_json, cache, errors, attempts=1)
+    return out.select(F.sha1("text").alias("text_sha1"), "label_id", "label_name", "confidence", "from_cache")
+
+
+def pack_schema_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = clean_questions(tables.question_log(spark, sf_dir))
+    return prompt.pack_samples(q, order_col="src_pos")
+
+
+def pack_prompt_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return prompt.pack_samples(d, order_col="doc_id", group_cols=["lang"])
+
+
+TRIM_CONTEXT, TRIM_RESERVE = 512, 128
+
+
+def trim_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    u = F.concat(F.lit(prompt.SAMPLE_MARKER + "\n"), F.col("text"))
+    return d.select("doc_id", prompt.trim_prompt_to_fit(u, prompt.SCHEMA_SYS_PROMPT, TRIM_CONTEXT,
+                                                        TRIM_RESERVE).alias("prompt"))
+
 QUERIES = {
     "clean_dedup_questions": clean_dedup_questions,
     "rule_intent_counts": rule_intent_counts,
@@ -296,4 +376,10 @@ QUERIES = {
     "label_map_inverse": label_map_inverse,
     "unknown_labels_lang": unknown_labels_lang,
     "label_ids_labelled": label_ids_labelled,
+    "parse_replies": parse_replies,
+    "render_prompts": render_prompts,
+    "annotate_cached": annotate_cached,
+    "pack_schema_prompt": pack_schema_prompt,
+    "pack_prompt_by_lang": pack_prompt_by_lang,
+    "trim_prompts": trim_prompts,
 }

@@ -8,6 +8,8 @@ portable forms documented in ``functions/hashing.py`` and ``functions/text.py``.
 from __future__ import annotations
 
 from ..functions.templates import LABEL_ORDER, TEMPLATE_SETS
+from ..operators import annotate as A
+from ..operators import prompt as P
 from ..operators import rules as R
 from . import catalog as C
 
@@ -322,3 +324,113 @@ ix AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS
 SELECT doc_id, L.label, label_idx FROM L JOIN ix ON L.label = ix.label""",
 }
 ORACLES.update(ORACLES_2)
+
+
+def jq(x: str) -> str:
+    """JSON string literal of ``x`` (json.dumps escaping of the named characters)."""
+    e = x
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t"),
+                 ("chr(8)", "\\b"), ("chr(12)", "\\f")):
+        src = a if a.startswith("chr(") else q(a)
+        e = f"replace({e}, {src}, {q(b)})"
+    return f"('\"' || {e} || '\"')"
+
+
+LABEL_JSON_CTE = f"""
+ls AS (SELECT lang AS id, lang AS name,
+              'Documents written in ' || lang || ' from ' || CAST(count(DISTINCT source) AS VARCHAR) || ' sources.' AS description
+       FROM documents GROUP BY lang),
+lj AS (SELECT '{{"labels": [' || string_agg('{{"id": ' || {jq('substr(upper(id), 1, 80)')} || ', "name": ' ||
+              {jq('substr(name, 1, 80)')} || ', "description": ' || {jq('substr(description, 1, 180)')} || '}}',
+              ', ' ORDER BY id) || ']}}' AS label_json FROM ls)"""
+
+RP = "rp"
+PARSE_CTE = f"""
+rp0 AS (SELECT doc_id, {C.REPLY_SQL} AS reply FROM documents),
+rp1 AS (SELECT doc_id, reply, regexp_replace({strip('reply')}, '(?im)^```(?:json)?{WS}*|{WS}*```$', '', 'g') AS c FROM rp0),
+rp2 AS (SELECT *, instr(c, '{{') AS s, CASE WHEN instr(reverse(c), '}}') > 0 THEN length(c) - instr(reverse(c), '}}') + 1 ELSE 0 END AS e FROM rp1),
+rp3 AS (SELECT doc_id, reply, CASE WHEN s > 0 AND e > s THEN substr(c, s, e - s + 1) ELSE c END AS cand FROM rp2),
+rp4 AS (SELECT doc_id, reply, CASE WHEN json_valid(cand) THEN CAST(cand AS JSON)
+              WHEN json_valid(regexp_replace(cand, ',{WS}*([}}\]])', '\1', 'g'))
+              THEN CAST(regexp_replace(cand, ',{WS}*([}}\]])', '\1', 'g') AS JSON) END AS j FROM rp3),
+rp AS (SELECT doc_id,
+  CASE WHEN coalesce(length(reply), 0) = 0 THEN 'empty response' WHEN j IS NULL THEN 'invalid json'
+       WHEN json_type(j) <> 'OBJECT' THEN 'not a json object' END AS error,
+  upper(coalesce(json_extract_string(j, '$.label_id'), '')) AS lid,
+  coalesce(json_extract_string(j, '$.label_name'), '') AS lname,
+  CASE json_type(j, '$.confidence')
+       WHEN 'BOOLEAN' THEN CASE WHEN json_extract_string(j, '$.confidence') = 'true' THEN 1.0 ELSE 0.0 END
+       WHEN 'VARCHAR' THEN coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5)
+       WHEN 'DOUBLE' THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE)
+       WHEN 'BIGINT' THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE)
+       WHEN 'UBIGINT' THEN CAST(json_extract_string(j, '$.confidence') AS DOUBLE)
+       ELSE 0.5 END AS conf
+  FROM rp4)"""
+
+
+def _pack_consts():
+    tmpl = P.SCHEMA_USER_TMPL.replace("{max_labels}", "25")
+    budget = 8192 - 1024
+    fixed = len(tmpl) - len(P.SAMPLES_SLOT)
+    sys_tok = P.py_token_estimate(P.SCHEMA_SYS_PROMPT)
+    cap = max(0, ((budget - sys_tok - P.OVERHEAD_TOKENS) * 4 - fixed) // 4 + 1)
+    head, tail = tmpl.split(P.SAMPLES_SLOT)
+    return budget, fixed, sys_tok, min(400, cap), head, tail
+
+
+def _pack_sql(src: str, order: str, group: str | None) -> str:
+    budget, fixed, sys_tok, k, head, tail = _pack_consts()
+    part = f"PARTITION BY {group} " if group else ""
+    gsel = f"{group}, " if group else ""
+    return f"""WITH pk0 AS ({src}),
+pk1 AS (SELECT {gsel}{order} AS o, '- ' || substr(text, 1, 300) AS line,
+               row_number() OVER ({part}ORDER BY {order}) AS k FROM pk0),
+pk2 AS (SELECT *, sum(length(line)) OVER ({part}ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+        FROM pk1 WHERE k <= {k}),
+pk3 AS (SELECT * FROM pk2 WHERE {sys_tok} + greatest(1, ceil(({fixed} + run + k - 1) / 4)) + {P.OVERHEAD_TOKENS} <= {budget})
+SELECT {gsel}count(*) AS n_lines, {q(head)} || string_agg(line, chr(10) ORDER BY o) || {q(tail)} AS prompt
+FROM pk3 {"GROUP BY " + group if group else ""}"""
+
+
+def _trim_sql() -> str:
+    budget = C.TRIM_CONTEXT - C.TRIM_RESERVE
+    limit = budget - P.py_token_estimate(P.SCHEMA_SYS_PROMPT) - P.OVERHEAD_TOKENS
+    m = P.SAMPLE_MARKER
+    fits = lambda n: f"(greatest(1, ceil(({n}) / 4)) <= {limit})"
+    return f"""WITH t0 AS (SELECT doc_id, {q(m)} || chr(10) || text AS u FROM documents),
+t1 AS (SELECT doc_id, u, instr(u, {q(m)}) AS pos FROM t0),
+t2 AS (SELECT doc_id, u, pos, substr(u, 1, pos - 1 + {len(m)}) || chr(10) AS before,
+              substr(u, pos + {len(m)}) AS rest FROM t1),
+t3 AS (SELECT *, CASE WHEN length(rest) = 0 THEN []::VARCHAR[]
+                      WHEN suffix(rest, chr(10)) THEN string_split(rest, chr(10))[1:-2]
+                      ELSE string_split(rest, chr(10)) END AS parts FROM t2),
+t4 AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM t3),
+t5 AS (SELECT t4.doc_id, line, i, sum(length(line)) OVER (PARTITION BY t4.doc_id ORDER BY i) + i - 1 AS s,
+              length(t3.before) AS bl FROM t4 JOIN t3 ON t4.doc_id = t3.doc_id),
+t6 AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept FROM t5 WHERE {fits('bl + s')} GROUP BY doc_id),
+t7 AS (SELECT t3.doc_id, CASE WHEN {fits('length(u)')} THEN u WHEN pos > 0 THEN before || coalesce(kept, '') ELSE u END AS st
+       FROM t3 LEFT JOIN t6 ON t3.doc_id = t6.doc_id)
+SELECT doc_id, CASE WHEN {fits('length(st)')} THEN st ELSE substr(st, 1, {max(limit, 0) * 4}) END AS prompt FROM t7"""
+
+
+ORACLES_3 = {
+    "parse_replies": f"""WITH {PARSE_CTE}
+SELECT doc_id, CASE WHEN error IS NULL THEN lid ELSE {q(A.FALLBACK_ID)} END AS label_id,
+       CASE WHEN error IS NULL THEN lname ELSE {q(A.FALLBACK_NAME)} END AS label_name,
+       CASE WHEN error IS NULL THEN conf ELSE 0.0 END AS confidence, error FROM rp""",
+    "render_prompts": f"""WITH {LABEL_JSON_CTE}
+SELECT doc_id, sha1(text || label_json) AS cache_key,
+       {q(P.LABEL_USER_HEAD)} || label_json || {q(P.LABEL_USER_MID)} || text || {q(P.LABEL_USER_TAIL)} AS prompt
+FROM documents, lj""",
+    "annotate_cached": f"""WITH tr AS (SELECT DISTINCT text FROM {_prefix_split(SEED)} WHERE split = 'train'),
+al AS (SELECT DISTINCT text FROM documents),
+lb AS (SELECT text, {rule_case(C.LANG_RULES)} AS lab FROM al)
+SELECT sha1(text) AS text_sha1, CASE WHEN lab IS NULL THEN {q(A.FALLBACK_ID)} ELSE upper(lab) END AS label_id,
+       CASE WHEN lab IS NULL THEN {q(A.FALLBACK_NAME)} ELSE lab END AS label_name,
+       CASE WHEN lab IS NULL THEN 0.0 ELSE 0.9 END AS confidence,
+       (lab IS NOT NULL AND text IN (SELECT text FROM tr)) AS from_cache FROM lb""",
+    "pack_schema_prompt": _pack_sql(CLEAN_Q, "src_pos", None),
+    "pack_prompt_by_lang": _pack_sql("SELECT doc_id, lang, text FROM documents", "doc_id", "lang"),
+    "trim_prompts": _trim_sql(),
+}
+ORACLES.update(ORACLES_3)
