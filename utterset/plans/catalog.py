@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_label_id,
                               text_prefix, token_estimate, trim_to_tokens)
+from ..functions import probs
+from ..functions.hashing import order_key
 from ..functions.replies import parse_reply, reply_error, reply_fields
+from ..operators.rank import dense_sequence
 from ..operators import annotate, audit, evaluate, generate, labels, merge, prompt, rules, split
 from ..session import scratch_path
 from ..operators.dedup import clean_questions
@@ -341,6 +344,36 @@ def trim_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", prompt.trim_prompt_to_fit(u, prompt.SCHEMA_SYS_PROMPT, TRIM_CONTEXT,
                                                         TRIM_RESERVE).alias("prompt"))
 
+
+# --- arrays, sequences, samples ---------------------------------------------------
+
+def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = probs.with_softmax(table(spark, sf_dir, "embeddings"), "embedding", "p")
+    return e.select("vec_id", probs.argmax("embedding").alias("pred_idx"),
+                    F.round(F.array_max("p"), 4).alias("confidence"))
+
+
+def top2_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = probs.with_softmax(table(spark, sf_dir, "embeddings"), "embedding", "p")
+    t = e.select("vec_id", F.posexplode(probs.top_k("p", 2)).alias("pos", "item"))
+    return t.select("vec_id", (F.col("pos") + 1).alias("rank"), F.col("item.idx").alias("class_idx"),
+                    F.col("item.prob").alias("prob"))
+
+
+def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = clean_questions(tables.question_log(spark, sf_dir))
+    return dense_sequence(q, ["src_pos"], "id").select("id", "src_pos")
+
+
+def first_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = clean_questions(tables.question_log(spark, sf_dir))
+    return q.orderBy("src_pos").limit(400)
+
+
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return d.orderBy(order_key(SEED, "doc_id"), "doc_id").limit(200)
+
 QUERIES = {
     "clean_dedup_questions": clean_dedup_questions,
     "rule_intent_counts": rule_intent_counts,
@@ -382,4 +415,9 @@ QUERIES = {
     "pack_schema_prompt": pack_schema_prompt,
     "pack_prompt_by_lang": pack_prompt_by_lang,
     "trim_prompts": trim_prompts,
+    "softmax_argmax": softmax_argmax,
+    "top2_probs": top2_probs,
+    "sequence_ids": sequence_ids,
+    "first_questions": first_questions,
+    "seeded_sample": seeded_sample,
 }

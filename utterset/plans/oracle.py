@@ -434,3 +434,22 @@ SELECT sha1(text) AS text_sha1, CASE WHEN lab IS NULL THEN {q(A.FALLBACK_ID)} EL
     "trim_prompts": _trim_sql(),
 }
 ORACLES.update(ORACLES_3)
+
+
+SOFTMAX = """
+sm0 AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings),
+sm1 AS (SELECT vec_id, x, list_transform(x, lambda v: exp(v - list_max(x))) AS e FROM sm0),
+sm AS (SELECT vec_id, x, list_transform(e, lambda v: v / list_reduce(e, lambda a, b: a + b)) AS p FROM sm1)"""
+
+ORACLES_4 = {
+    "softmax_argmax": f"""WITH {SOFTMAX}
+SELECT vec_id, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS pred_idx, round(list_max(p), 4) AS confidence FROM sm""",
+    "top2_probs": f"""WITH {SOFTMAX},
+tk AS (SELECT vec_id, unnest(list_transform(p, lambda v: round(v, 4))) AS prob, generate_subscripts(p, 1) - 1 AS class_idx FROM sm),
+tr AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY prob DESC, class_idx) AS rank FROM tk)
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(class_idx AS INTEGER) AS class_idx, prob FROM tr WHERE rank <= 2""",
+    "sequence_ids": f"SELECT row_number() OVER (ORDER BY src_pos) AS id, src_pos FROM ({CLEAN_Q})",
+    "first_questions": f"SELECT src_pos, text FROM ({CLEAN_Q}) ORDER BY src_pos LIMIT 400",
+    "seeded_sample": f"SELECT doc_id FROM documents ORDER BY {okey('doc_id')}, doc_id LIMIT 200",
+}
+ORACLES.update(ORACLES_4)
