@@ -14,6 +14,7 @@ from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_l
 from ..functions import probs
 from ..functions.hashing import order_key
 from ..functions.replies import parse_reply, reply_error, reply_fields
+from ..operators.containment import contained_pairs
 from ..operators.rank import dense_sequence
 from ..operators import annotate, audit, evaluate, generate, labels, merge, prompt, rules, split
 from ..session import scratch_path
@@ -374,6 +375,19 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id")
     return d.orderBy(order_key(SEED, "doc_id"), "doc_id").limit(200)
 
+
+# --- held-out leakage ---------------------------------------------------------
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return contained_pairs(docs, items)
+
+
+def benchmark_leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = benchmark_leaks(spark, sf_dir)
+    return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
 QUERIES = {
     "clean_dedup_questions": clean_dedup_questions,
     "rule_intent_counts": rule_intent_counts,
@@ -420,4 +434,6 @@ QUERIES = {
     "sequence_ids": sequence_ids,
     "first_questions": first_questions,
     "seeded_sample": seeded_sample,
+    "benchmark_leaks": benchmark_leaks,
+    "benchmark_leak_counts": benchmark_leak_counts,
 }

@@ -453,3 +453,12 @@ SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(class_idx AS INTEGER) AS clas
     "seeded_sample": f"SELECT doc_id FROM documents ORDER BY {okey('doc_id')}, doc_id LIMIT 200",
 }
 ORACLES.update(ORACLES_4)
+
+
+ORACLES_5 = {
+    "benchmark_leaks": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON instr(d.text, b.text) > 0 "
+                       "WHERE length(b.text) > 0",
+    "benchmark_leak_counts": "SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d "
+                             "ON instr(d.text, b.text) > 0 WHERE length(b.text) > 0 GROUP BY b.item_id",
+}
+ORACLES.update(ORACLES_5)
