@@ -15,6 +15,7 @@ from ..functions import probs
 from ..functions.hashing import order_key
 from ..functions.replies import parse_reply, reply_error, reply_fields
 from ..operators.containment import contained_pairs
+from ..operators.neardup import near_duplicate_pairs
 from ..operators.rank import dense_sequence
 from ..operators import annotate, audit, evaluate, generate, labels, merge, prompt, rules, split
 from ..session import scratch_path
@@ -388,6 +389,30 @@ def benchmark_leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = benchmark_leaks(spark, sf_dir)
     return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
+
+# --- near duplicates (no SQL oracle: difflib; checked by brute force in tests) -----
+
+def _question_splits(spark, sf_dir):
+    q = clean_questions(tables.question_log(spark, sf_dir)).select(F.col("src_pos").alias("id"), "text")
+    return split.unstratified_split(q, "id", seed=SEED)
+
+
+def near_dup_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5: dev questions with a near-duplicate (ratio >= 0.95) in train."""
+    s = _question_splits(spark, sf_dir)
+    dev = s.filter("split = 'dev'").select("id", "text")
+    train = s.filter("split = 'train'").select("id", "text")
+    return near_duplicate_pairs(dev, train, threshold=0.95)
+
+
+def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5 on whole documents: dev vs train of the source-labelled split."""
+    d = tables.source_labelled(spark, sf_dir)
+    s = split.stratified_split(d, "label", "doc_id", seed=SEED)
+    dev = s.filter("split = 'dev'").select(F.col("doc_id").alias("id"), "text")
+    train = s.filter("split = 'train'").select(F.col("doc_id").alias("id"), "text")
+    return near_duplicate_pairs(dev, train, threshold=0.95)
+
 QUERIES = {
     "clean_dedup_questions": clean_dedup_questions,
     "rule_intent_counts": rule_intent_counts,
@@ -436,4 +461,6 @@ QUERIES = {
     "seeded_sample": seeded_sample,
     "benchmark_leaks": benchmark_leaks,
     "benchmark_leak_counts": benchmark_leak_counts,
+    "near_dup_questions": near_dup_questions,
+    "near_dup_documents": near_dup_documents,
 }
