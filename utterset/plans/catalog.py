@@ -19,6 +19,9 @@ from ..operators.neardup import near_duplicate_pairs
 from ..operators.rank import dense_sequence
 from ..operators import annotate, audit, evaluate, generate, labels, merge, prompt, rules, split
 from ..session import scratch_path
+from ..sources import io
+from ..streaming import feeds
+from ..operators import model as ml
 from ..operators.dedup import clean_questions
 from ..session import table
 from ..sources import tables
@@ -413,6 +416,81 @@ def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = s.filter("split = 'train'").select(F.col("doc_id").alias("id"), "text")
     return near_duplicate_pairs(dev, train, threshold=0.95)
 
+
+# --- streaming, files, model, whole route -------------------------------------------
+
+def stream_score_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-1: the conversation file as a stream; user turns scored by the rules."""
+    schema = table(spark, sf_dir, "conversations").schema
+    feed = feeds.file_feed(spark, sf_dir, schema, "conversations.parquet").filter(F.col("role") == "user")
+    out, rej, ck = scratch_path(spark, "scored"), scratch_path(spark, "rejects"), scratch_path(spark, "ck")
+    q1, q2 = feeds.score_feed(feed, rules.rules_frame(spark), rules.REFERENCE_LABELS, out, rej, ck, seed=SEED)
+    q1.awaitTermination()
+    q2.awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", "intent", "confidence")
+
+
+def stream_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2: documents streamed into a (text, label) de-duplicated table."""
+    schema = table(spark, sf_dir, "documents").schema
+    feed = feeds.file_feed(spark, sf_dir, schema, "documents.parquet") \
+        .select("text", F.col("source").alias("label"), F.col("doc_id").alias("pos"))
+    path, ck = scratch_path(spark, "merged"), scratch_path(spark, "ck")
+    feeds.merge_feed(feed, path, ck).awaitTermination()
+    return spark.read.parquet(path).select("pos", "label", F.sha1("text").alias("text_sha1"))
+
+
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-2/IO-3: the labelled set through CSV (quotes, commas, newlines) and back."""
+    d = tables.labelled_set(spark, sf_dir)
+    path = scratch_path(spark, "csv")
+    io.write_table(d, path, "csv")
+    back = io.read_table(spark, path, "csv")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "label",
+                       F.sha1("text").alias("text_sha1"), F.length("text").alias("n_chars"))
+
+
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-4: the labelled set as JSON Lines and back."""
+    d = tables.labelled_set(spark, sf_dir)
+    path = scratch_path(spark, "json")
+    io.write_table(d, path, "json")
+    back = io.read_table(spark, path, "json")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "label",
+                       F.sha1("text").alias("text_sha1"), F.length("text").alias("n_chars"))
+
+
+def model_eval_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-4/ML-5/EV-3: train on the train split (language as label), select on
+    dev by macro-F1, report on test."""
+    d = tables.lang_truth(spark, sf_dir).select("doc_id", "text", F.col("y").alias("label"))
+    s = split.stratified_split(d, "label", "doc_id", seed=SEED).checkpoint(eager=True)
+    m, _ = ml.fit_best(s.filter("split = 'train'"), s.filter("split = 'dev'"), reg_params=(0.0,))
+    pred = ml.score(m, s.filter("split = 'test'"), keep=("label",))
+    return evaluate.report(pred.select(F.col("label").alias("y"), F.col("intent").alias("pred")))
+
+
+def induced_label_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-6: a label space induced from the question log."""
+    q = clean_questions(tables.question_log(spark, sf_dir))
+    space, assign = ml.induce_label_space(q, max_labels=8, seed=SEED)
+    sizes = assign.groupBy("label_id").agg(F.count(F.lit(1)).alias("n_questions"))
+    return space.join(sizes, space["id"] == sizes["label_id"], "left") \
+        .select("id", "name", F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
+
+
+def build_dataset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log route (section 3.1) with the keyword annotator; returns the
+    written dataset's sizes per split and label."""
+    from .build_dataset import build_labelled_dataset
+    log = tables.question_log(spark, sf_dir)
+    space = lang_label_space(spark, sf_dir)
+    fn = annotate.keyword_annotator(LANG_RULES)
+    out = scratch_path(spark, "build")
+    paths = build_labelled_dataset(log, out, fn, label_space=space, attempts=1)
+    ds = spark.read.parquet(paths["dataset"])
+    return ds.groupBy("split", "label_id").agg(F.count(F.lit(1)).alias("count"))
+
 QUERIES = {
     "clean_dedup_questions": clean_dedup_questions,
     "rule_intent_counts": rule_intent_counts,
@@ -463,4 +541,11 @@ QUERIES = {
     "benchmark_leak_counts": benchmark_leak_counts,
     "near_dup_questions": near_dup_questions,
     "near_dup_documents": near_dup_documents,
+    "stream_score_questions": stream_score_questions,
+    "stream_merge_documents": stream_merge_documents,
+    "csv_round_trip": csv_round_trip,
+    "json_round_trip": json_round_trip,
+    "model_eval_lang": model_eval_lang,
+    "induced_label_space": induced_label_space,
+    "build_dataset_sizes": build_dataset_sizes,
 }

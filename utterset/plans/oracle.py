@@ -462,3 +462,17 @@ ORACLES_5 = {
                              "ON instr(d.text, b.text) > 0 WHERE length(b.text) > 0 GROUP BY b.item_id",
 }
 ORACLES.update(ORACLES_5)
+
+
+ROUND_TRIP = f"SELECT doc_id, label, sha1(text) AS text_sha1, length(text) AS n_chars FROM ({LABELLED})"
+
+ORACLES_6 = {
+    "stream_score_questions": "WITH " + rule_scored(
+        "SELECT conv_id, turn, text FROM conversations WHERE role = 'user' AND coalesce(length(text), 0) >= 1",
+        "conv_id, turn", R.REFERENCE_RULES, R.REFERENCE_LABELS) + " SELECT conv_id, turn, intent, confidence FROM rs",
+    "stream_merge_documents": "SELECT min(doc_id) AS pos, source AS label, sha1(text) AS text_sha1 "
+                              "FROM documents GROUP BY text, source",
+    "csv_round_trip": ROUND_TRIP,
+    "json_round_trip": ROUND_TRIP,
+}
+ORACLES.update(ORACLES_6)
