@@ -345,14 +345,15 @@ lj AS (SELECT '{{"labels": [' || string_agg('{{"id": ' || {jq('substr(upper(id),
               ', ' ORDER BY id) || ']}}' AS label_json FROM ls)"""
 
 RP = "rp"
+TRAIL = "'," + WS + r"*([}\]])'"
 PARSE_CTE = f"""
 rp0 AS (SELECT doc_id, {C.REPLY_SQL} AS reply FROM documents),
 rp1 AS (SELECT doc_id, reply, regexp_replace({strip('reply')}, '(?im)^```(?:json)?{WS}*|{WS}*```$', '', 'g') AS c FROM rp0),
 rp2 AS (SELECT *, instr(c, '{{') AS s, CASE WHEN instr(reverse(c), '}}') > 0 THEN length(c) - instr(reverse(c), '}}') + 1 ELSE 0 END AS e FROM rp1),
 rp3 AS (SELECT doc_id, reply, CASE WHEN s > 0 AND e > s THEN substr(c, s, e - s + 1) ELSE c END AS cand FROM rp2),
 rp4 AS (SELECT doc_id, reply, CASE WHEN json_valid(cand) THEN CAST(cand AS JSON)
-              WHEN json_valid(regexp_replace(cand, ',{WS}*([}}\]])', '\1', 'g'))
-              THEN CAST(regexp_replace(cand, ',{WS}*([}}\]])', '\1', 'g') AS JSON) END AS j FROM rp3),
+              WHEN json_valid(regexp_replace(cand, {TRAIL}, '\\1', 'g'))
+              THEN CAST(regexp_replace(cand, {TRAIL}, '\\1', 'g') AS JSON) END AS j FROM rp3),
 rp AS (SELECT doc_id,
   CASE WHEN coalesce(length(reply), 0) = 0 THEN 'empty response' WHEN j IS NULL THEN 'invalid json'
        WHEN json_type(j) <> 'OBJECT' THEN 'not a json object' END AS error,
