@@ -57,6 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+SPREAD_MIN_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    """Read one driver table (one parquet file or folder) by name."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """Read one driver table (one parquet file or folder) by name.
+
+    A table stored as fewer files than there are cores (the test tables are
+    single files with one row group, i.e. one scan task) is spread over the
+    cores right after the scan, so per-row work does not run in one task.
+    Filters and column pruning still reach the scan. On a cluster the data
+    arrives as many files and this is a no-op.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    local = [f[len("file:"):] for f in files if f.startswith("file:")]
+    if len(local) != len(files):
+        return df
+    size = sum(os.path.getsize(f) for f in local if os.path.exists(f))
+    return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
