@@ -15,12 +15,18 @@ from ..functions.text import collapse_space
 def first_by_key(df: DataFrame, key_cols, order_col: str) -> DataFrame:
     """One row per key: the row with the smallest ``order_col`` (WN-1/WN-2).
 
-    Implemented as a hash aggregate of ``min(struct(order, row))`` -- partial
-    aggregation runs before the shuffle, so a key holding a third of all rows
-    costs one small partial state per map task, not a giant sort.
+    Implemented as ``min(order)`` (hash aggregate) or ``min(struct(order,
+    row))`` when other columns ride along -- partial aggregation runs before
+    the shuffle either way, so a key holding a third of all rows costs one
+    small partial state per map task.
     """
     keys = list(key_cols)
     others = [c for c in df.columns if c not in keys and c != order_col]
+    if not others:
+        # only the order rides along: a plain min is a (codegen'd) hash aggregate
+        return df.groupBy(*keys).agg(F.min(order_col).alias(order_col))
+    # other columns ride along in a struct; a struct buffer makes Spark use a
+    # sort-based aggregate (still partial before the shuffle)
     packed = F.struct(F.col(order_col).alias("o"), *[F.col(c).alias(c) for c in others])
     out = df.groupBy(*keys).agg(F.min(packed).alias("__m"))
     return out.select(*keys, F.col("__m.o").alias(order_col), *[F.col(f"__m.{c}").alias(c) for c in others])
