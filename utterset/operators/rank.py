@@ -36,6 +36,14 @@ def bounded_broadcast(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> Da
     return F.broadcast(df) if n <= row_limit else df
 
 
+def small_table(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Materialise a table that is small by construction (one row per label,
+    per label and bucket, ...) once in the shared checkpoint folder, then
+    broadcast it if its checked size allows. Without this, the size check and
+    the consuming join would each recompute the full aggregation behind it."""
+    return bounded_broadcast(df.checkpoint(eager=True), row_limit)
+
+
 def two_phase_rank(df: DataFrame, order_col: str, partition_cols=(), rank_col: str = "rank",
                    tiebreak=(), digits: int = 3) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row within ``partition_cols``
@@ -47,7 +55,7 @@ def two_phase_rank(df: DataFrame, order_col: str, partition_cols=(), rank_col: s
     w_off = (Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))).orderBy(b) \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, b, F.coalesce(F.sum("__n").over(w_off), F.lit(0)).alias("__off"))
-    offsets = bounded_broadcast(offsets)
+    offsets = small_table(offsets)
     w = Window.partitionBy(*parts, b).orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
     ranked = keyed.join(offsets, on=[*parts, b], how="inner")
     return ranked.withColumn(rank_col, (F.col("__off") + F.row_number().over(w)).cast("long")) \

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import order_key
 from ..functions.text import py_strip, remove_space
 from .dedup import first_by_key
-from .rank import bounded_broadcast, two_phase_rank
+from .rank import small_table, two_phase_rank
 
 
 def holdout_size(n: int, test_size: float) -> int:
@@ -91,7 +91,7 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, seed: int = 42
     q = largest_remainder(counts, "n_c", n_train, label_col, "train_c")
     q = q.withColumn("hold_c", F.col("n_c") - F.col("train_c"))
     q = largest_remainder(q, "hold_c", dev_total, label_col, "dev_c")
-    quotas = bounded_broadcast(q.select(label_col, "train_c", "dev_c"))
+    quotas = small_table(q.select(label_col, "train_c", "dev_c"))
     keyed = df.withColumn("__ok", order_key(seed, key_col))
     ranked = two_phase_rank(keyed, "__ok", (label_col,), "__rank", tiebreak=(key_col,))
     out = ranked.join(quotas, label_col)
@@ -109,7 +109,7 @@ def per_label_prefix_split(df: DataFrame, label_col: str, key_col: str, seed: in
     go to train, the rest to test."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     counts = counts.withColumn("train_c", F.floor(F.col("n_c") * F.lit(1.0 - test_size)).cast("long"))
-    quotas = bounded_broadcast(counts.select(label_col, "train_c"))
+    quotas = small_table(counts.select(label_col, "train_c"))
     keyed = df.withColumn("__ok", order_key(seed, label_col, key_col))
     ranked = two_phase_rank(keyed, "__ok", (label_col,), "__rank", tiebreak=(key_col,))
     out = ranked.join(quotas, label_col)
