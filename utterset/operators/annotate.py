@@ -23,6 +23,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import cut_lineage, ensure_shipped
 
 from ..functions.replies import parse_reply, reply_error, reply_fields
 from .prompt import with_prompts
@@ -79,6 +80,7 @@ def annotate(texts: DataFrame, annotator: Callable[[str], str], label_json: str,
     Returns ``(text, cache_key, label_id, label_name, confidence, from_cache)``.
     """
     spark = texts.sparkSession
+    ensure_shipped(spark)
     todo = with_prompts(texts.select(F.col(text_col).alias("text")), label_json, "text")
     cache = read_cache(spark, cache_path)
     if cache is not None:
@@ -102,7 +104,7 @@ def annotate(texts: DataFrame, annotator: Callable[[str], str], label_json: str,
         F.when(ok, fields["label_name"]).otherwise(F.lit(FALLBACK_NAME)).alias("label_name"),
         F.when(ok, fields["confidence"]).otherwise(F.lit(0.0)).alias("confidence"),
         F.lit(False).alias("from_cache"), "error")
-    done = done.checkpoint(eager=True)   # the annotator ran exactly once per miss
+    done = cut_lineage(done)   # the annotator ran exactly once per miss
     if cache_path:
         done.filter(F.col("error").isNull()).select("cache_key", "label_id", "label_name", "confidence") \
             .write.mode("append").parquet(cache_path)

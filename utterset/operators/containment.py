@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ..session import cut_lineage, ensure_shipped
 
 from .rank import BROADCAST_ROW_LIMIT, bounded_broadcast
 
@@ -63,6 +64,7 @@ def fingerprint_udf(k: int = K_GRAM, w: int = WINDOW):
 def contained_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id",
                     text_col: str = "text", k: int = K_GRAM, w: int = WINDOW) -> DataFrame:
     """``(item_id, doc_id)`` for every document whose text contains the item's text."""
+    ensure_shipped(docs.sparkSession)
     fp = fingerprint_udf(k, w)
     min_len = k + w - 1
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("doc_text"))
@@ -76,7 +78,7 @@ def contained_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     wanted = bounded_broadcast(item_fp.select("fp").distinct())
     # only fingerprints some item has; read by two branches, so cut the
     # lineage once (shared checkpoint folder) instead of fingerprinting twice
-    relevant = doc_fp.join(wanted, "fp", "left_semi").checkpoint(eager=True)
+    relevant = cut_lineage(doc_fp.join(wanted, "fp", "left_semi"))
     freq = relevant.groupBy("fp").agg(F.count(F.lit(1)).alias("df"))
     scored = item_fp.join(freq, "fp", "left").fillna(0, ["df"])
     chosen = scored.groupBy("item_id").agg(F.min(F.struct("df", "fp")).alias("best")) \

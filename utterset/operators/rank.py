@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from ..session import cut_lineage
 
 BROADCAST_ROW_LIMIT = 2_000_000
 
@@ -41,7 +42,7 @@ def small_table(df: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFram
     per label and bucket, ...) once in the shared checkpoint folder, then
     broadcast it if its checked size allows. Without this, the size check and
     the consuming join would each recompute the full aggregation behind it."""
-    return bounded_broadcast(df.checkpoint(eager=True), row_limit)
+    return bounded_broadcast(cut_lineage(df), row_limit)
 
 
 def two_phase_rank(df: DataFrame, order_col: str, partition_cols=(), rank_col: str = "rank",
@@ -76,7 +77,7 @@ def dense_sequence(df: DataFrame, order_cols, id_col: str = "id") -> DataFrame:
              .withColumn("__pid", F.spark_partition_id())
              .withColumn("__mid", F.monotonically_increasing_id()))
     local = local.withColumn("__ln", F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33) + 1)
-    local = local.checkpoint(eager=True)
+    local = cut_lineage(local)
     sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w_off = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select("__pid", F.coalesce(F.sum("__cnt").over(w_off), F.lit(0)).alias("__off"))

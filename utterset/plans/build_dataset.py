@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from ..session import cut_lineage
 
 from ..operators import annotate, audit, labels, model, prompt, split
 from ..operators.dedup import clean_questions
@@ -48,7 +49,7 @@ def build_labelled_dataset(log: DataFrame, out_dir: str, annotator: Callable[[st
     rows = questions.join(labelled, "text").filter(F.length("label_id") > 0)
     rows = dense_sequence(rows, ["src_pos"], "id") \
         .select("id", "src_pos", "text", "label_id", "label_name", "confidence")
-    rows = rows.checkpoint(eager=True)      # five sinks read it; cut the lineage once
+    rows = cut_lineage(rows)      # five sinks read it; cut the lineage once
 
     split_rows = split.stratified_split(rows.select("id", "text", "label_id", "label_name", "confidence"),
                                         "label_id", "id", seed=seed)

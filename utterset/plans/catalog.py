@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from ..session import cut_lineage
 
 from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_label_id,
                               text_prefix, token_estimate, trim_to_tokens)
@@ -464,7 +465,7 @@ def model_eval_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-4/ML-5/EV-3: train on the train split (language as label), select on
     dev by macro-F1, report on test."""
     d = tables.lang_truth(spark, sf_dir).select("doc_id", "text", F.col("y").alias("label"))
-    s = split.stratified_split(d, "label", "doc_id", seed=SEED).checkpoint(eager=True)
+    s = cut_lineage(split.stratified_split(d, "label", "doc_id", seed=SEED))
     m, _ = ml.fit_best(s.filter("split = 'train'"), s.filter("split = 'dev'"), reg_params=(0.0,))
     pred = ml.score(m, s.filter("split = 'test'"), keep=("label",))
     return evaluate.report(pred.select(F.col("label").alias("y"), F.col("intent").alias("pred")))

@@ -16,6 +16,7 @@ import os
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from ..session import cut_lineage
 
 from ..operators import generate, labels, merge, split
 from ..operators.dedup import first_by_key
@@ -36,14 +37,14 @@ def generate_and_save(spark: SparkSession, out_dir: str, n_per_label: int = 100,
     if old is not None and not {"train", "test"} <= {r["split"] for r in old.select("split").distinct().collect()}:
         old = None                           # the reference merges only when both splits exist
     if old is not None:
-        old = old.select("split", "text", "label", "pos").checkpoint(eager=True)  # it is overwritten below
-    merged = merge.merge_splits(old, new, "pos", cross_split=cross_split).checkpoint(eager=True)
+        old = cut_lineage(old.select("split", "text", "label", "pos"))  # it is overwritten below
+    merged = cut_lineage(merge.merge_splits(old, new, "pos", cross_split=cross_split))
     report = merge.merge_stats(old, new, merged) if old is not None else None
 
     index_path = os.path.join(out_dir, "label_mapping")
     existing_index = io.read_existing(spark, index_path) if merge_existing else None
     if existing_index is not None:
-        existing_index = existing_index.checkpoint(eager=True)
+        existing_index = cut_lineage(existing_index)
     index = labels.extend_label_index(existing_index, merged.select("label")) if merge_existing \
         else labels.label_index(merged.select("label"))
 

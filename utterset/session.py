@@ -34,6 +34,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_shipped(spark)
     return spark
 
 
@@ -51,6 +52,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def ensure_shipped(spark: SparkSession) -> None:
+    """Make the ``utterset`` package importable in the Python workers.
+
+    Arrow UDFs and ``mapInPandas`` functions are pickled by reference to their
+    module, so executors must be able to import the package. It is zipped once
+    per session into the shared checkpoint folder and added with ``addPyFile``
+    (a no-op when already done, e.g. when installed on the cluster image).
+    """
+    if spark.conf.get("spark.utterset.shipped", "false") == "true":
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    target = os.path.join(base, f"utterset-{uuid.uuid4().hex[:8]}.zip")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(local)
+    spark.conf.set("spark.utterset.shipped", "true")
+
+
+def cut_lineage(df):
+    """Checkpoint ``df`` (eagerly) into the shared checkpoint folder, making
+    sure the folder is known to the context first (a session created by
+    someone else may carry ``spark.checkpoint.dir`` only as a setting)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
