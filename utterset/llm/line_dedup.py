@@ -21,10 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bloom import repeated
-from .tables import stored
+from .tables import stored, widened, without
 from .wordops import slices
 
 FILTER_BITS = 1 << 29
@@ -102,12 +101,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, keep: str = "none", filter_b
     confirmed keys travel as a broadcast; beyond that each document's own confirmed
     keys are joined to it by ``doc_id``, and nothing that grows is broadcast.
     """
-    names = docs.columns
-    clash = {c.lower() for c in names} & {"n_lines", "n_dropped"}
-    docs = docs.drop(*clash)
+    docs = without(docs, "n_lines", "n_dropped")
     names = docs.columns
     suspect, keys = repeated_lines(docs, min_docs, filter_bits)
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = widened(docs, n_lines="long", n_dropped="long")
 
     def output(part, texts):
         rows = [part.column(n) if n != "text" else pa.array([t[0] for t in texts], pa.string()) for n in names]

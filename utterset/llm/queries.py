@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
 from .line_dedup import line_dedup
 from .oracles import SQL
 from .tables import read
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.filter(langid.learnable()))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
 }
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

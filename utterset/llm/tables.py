@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 
@@ -17,3 +18,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widened(df: DataFrame, **columns: str) -> T.StructType:
+    """The schema of ``df`` with more columns, name=type."""
+    more = T.StructType()
+    for name, kind in columns.items():
+        more = more.add(name, kind)
+    return T.StructType([*df.schema.fields, *more.fields])
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without its columns of these names (in any case), which an operator adds itself."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
