@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import TEMPLATES
+
 SQL: dict[str, str] = {}
 
 SQL["op6_line_dedup"] = """
@@ -19,3 +21,74 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropp
 FROM lines l LEFT JOIN often o USING (key)
 GROUP BY row_id
 """
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+# Every pair of documents with a common shingle, then components by a recursive walk.
+SQL["op10_near_duplicates"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.format(LOWER.format("coalesce(text, '')"))} AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w
+), texts AS (
+  SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets GROUP BY list_sort(s)
+), items AS (
+  SELECT id, len(s) AS n, unnest(s) AS x FROM texts
+), pairs AS (
+  SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.x = b.x AND a.id < b.id
+  WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM pairs UNION SELECT b, a FROM pairs
+), reach(id, r) AS (
+  SELECT id, id FROM texts UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r
+), class AS (
+  SELECT id, min(r) AS component_id FROM reach GROUP BY id
+)
+SELECT doc_id, len(sets.s) AS n_shingles,
+       CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id,
+       CASE WHEN len(sets.s) = 0 THEN true ELSE doc_id = component_id END AS kept
+FROM sets JOIN texts ON list_sort(sets.s) = texts.s JOIN class USING (id)
+"""
+
+
+def _containment_sql(items: str, item_id: str, more: str = "") -> str:
+    """Best window of every document and item, by exact counts over all windows."""
+    return f"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents
+), listed AS (
+  SELECT *, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM {items}
+), wide AS (
+  SELECT *, least(len(w), 5) AS width,
+    list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
+  FROM listed WHERE len(w) > 0
+), item AS (
+  SELECT {item_id}{more}, width, len(s) AS size, CAST(pow(2, ceil(log2(len(s)))) AS BIGINT) AS unit, unnest(s) AS x FROM wide
+), widths AS (
+  SELECT DISTINCT width FROM item
+), hits AS (
+  SELECT DISTINCT doc_id, width, i - 1 AS pos, array_to_string(w[i:i + width - 1], ' ') AS x
+  FROM docs, widths, LATERAL (SELECT unnest(range(1, len(w) - width + 2)) AS i)
+  WHERE array_to_string(w[i:i + width - 1], ' ') IN (SELECT x FROM item)
+), windows AS (
+  SELECT {item_id}{more}, doc_id, size, t.win, count(DISTINCT x) / size AS containment, min(pos) AS first_word, max(pos + width - 1) AS last_word
+  FROM hits JOIN item USING (width, x), LATERAL (SELECT unnest([pos // unit - 1, pos // unit]) AS win) t
+  WHERE t.win >= 0 OR pos < unit
+  GROUP BY {item_id}{more}, doc_id, size, t.win HAVING count(DISTINCT x) / size >= 0.75
+)
+SELECT doc_id, {item_id}{more}, containment, CAST(first_word AS INT) AS first_word, CAST(last_word AS INT) AS last_word FROM windows
+QUALIFY row_number() OVER (PARTITION BY doc_id, {item_id} ORDER BY containment DESC, win) = 1
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SQL["op9_decontamination"] = _containment_sql("benchmark", "item_id")
+SQL["op1_license_scan"] = _containment_sql(
+    "(VALUES " + ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
+    + ") AS t(template_id, license, text)", "template_id", ", license")

@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid
+from .decontaminate import leaks
+from .license_scan import license_scan, templates
 from .line_dedup import line_dedup
+from .neardup import near_duplicates
 from .oracles import SQL
 from .tables import read
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"), templates(spark))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.filter(langid.learnable()))
@@ -25,8 +32,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), 0.75)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
 }
+QUERIES["op9_decontamination"] = op9_decontamination
+QUERIES["op10_near_duplicates"] = op10_near_duplicates
 ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}

@@ -119,10 +119,10 @@ def shingle_sets(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         if n >= width:
             sets.append(np.unique(flat[starts[i] : starts[i + 1]]))
         elif n:
-            part = U(n)
-            for x in words.hashes[words.offsets[i] : words.offsets[i + 1]]:
-                part = mix(np.array([part * SHINGLE_BASE + x], U))[0]
-            sets.append(np.array([part], U))
+            part = np.array([n], U)
+            for k in range(words.offsets[i], words.offsets[i + 1]):
+                part = mix(part * SHINGLE_BASE + words.hashes[k : k + 1])
+            sets.append(part)
         else:
             sets.append(np.empty(0, U))
     sizes = np.array([len(s) for s in sets], np.int64)
