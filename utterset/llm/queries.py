@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import ORACLE_SQL
+from corpus_pipeline import run as pipeline
+
 from . import langid
 from .decontaminate import leaks
 from .license_scan import license_scan, templates
 from .line_dedup import line_dedup
+from .mixing import mix
 from .neardup import near_duplicates
 from .oracles import SQL
+from .packing import VOCABULARY, pack
 from .tables import read
 
 
@@ -20,6 +25,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"), templates(spark))
 
 
+def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), VOCABULARY, length=2048)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.filter(langid.learnable()))
@@ -32,6 +41,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), (3, 1, 2), share=1.5, most=2)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -43,9 +57,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_token_packing": op2_token_packing,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
+    "op7_source_mixing": op7_source_mixing,
+    "op9_decontamination": op9_decontamination,
+    "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": pipeline,
 }
-QUERIES["op9_decontamination"] = op9_decontamination
-QUERIES["op10_near_duplicates"] = op10_near_duplicates
-ORACLES: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
+ORACLES: dict[str, str] = {k: v for k, v in {**SQL, "pipeline": ORACLE_SQL}.items() if v and k in QUERIES}
