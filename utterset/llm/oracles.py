@@ -92,3 +92,20 @@ SQL["op9_decontamination"] = _containment_sql("benchmark", "item_id")
 SQL["op1_license_scan"] = _containment_sql(
     "(VALUES " + ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(TEMPLATES))
     + ") AS t(template_id, license, text)", "template_id", ", license")
+
+SQL["op8_phrase_dedup"] = f"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents
+), phrases AS (
+  SELECT r, doc_id, i, w[i:i + 12] AS p FROM w, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i)
+), late AS (
+  SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY p) AS first FROM phrases) WHERE first < doc_id
+), gone AS (
+  SELECT DISTINCT r, i + k AS i FROM late, range(13) AS t(k)
+)
+SELECT doc_id, len(any_value(w)) AS n_words, count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(w[j], ' ' ORDER BY j) FILTER (WHERE gone.i IS NULL AND j > 0), '')) AS kept_sha256
+FROM (SELECT r, doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [0] ELSE range(1, len(w) + 1) END) AS j FROM w) x
+LEFT JOIN gone ON gone.r = x.r AND gone.i = x.j
+GROUP BY x.r, doc_id
+"""

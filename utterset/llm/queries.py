@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as pipeline
 
-from . import langid
+from . import langid, quality, toxicity
 from .decontaminate import leaks
 from .license_scan import license_scan, templates
 from .line_dedup import line_dedup
@@ -18,6 +18,7 @@ from .mixing import mix
 from .neardup import near_duplicates
 from .oracles import SQL
 from .packing import VOCABULARY, pack
+from .phrase_dedup import phrase_dedup
 from .tables import read
 
 
@@ -29,6 +30,19 @@ def op2_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), VOCABULARY, length=2048)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(langid.learnable())
+    weights = toxicity.learn(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, weights).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted", "offending")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality.judge(docs, read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.learn(docs.filter(langid.learnable()))
@@ -46,6 +60,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -58,9 +77,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_packing": op2_token_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
+    "op8_phrase_dedup": op8_phrase_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": pipeline,

@@ -22,9 +22,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:
     """The schema of ``df`` with more columns, name=type."""
-    more = T.StructType()
-    for name, kind in columns.items():
-        more = more.add(name, kind)
+    more = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
     return T.StructType([*df.schema.fields, *more.fields])
 
 
