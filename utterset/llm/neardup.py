@@ -1,20 +1,22 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Each text's set of distinct 5-word shingles becomes a digest and a signature of
-   128 minimum hashes. Texts of one digest are one class, so exact copies meet in one
+   240 minimum hashes. Texts of one digest are one class, so exact copies meet in one
    pre-aggregated group and go on as a single row.
-2. Banding (32 bands of 4): with similarity 0.75 a pair shares no band with
-   probability (1 - 0.75^4)^32 = 5e-6. Within a bucket all members are compared with
-   the bucket's smallest member, so a bucket of n makes n - 1 pairs.
+2. Banding (48 bands of 5): with similarity 0.75 a pair shares no band with
+   probability (1 - 0.75^5)^48 = 2e-6. First, in two of the bands, every member of a
+   bucket is paired with the bucket's smallest member; exact links make classes. Then,
+   in all bands, only buckets with members of two classes or more are still open; the
+   smallest members of their classes are paired with that of the first class.
 3. Verification compares signatures 16 hashes at a time and drops a pair when the
    posterior probability (uniform prior) that its similarity reaches the threshold
    falls below ``MISS``; survivors are compared exactly on their full sets.
-4. A bucket whose members don't all reach each other by now may hide a link that
-   avoids the smallest member. Of two members, one within distance 0.25 of the
-   smallest and one certainly beyond 0.5, no link is possible (Jaccard distance is a
-   metric). What is left is split into (near, middle) and (middle, far), without the
-   smallest member, and compared again: small buckets pair by pair, larger ones by
-   another round of step 2 on the part. No pair is capped or dropped.
+4. A bucket that is open even then may hide a link between members that are not the
+   smallest of their classes. Each class with members in an open bucket is host to the
+   members there of smaller classes; guests are compared with all of the host's
+   members, block by block with signature arrays, never as pairs in a table. A guest
+   reports its best survivors (1, then 16, 256, ... as long as some remain) until
+   none is left that is not of its own class by then. No pair is capped or dropped.
 5. Components of the exact links give each text its class.
 
 Edge cases: texts without words (null, empty, blanks) have an empty set, 0 shingles
@@ -39,10 +41,11 @@ from .tables import stored, widened, without
 from .wordops import packed, shingle_sets, slices, word_hashes
 
 WIDTH = 5
-HASHES, BANDS, BATCH = 128, 32, 16
+HASHES, BANDS, BATCH = 240, 48, 16
+FIRST_BANDS = 2
 MISS = 1e-6
-#: Buckets of up to so many members are compared pair by pair in step 4.
-SMALL = 24
+#: Host members and guests that meet in one group of step 4.
+BLOCK = 4096
 _RNG = np.random.default_rng(731)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -102,29 +105,39 @@ def _pairs_with_signatures(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def compare(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """``pairs`` (a, b) with ``maybe`` (they may reach the threshold) and ``far`` (their
-    distance is beyond twice that of the threshold, but for the miss probability)."""
-    least, half = least_matches(threshold), least_matches(max(0.0, 2 * threshold - 1))
+    """The ``pairs`` (a, b) that may reach the threshold, by their signatures."""
+    least = least_matches(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, HASHES) for c in ("sa", "sb"))
+            sa, sb = (_matrix(batch.column(c)) for c in ("sa", "sb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            # The sizes alone bound the similarity.
-            bound = np.minimum(na, nb) / np.maximum(na, nb)
-            maybe, match = bound >= threshold, np.zeros(len(sa), np.int64)
-            close = maybe | (bound >= 2 * threshold - 1)
-            for step, (low, low_half) in enumerate(zip(least, half, strict=True)):
-                left = np.flatnonzero(maybe | close)
+            maybe, match = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9, np.zeros(len(sa), np.int64)
+            for step, low in enumerate(least):
+                left = np.flatnonzero(maybe)
                 cols = slice(step * BATCH, (step + 1) * BATCH)
                 match[left] += (sa[left, cols] == sb[left, cols]).sum(axis=1)
-                maybe[left] &= match[left] >= low
-                close[left] &= match[left] >= low_half
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(maybe), pa.array(~close)],
-                                             names=["a", "b", "maybe", "far"])
+                maybe &= match >= low
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(maybe))
 
-    return _pairs_with_signatures(pairs, reps).select("a", "b", "sa", "sb", "na", "nb") \
-        .mapInArrow(run, "a binary, b binary, maybe boolean, far boolean")
+    return _pairs_with_signatures(pairs, reps).select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a binary, b binary")
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
+
+
+def _survivors(host: np.ndarray, guest: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Host rows that may reach the threshold with one guest's signature, and their matches."""
+    rows, match = np.arange(len(host)), np.zeros(len(host), np.int64)
+    for step, low in enumerate(least):
+        cols = slice(step * BATCH, (step + 1) * BATCH)
+        match = match + (host[rows, cols] == guest[cols]).sum(axis=1)
+        keep = match >= low
+        rows, match = rows[keep], match[keep]
+        if not len(rows):
+            break
+    return rows, match
 
 
 def exact_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -159,30 +172,66 @@ def exact_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: f
 
 
 def _star(members: DataFrame) -> DataFrame:
-    """Each member of a bucket (key, m) beside the bucket's smallest, without that itself."""
-    lead = members.groupBy("key").agg(F.min("m").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return members.join(lead, "key").filter("m <> lead").select("key", "m", "lead")
+    """Pairs of each member ``m`` of a bucket with the bucket's smallest."""
+    lead = members.groupBy("key").agg(F.min("m").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return members.join(lead, "key").filter("m <> a").select("a", F.col("m").alias("b"))
+
+
+def _classed(members: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``members`` with their ``class`` by now and its ``size``."""
+    classes = components(links)
+    size = classes.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    known = stored(classes.join(size, "component"), name)
+    return members.drop("class", "size").join(known.withColumnRenamed("node", "m"), "m", "left") \
+        .withColumn("class", F.coalesce("component", "m")).withColumn("size", F.coalesce("size", F.lit(1))).drop("component")
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold two classes or more."""
+    mixed = members.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
+    return stored(members.join(mixed, "key"), "open")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``(judged, links)``: all distinct pairs with maybe and far, and the exact links."""
-    judged = stored(compare(pairs.distinct(), reps, threshold), "judged")
-    return judged, stored(exact_links(judged.filter("maybe").select("a", "b"), docs, reps, threshold), "links")
+def _guests(members: DataFrame) -> DataFrame:
+    """``(host, m)``: each member of an open bucket with each larger class there (of
+    equally large ones the one with the larger id)."""
+    host = members.select("key", F.col("class").alias("host"), F.col("size").alias("host_size")).distinct()
+    larger = F.struct("host_size", "host") > F.struct("size", "class")
+    return members.join(host, "key").filter(larger).select("host", "host_size", "m").distinct()
 
 
-def _open_buckets(star: DataFrame, judged: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Step 4: the parts of buckets, without their smallest member, that a link can still hide in."""
-    seen = star.join(judged.select(F.col("a").alias("lead"), F.col("b").alias("m"), "far"), ["lead", "m"]) \
-        .join(links.select(F.col("a").alias("lead"), F.col("b").alias("m"), F.lit(True).alias("near")), ["lead", "m"], "left") \
-        .join(classes.select(F.col("node").alias("m"), "component"), "m", "left") \
-        .select("key", "m", "far", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("component", "m").alias("class"))
-    # A bucket of one class, or with none but near and far members of one class each, is done.
-    sides = seen.select("key", "m", "class", F.explode(F.concat(
-        F.when(~F.col("far"), F.array(F.lit("close"))).otherwise(F.array().cast("array<string>")),
-        F.when(~F.col("near"), F.array(F.lit("wide"))).otherwise(F.array().cast("array<string>")))).alias("side"))
-    parts = sides.select(F.xxhash64("key", "side").alias("key"), "m", "class")
-    mixed = parts.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("key")
-    return parts.join(mixed, "key", "left_semi")
+def _blocked(hosts: DataFrame, guests: DataFrame, limit: int, threshold: float) -> DataFrame:
+    """``(a, b, more)``: for each guest its ``limit`` best survivors among the members of
+    its host; ``more``: it has others. hosts: (host, rep, signature); so are guests."""
+    least = least_matches(threshold)
+
+    def blocks(df, name):
+        n = df.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"{name}s"))
+        return df.join(n, "host").withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s")).cast("int"))
+
+    h, g = blocks(hosts, "hb"), blocks(guests, "gb")
+    n_hosts, n_guests = h.select("host", "hbs").distinct(), g.select("host", "gbs").distinct()
+    h = h.join(n_guests, "host").withColumn("gb", F.explode(F.sequence(F.lit(0), F.col("gbs") - 1)))
+    g = g.join(n_hosts, "host").withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("hbs") - 1)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"a": [], "b": [], "more": []}
+        if left.num_rows and right.num_rows:
+            matrix, names = _matrix(left.column("h_signature")), left.column("h_rep").to_pylist()
+            for rep, sign in zip(right.column("g_rep").to_pylist(), _matrix(right.column("g_signature")), strict=True):
+                rows, match = _survivors(matrix, sign, least)
+                for r in rows[np.argsort(-match, kind="stable")[:limit]]:
+                    out["a"].append(min(rep, names[r]))
+                    out["b"].append(max(rep, names[r]))
+                    out["more"].append(len(rows) > limit)
+        return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "more": pa.array(out["more"], pa.bool_())})
+
+    def side(df, name):
+        columns = {c: f"{name}_{c}" for c in ("host", "hb", "gb", "rep", "signature")}
+        return df.select([F.col(c).alias(n) for c, n in columns.items()]).groupBy([columns[c] for c in ("host", "hb", "gb")])
+
+    return side(h, "h").cogroup(side(g, "g")) \
+        .applyInArrow(run, "a binary, b binary, more boolean")
 
 
 def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -191,25 +240,33 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float
     reps = stored(sized.groupBy(F.col("digest").alias("rep")).agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "reps")
     width = 4 * HASHES // BANDS
-    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(signature, i * {width} + 1, {width})))")
-    star = stored(_star(reps.select(F.col("rep").alias("m"), F.explode(keys).alias("key"))), "star")
-    judged, links = _verified(star.select(F.col("lead").alias("a"), F.col("m").alias("b")), docs, reps, threshold)
+    keys = "transform(sequence({}, {}), i -> xxhash64(i, substring(signature, i * %d + 1, %d)))" % (width, width)
+
+    def verified(pairs, name):
+        pairs = stored(compare(pairs.distinct(), reps, threshold), name)
+        return exact_links(pairs, docs, reps, threshold)
+
+    first = reps.select(F.col("rep").alias("m"), F.explode(F.expr(keys.format(0, FIRST_BANDS - 1))).alias("key"))
+    links = stored(verified(_star(first), "first"), "links")
+    members = _classed(reps.select(F.col("rep").alias("m"), "signature"), links, "known")
+    members = _open(members.select("m", "class", "size", F.explode(F.expr(keys.format(0, BANDS - 1))).alias("key")))
+    lead = _star(members.groupBy("key", "class").agg(F.min("m").alias("m")).select("key", "m"))
+    links = stored(links.union(verified(lead, "second")), "links")
+
+    limit = 1
     while True:
-        classes = components(links)
-        left = stored(_open_buckets(star, judged, links, classes), "open")
-        if left.isEmpty():
+        members = _open(_classed(members, links, "known"))
+        guests = stored(_guests(members), "guests")
+        alone = guests.filter("host_size = 1").select(F.least("host", "m").alias("a"), F.greatest("host", "m").alias("b"))
+        sign = reps.select("rep", "signature")
+        some = guests.filter("host_size > 1").select("host", F.col("m").alias("rep")).join(sign, "rep")
+        hosts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("host")) \
+            .join(guests.filter("host_size > 1").select("host").distinct(), "host").join(sign, "rep")
+        found = stored(_blocked(hosts, some, limit, threshold), "found")
+        links = stored(links.union(verified(alone.union(found.select("a", "b")), "more")).distinct(), "links")
+        if found.filter("more").isEmpty():
             return links
-        size = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        small = left.join(size.filter(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-        large = left.join(size.filter(F.col("n") > SMALL).select("key"), "key", "left_semi")
-        pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.m") < F.col("y.m")) & (F.col("x.class") != F.col("y.class"))) \
-            .select(F.col("x.m").alias("a"), F.col("y.m").alias("b"))
-        star = stored(_star(large.select("key", "m")), "star")
-        known = judged
-        todo = pairs.union(star.select(F.col("lead").alias("a"), F.col("m").alias("b"))).distinct()
-        fresh, more = _verified(todo.join(known.select("a", "b"), ["a", "b"], "left_anti"), docs, reps, threshold)
-        judged = stored(known.union(fresh), "judged")
-        links = stored(links.union(more), "links")
+        limit *= 16
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
