@@ -14,9 +14,9 @@
 4. A bucket that is open even then may hide a link between members that are not the
    smallest of their classes. Each class with members in an open bucket is host to the
    members there of smaller classes; guests are compared with all of the host's
-   members, block by block with signature arrays, never as pairs in a table. A guest
-   reports its best survivors (1, then 16, 256, ... as long as some remain) until
-   none is left that is not of its own class by then. No pair is capped or dropped.
+   members, block by block: signatures first, then the survivors' full sets, inside the
+   task. One link to a host joins the guest's class to it, so a guest reports one at
+   most. All pairs of classes that share a bucket are compared; none is capped or dropped.
 5. Components of the exact links give each text its class.
 
 Edge cases: texts without words (null, empty, blanks) have an empty set, 0 shingles
@@ -44,8 +44,8 @@ WIDTH = 5
 HASHES, BANDS, BATCH = 240, 48, 16
 FIRST_BANDS = 2
 MISS = 1e-6
-#: Host members and guests that meet in one group of step 4.
-BLOCK = 4096
+#: Host members, or guests, and their shingles that meet in one group of step 4.
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
 _RNG = np.random.default_rng(731)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -127,8 +127,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, HASHES)
 
 
-def _survivors(host: np.ndarray, guest: np.ndarray, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Host rows that may reach the threshold with one guest's signature, and their matches."""
+def _survivors(host: np.ndarray, guest: np.ndarray, least: list[int]) -> np.ndarray:
+    """Host rows that may reach the threshold with one guest's signature."""
     rows, match = np.arange(len(host)), np.zeros(len(host), np.int64)
     for step, low in enumerate(least):
         cols = slice(step * BATCH, (step + 1) * BATCH)
@@ -137,13 +137,12 @@ def _survivors(host: np.ndarray, guest: np.ndarray, least: list[int]) -> tuple[n
         rows, match = rows[keep], match[keep]
         if not len(rows):
             break
-    return rows, match
+    return rows
 
 
-def exact_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (a, b) of digests with 100 * intersection >= 100 t * union of their full sets."""
-    percent = round(100 * threshold)
-    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "id"), "rep"), "needed")
+def full_sets(names: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(rep, items)``: the sorted shingle hashes of the digests ``names`` (rep)."""
+    need = stored(names.distinct().join(reps.select("rep", "id"), "rep"), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +153,14 @@ def exact_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: f
 
     # Texts by the class's first doc_id; a row of that id with another text drops out by its digest.
     rows = docs.select("doc_id", "text").join(need.select(F.col("id").alias("own")).distinct(), F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
-    held = rows.mapInArrow(sets, "rep binary, items binary").join(need.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    held = stored(held, "sets")
+    found = rows.mapInArrow(sets, "rep binary, items binary").join(need.select("rep"), "rep", "left_semi")
+    return stored(found.dropDuplicates(["rep"]), "sets")
+
+
+def exact_links(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (a, b) of digests with 100 * intersection >= 100 t * union of their full sets."""
+    percent = round(100 * threshold)
+    held = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, reps)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,38 +205,52 @@ def _guests(members: DataFrame) -> DataFrame:
     return members.join(host, "key").filter(larger).select("host", "host_size", "m").distinct()
 
 
-def _blocked(hosts: DataFrame, guests: DataFrame, limit: int, threshold: float) -> DataFrame:
-    """``(a, b, more)``: for each guest its ``limit`` best survivors among the members of
-    its host; ``more``: it has others. hosts: (host, rep, signature); so are guests."""
-    least = least_matches(threshold)
+def _blocked(hosts: DataFrame, guests: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: for each guest and block of its host's members a link, if there is one.
+    Both sides: (host, rep, n_shingles, signature, items)."""
+    least, percent = least_matches(threshold), round(100 * threshold)
 
     def blocks(df, name):
-        n = df.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"{name}s"))
-        return df.join(n, "host").withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s")).cast("int"))
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
+        size = df.groupBy("host").agg(n.alias(f"{name}s"))
+        return df.join(size, "host").withColumn(name, F.pmod(F.xxhash64("rep"), F.col(f"{name}s")).cast("int"))
 
     h, g = blocks(hosts, "hb"), blocks(guests, "gb")
     n_hosts, n_guests = h.select("host", "hbs").distinct(), g.select("host", "gbs").distinct()
     h = h.join(n_guests, "host").withColumn("gb", F.explode(F.sequence(F.lit(0), F.col("gbs") - 1)))
     g = g.join(n_hosts, "host").withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("hbs") - 1)))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"a": [], "b": [], "more": []}
-        if left.num_rows and right.num_rows:
-            matrix, names = _matrix(left.column("h_signature")), left.column("h_rep").to_pylist()
-            for rep, sign in zip(right.column("g_rep").to_pylist(), _matrix(right.column("g_signature")), strict=True):
-                rows, match = _survivors(matrix, sign, least)
-                for r in rows[np.argsort(-match, kind="stable")[:limit]]:
-                    out["a"].append(min(rep, names[r]))
-                    out["b"].append(max(rep, names[r]))
-                    out["more"].append(len(rows) > limit)
-        return pa.table({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "more": pa.array(out["more"], pa.bool_())})
-
     def side(df, name):
-        columns = {c: f"{name}_{c}" for c in ("host", "hb", "gb", "rep", "signature")}
+        columns = {c: f"{name}_{c}" for c in ("host", "hb", "gb", "rep", "signature", "items")}
         return df.select([F.col(c).alias(n) for c, n in columns.items()]).groupBy([columns[c] for c in ("host", "hb", "gb")])
 
-    return side(h, "h").cogroup(side(g, "g")) \
-        .applyInArrow(run, "a binary, b binary, more boolean")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        low, high = [], []
+        if left.num_rows and right.num_rows:
+            matrix, names = _matrix(left.column("h_signature")), left.column("h_rep").to_pylist()
+            own = [np.frombuffer(x, "<u8") for x in left.column("h_items").to_pylist()]
+            size = np.array([len(x) for x in own])
+            starts = np.concatenate(([0], np.cumsum(size)))[:-1]
+            known, code = np.unique(np.concatenate(own), return_inverse=True)
+            mark = np.zeros(len(known), np.int32)
+            guests_ = zip(right.column("g_rep").to_pylist(), _matrix(right.column("g_signature")), right.column("g_items").to_pylist(), strict=True)
+            for rep, sign, items in guests_:
+                rows = _survivors(matrix, sign, least)
+                if not len(rows):
+                    continue
+                mine = np.frombuffer(items, "<u8")
+                at = np.searchsorted(known, mine).clip(max=len(known) - 1)
+                at = at[known[at] == mine]
+                mark[at] = 1
+                both = np.add.reduceat(mark[code], starts)[rows]
+                mark[at] = 0
+                linked = rows[100 * both >= percent * (size[rows] + len(mine) - both)]
+                if len(linked):
+                    low.append(min(rep, names[linked[0]]))
+                    high.append(max(rep, names[linked[0]]))
+        return pa.table({"a": pa.array(low, pa.binary()), "b": pa.array(high, pa.binary())})
+
+    return side(h, "h").cogroup(side(g, "g")).applyInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -253,20 +272,15 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float
     lead = _star(members.groupBy("key", "class").agg(F.min("m").alias("m")).select("key", "m"))
     links = stored(links.union(verified(lead, "second")), "links")
 
-    limit = 1
-    while True:
-        members = _open(_classed(members, links, "known"))
-        guests = stored(_guests(members), "guests")
-        alone = guests.filter("host_size = 1").select(F.least("host", "m").alias("a"), F.greatest("host", "m").alias("b"))
-        sign = reps.select("rep", "signature")
-        some = guests.filter("host_size > 1").select("host", F.col("m").alias("rep")).join(sign, "rep")
-        hosts = components(links).select(F.col("node").alias("rep"), F.col("component").alias("host")) \
-            .join(guests.filter("host_size > 1").select("host").distinct(), "host").join(sign, "rep")
-        found = stored(_blocked(hosts, some, limit, threshold), "found")
-        links = stored(links.union(verified(alone.union(found.select("a", "b")), "more")).distinct(), "links")
-        if found.filter("more").isEmpty():
-            return links
-        limit *= 16
+    members = _open(_classed(members, links, "known"))
+    guests = stored(_guests(members), "guests")
+    alone = guests.filter("host_size = 1").select(F.least("host", "m").alias("a"), F.greatest("host", "m").alias("b"))
+    visits = guests.filter("host_size > 1").select("host", F.col("m").alias("rep"))
+    hosts = stored(components(links).select(F.col("node").alias("rep"), F.col("component").alias("host"))
+                   .join(visits.select("host").distinct(), "host"), "hosts")
+    whole = reps.select("rep", "n_shingles", "signature").join(full_sets(hosts.select("rep").union(visits.select("rep")), docs, reps), "rep")
+    found = _blocked(hosts.join(whole, "rep"), visits.join(whole, "rep"), threshold)
+    return stored(links.union(verified(alone, "alone")).union(found), "links")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
