@@ -73,9 +73,26 @@ def test_probabilities(spark):
     assert [r["probs"] for r in again] == [r["probs"] for r in out]     # deterministic
 
 
-def test_large_rule_table_uses_join_path(spark):
+def test_large_rule_table(spark):
     rules = [(i, [f"kw{i:04d}"], f"L{i % 3}") for i in range(300)]
     rdf = R.rules_frame(spark, rules)
-    df = spark.createDataFrame([(1, "xx kw0005 kw0004"), (2, "none")], "id INT, text STRING")
-    got = {r["id"]: r["rule_label"] for r in R.match_rules(df, rdf, key_col="id").collect()}
-    assert got == {1: "L1", 2: None}    # priority 4 beats 5
+    df = spark.createDataFrame([(1, "xx kw0005 kw0004"), (2, "none"), (3, None)], "id INT, text STRING")
+    got = {r["id"]: r["rule_label"] for r in R.match_rules(df, rdf).collect()}
+    assert got == {1: "L1", 2: None, 3: None}    # priority 4 beats 5
+
+
+def test_large_rule_table_on_shuffled_rows(spark):
+    rules = [(i, [f"kw{i:04d}"], f"L{i}") for i in range(300)]
+    rows = [(f"text {n} kw{n % 300:04d} end", f"L{n % 300}") for n in range(3000)]
+    df = spark.createDataFrame(rows, "text STRING, expected STRING").repartition(7)
+    labels = [f"L{i}" for i in range(300)]
+    out = R.score_rules(df, R.rules_frame(spark, rules), labels, with_probs=False)
+    assert out.filter("intent <> expected").count() == 0
+
+
+def test_rules_share_a_keyword_and_an_empty_one(spark):
+    df = spark.createDataFrame([("a b",), ("c",)], "text STRING")
+    rdf = spark.createDataFrame([(2, "a", "X"), (1, "A", "Y"), (3, "", "Z"), (0, None, "N")],
+                                "priority INT, keyword STRING, label STRING")
+    assert [r["rule_label"] for r in R.match_rules(df, rdf).collect()] == ["Y", "Z"]
+    assert [r["rule_label"] for r in R.match_rules(df, rdf.limit(0)).collect()] == [None, None]

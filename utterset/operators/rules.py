@@ -12,11 +12,13 @@ places with integer arithmetic (half-up), so Spark and DuckDB agree exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u32
-from ..functions.text import contains_any
 
 # The reference's keyword rules, in rule order (priority 1 first).
 REFERENCE_RULES = [
@@ -36,7 +38,6 @@ REFERENCE_LABELS = ["CHECK_PAYSLIP", "BOOK_MEETING_ROOM", "REQUEST_LEAVE",
 
 WIN_LO, WIN_HI = 7000, 9500      # winner raw score, units of 1e-4
 OTHER_LO = 100                   # 0.01
-INLINE_KEYWORD_LIMIT = 200       # above this, match by broadcast join
 
 
 def rules_frame(spark: SparkSession, rules=REFERENCE_RULES) -> DataFrame:
@@ -51,45 +52,52 @@ def other_range(n_labels: int) -> tuple[int, int]:
     return min(OTHER_LO, base), max(OTHER_LO, base)
 
 
-def _match_inline(text_lc: Column, rules, lower_keywords: bool) -> Column:
-    expr = None
-    for _, kws, lab in sorted(rules, key=lambda r: r[0]):
-        kws = [k.lower() for k in kws] if lower_keywords else list(kws)
-        cond = contains_any(text_lc, kws)
-        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
-    return expr.otherwise(F.lit(None).cast("string")) if expr is not None else F.lit(None).cast("string")
-
+def _ranked_rules(rules_df: DataFrame, lower_keywords: bool) -> tuple[list[str], dict[str, int]]:
+    """Labels in rule order and, for each keyword, the place of its first rule.
 
-def _collect_rules(rules_df: DataFrame, limit: int):
-    """Collect a rule table only if it is proven small (<= limit keywords)."""
-    rows = rules_df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    grouped: dict[tuple[int, str], list[str]] = {}
-    for r in rows:
-        grouped.setdefault((r["priority"], r["label"]), []).append(r["keyword"])
-    return [(p, kws, lab) for (p, lab), kws in sorted(grouped.items())]
+    The rule table is a user's dictionary that every text is matched with; it is
+    read by the driver once and shipped to the tasks."""
+    rows = sorted({(r["priority"], r["label"], r["keyword"].lower() if lower_keywords else r["keyword"])
+                   for r in rules_df.select("priority", "label", "keyword").toLocalIterator()
+                   if r["keyword"] is not None})
+    first: dict[str, int] = {}
+    for place, (_, _, keyword) in enumerate(rows):
+        first.setdefault(keyword, place)
+    return [label for _, label, _ in rows], first
 
 
 def match_rules(df: DataFrame, rules_df: DataFrame, text_col: str = "text",
-                key_col: str | None = None, lower_keywords: bool = True) -> DataFrame:
-    """Add ``rule_label`` (null when no rule matches)."""
-    text_lc = F.lower(F.col(text_col))
-    small = _collect_rules(rules_df, INLINE_KEYWORD_LIMIT)
-    if small is not None:
-        return df.withColumn("rule_label", _match_inline(text_lc, small, lower_keywords))
-    # Large rule table: broadcast theta join on substring containment, then the
-    # lowest-priority match per row. The rule table is a user dictionary whose
-    # size is checked above; rows keep flowing in their own partitions.
-    key = key_col or "__rowkey"
-    base = df if key_col else df.withColumn(key, F.monotonically_increasing_id())
-    kw = F.lower(F.col("keyword")) if lower_keywords else F.col("keyword")
-    r = rules_df.select("priority", kw.alias("__kw"), F.col("label").alias("__lab"))
-    hits = base.select(key, text_lc.alias("__t")).join(
-        F.broadcast(r), F.contains(F.col("__t"), F.col("__kw")), "inner") \
-        .groupBy(key).agg(F.min_by("__lab", F.struct("priority", "__lab")).alias("rule_label"))
-    out = base.join(hits, key, "left")
-    return out if key_col else out.drop(key)
+                lower_keywords: bool = True) -> DataFrame:
+    """Add ``rule_label`` (null when no rule matches, or the text is null).
+
+    One plan for every table size: an automaton of all keywords passes over each
+    lower-cased text once, inside the scan's partitions, without a join or shuffle.
+    An empty keyword matches every text."""
+    labels, first = _ranked_rules(rules_df, lower_keywords)
+    held = df.sparkSession.sparkContext.broadcast((labels, first))
+
+    def label_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        labels, first = held.value
+        words = ahocorasick.Automaton()
+        for keyword, place in first.items():
+            if keyword:
+                words.add_word(keyword, place)
+        words.make_automaton()
+        always = first.get("", len(labels))
+
+        def best(text):
+            if text is None:
+                return None
+            place = min((p for _, p in words.iter(text)), default=always) if len(words) else always
+            place = min(place, always)
+            return labels[place] if place < len(labels) else None
+
+        for texts in batches:
+            yield texts.map(best)
+
+    udf = F.pandas_udf(label_of, "string")
+    return df.withColumn("rule_label", udf(F.lower(F.col(text_col))))
 
 
 def score_rules(df: DataFrame, rules_df: DataFrame, labels: list[str], text_col: str = "text",
@@ -104,7 +112,7 @@ def score_rules(df: DataFrame, rules_df: DataFrame, labels: list[str], text_col:
     lo, hi = other_range(n)
     lab_arr = F.array(*[F.lit(x) for x in labels])
     h = F.sha1(F.col(text_col).cast("string"))
-    matched = match_rules(df, rules_df, text_col, lower_keywords=lower_keywords)
+    matched = match_rules(df, rules_df, text_col, lower_keywords)
     fallback = F.element_at(lab_arr, (F.pmod(hash_u32(seed, h, F.lit("fallback")), F.lit(n)) + 1).cast("int")) \
         if no_match is None else F.lit(no_match)
     out = matched.withColumn("intent", F.coalesce(F.col("rule_label"), fallback)).drop("rule_label")

@@ -74,6 +74,14 @@ def rule_score_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_scored(spark, sf_dir).select("doc_id", "intent", "confidence")
 
 
+def rule_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-8 with hundreds of keywords: each word of six letters or more of ``benchmark``
+    is a rule; the first word in order that a document contains gives its label."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), 0)).alias("keyword"))
+    rule = words.distinct().select(F.lit(1).alias("priority"), "keyword", F.concat(F.lit("HAS_"), "keyword").alias("label"))
+    return rules.match_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rule).select("doc_id", "rule_label")
+
+
 def rule_probs_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX-20/21 long form: one row per (document, label) with its probability."""
     s = lang_scored(spark, sf_dir, with_probs=True)
@@ -497,6 +505,7 @@ QUERIES = {
     "rule_intent_counts": rule_intent_counts,
     "rule_score_questions": rule_score_questions,
     "rule_score_lang": rule_score_lang,
+    "rule_many_keywords": rule_many_keywords,
     "rule_probs_lang": rule_probs_lang,
     "normalize_documents": normalize_documents,
     "dedup_documents": dedup_documents,

@@ -163,6 +163,8 @@ ORACLES = {
     "rule_intent_counts": f"WITH {question_scored()} SELECT intent, count(*) AS count, "
                           f"round(avg(confidence), 6) AS mean_confidence FROM rs GROUP BY intent",
     "rule_score_questions": f"WITH {question_scored()} SELECT src_pos, intent, confidence FROM rs",
+    "rule_many_keywords": """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS keyword FROM benchmark)
+        SELECT doc_id, 'HAS_' || min(keyword) AS rule_label FROM documents LEFT JOIN k ON contains(lower(text), keyword) GROUP BY doc_id""",
     "rule_score_lang": f"WITH {lang_scored()} SELECT doc_id, intent, confidence FROM rs",
     "rule_probs_lang": f"WITH {lang_scored()} SELECT doc_id, label, prob FROM rs_long",
     "normalize_documents": f"""
