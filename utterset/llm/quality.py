@@ -62,6 +62,7 @@ def repeated_words(words: Words) -> np.ndarray:
 
 def measure(docs: DataFrame) -> DataFrame:
     """``docs`` without ``text`` but with the measures of the whole text."""
+    docs = without(docs, *MEASURES)
     names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
