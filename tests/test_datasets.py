@@ -98,3 +98,17 @@ def test_synth_route_merges_and_keeps_ids(spark):
     assert second["report"] is not None and second["merged"].count() > n1
     dup = second["merged"].groupBy("split", "text", "label").count().filter("count > 1").count()
     assert dup == 0
+
+
+def test_existing_dataset_is_found_by_uri_and_a_bad_one_fails(spark, tmp_path):
+    import pytest
+
+    from utterset.sources import io
+    uri = f"file://{tmp_path}/set"
+    assert io.read_existing(spark, uri) is None
+    spark.range(3).write.parquet(uri)
+    assert io.read_existing(spark, uri).count() == 3
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        io.read_existing(spark, f"file://{tmp_path}/bad").count()

@@ -23,7 +23,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from ..session import cut_lineage, ensure_shipped
+from ..session import cut_lineage, ensure_shipped, path_exists
 
 from ..functions.replies import parse_reply, reply_error, reply_fields
 from .prompt import with_prompts
@@ -39,10 +39,9 @@ def read_cache(spark, path: str | None) -> DataFrame | None:
     """IO-7: the label cache, one row per key (a key appended twice keeps one)."""
     if not path:
         return None
-    try:
-        c = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except Exception:  # noqa: BLE001  (no cache written yet)
+    if not path_exists(spark, path):
         return None
+    c = spark.read.schema(CACHE_SCHEMA).parquet(path)
     return c.groupBy("cache_key").agg(F.min(F.struct("label_id", "label_name", "confidence")).alias("v")) \
         .select("cache_key", "v.label_id", "v.label_name", "v.confidence")
 

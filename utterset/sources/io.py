@@ -13,6 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
 from .columns import training_text_column
 
 
@@ -57,7 +58,7 @@ def read_existing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
     An unreadable dataset raises (the reference treats it as absent and then
     overwrites it, defect D12)."""
-    if not os.path.exists(path.replace("file:", "")):
+    if not path_exists(spark, path):
         return None
     return read_table(spark, path, fmt)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules as R
 from ..operators.dedup import first_by_key
+from ..session import path_exists
 
 
 def file_feed(spark: SparkSession, folder: str, schema, file_glob: str | None = None,
@@ -64,12 +65,10 @@ def merge_feed(feed: DataFrame, table_path: str, checkpoint: str, pos_col: str =
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
         fresh = first_by_key(batch.select("text", "label", pos_col), ["text", "label"], pos_col)
-        try:
-            current = spark.read.parquet(table_path).filter(F.col("batch_id") < batch_id) \
+        if path_exists(spark, table_path):  # not before the first batch
+            current = spark.read.schema("text string, label string, batch_id long").parquet(table_path).filter(F.col("batch_id") < batch_id) \
                 .select("text", "label")
             fresh = fresh.join(current, ["text", "label"], "left_anti")
-        except Exception:  # noqa: BLE001  (first batch: no table yet)
-            pass
         fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(table_path)
 
