@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import widened, without
+from .tables import stored, widened, without
 from .wordops import mix, slices
 
 GRAM = 3
@@ -121,6 +121,7 @@ def learn(docs: DataFrame, min_share: float = MIN_SHARE, min_part: float = MIN_P
 
     rows = docs.filter("lang is not null and text is not null").select("text", "lang") \
         .mapInArrow(counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = stored(rows, "gram-counts")  # used for totals and shares
     total = rows.groupBy("lang").agg(F.sum("n").alias("total"))
     share = rows.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total")).filter(F.col("share") >= min_share)
     # At most 1 / min_share rows a language; so is the n-gram's largest share.
