@@ -12,11 +12,12 @@
    posterior probability (uniform prior) that its similarity reaches the threshold
    falls below ``MISS``; survivors are compared exactly on their full sets.
 4. A bucket that is open even then may hide a link between members that are not the
-   smallest of their classes. Each class with members in an open bucket is host to the
-   members there of smaller classes; guests are compared with all of the host's
-   members, block by block: signatures first, then the survivors' full sets, inside the
-   task. One link to a host joins the guest's class to it, so a guest reports one at
-   most. All pairs of classes that share a bucket are compared; none is capped or dropped.
+   smallest of their classes. The members of an open bucket are compared by signature,
+   block by block, inside the tasks; one that may reach the threshold with a member of a
+   larger class is that class's guest. Guests are compared with all of the host's
+   members, again block by block: signatures first, then the survivors' full sets. One
+   link to a host joins the guest's class to it, so a guest reports one at most. All
+   pairs in a bucket but those within a class are compared; none is capped or dropped.
 5. Components of the exact links give each text its class.
 
 Edge cases: texts without words (null, empty, blanks) have an empty set, 0 shingles
@@ -46,6 +47,8 @@ FIRST_BANDS = 2
 MISS = 1e-6
 #: Host members, or guests, and their shingles that meet in one group of step 4.
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Pairs of signatures that a task holds at a time in step 4.
+PAIRS = 1 << 16
 _RNG = np.random.default_rng(731)
 FACTORS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64)
@@ -197,12 +200,49 @@ def _open(members: DataFrame) -> DataFrame:
     return stored(members.join(mixed, "key"), "open")
 
 
-def _guests(members: DataFrame) -> DataFrame:
-    """``(host, m)``: each member of an open bucket with each larger class there (of
-    equally large ones the one with the larger id)."""
-    host = members.select("key", F.col("class").alias("host"), F.col("size").alias("host_size")).distinct()
-    larger = F.struct("host_size", "host") > F.struct("size", "class")
-    return members.join(host, "key").filter(larger).select("host", "host_size", "m").distinct()
+def _guests(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """``(host, host_size, m)``: each member of an open bucket with each larger class
+    there (of equally large ones the one with the larger id) in which some member's
+    signature may reach the threshold with its own. A bucket's members are compared in
+    blocks inside the tasks; only what passes becomes a row."""
+    least = least_matches(threshold)
+    size = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(size, "key").join(reps.select(F.col("rep").alias("m"), "n_shingles", "signature"), "m") \
+        .withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         "block", "m", "class", "size", "n_shingles", "signature")
+
+    def run(group: pa.Table) -> pa.Table:
+        names, owner, sizes = (group.column(c).to_pylist() for c in ("m", "class", "size"))
+        order = sorted(range(len(names)), key=lambda r: (sizes[r], owner[r]))
+        new = [k == 0 or owner[order[k]] != owner[order[k - 1]] for k in range(len(order))]
+        rank, sign = np.cumsum(new), _matrix(group.column("signature"))[order]
+        block, n = (group.column(c).to_numpy()[order] for c in ("block", "n_shingles"))
+        apart = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        ends = np.searchsorted(rank, rank, side="right")
+        step, found = max(1, PAIRS // len(order)), []
+        for at in range(0, len(order), step):
+            start = ends[at : at + step]
+            counts = len(order) - start
+            x = np.repeat(np.arange(at, at + len(start)), counts)
+            y = np.arange(counts.sum()) + np.repeat(start - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+            some = np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9
+            if apart:
+                some &= block[x] != block[y]
+            x, y = x[some], y[some]
+            match = np.zeros(len(x), np.int64)
+            for batch, low in enumerate(least):
+                cols = slice(batch * BATCH, (batch + 1) * BATCH)
+                match += (sign[x, cols] == sign[y, cols]).sum(axis=1)
+                keep = match >= low
+                x, y, match = x[keep], y[keep], match[keep]
+            found.append(np.unique(np.stack([x, ends[y] - 1]), axis=1))  # a class by its last member
+        x, y = np.concatenate(found, axis=1)
+        return pa.table({"host": pa.array([owner[order[k]] for k in y], pa.binary()), "host_size": pa.array([sizes[order[k]] for k in y], pa.int64()),
+                         "m": pa.array([names[order[k]] for k in x], pa.binary())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "host binary, host_size long, m binary").distinct()
 
 
 def _blocked(hosts: DataFrame, guests: DataFrame, threshold: float) -> DataFrame:
@@ -273,7 +313,7 @@ def near_duplicate_links(docs: DataFrame, sketched: DataFrame, threshold: float
     links = stored(links.union(verified(lead, "second")), "links")
 
     members = _open(_classed(members, links, "known"))
-    guests = stored(_guests(members), "guests")
+    guests = stored(_guests(members, reps, threshold), "guests")
     alone = guests.filter("host_size = 1").select(F.least("host", "m").alias("a"), F.greatest("host", "m").alias("b"))
     visits = guests.filter("host_size > 1").select("host", F.col("m").alias("rep"))
     hosts = stored(components(links).select(F.col("node").alias("rep"), F.col("component").alias("host"))
