@@ -112,3 +112,16 @@ def test_existing_dataset_is_found_by_uri_and_a_bad_one_fails(spark, tmp_path):
     (tmp_path / "bad" / "part-0.parquet").write_text("not parquet")
     with pytest.raises(Exception):
         io.read_existing(spark, f"file://{tmp_path}/bad").count()
+
+
+def test_metrics_read_their_rows_once_and_take_nulls(spark):
+    rows = [("a", "a"), ("a", "b"), ("b", "b"), (None, "a"), ("c", None)]
+    df = spark.createDataFrame(rows, "y STRING, pred STRING")
+    got = {r["label"]: (r["tp"], r["fp"], r["fn"], r["support"]) for r in evaluate.per_class(df).collect()}
+    assert got == {"a": (1, 1, 1, 2), "b": (1, 1, 0, 1), "c": (0, 0, 1, 1), None: (0, 1, 1, 1)}
+    acc = evaluate.accuracy(df).first()
+    assert (acc["n"], acc["accuracy"]) == (5, 2 / 3)
+    empty = evaluate.accuracy(df.limit(0)).first()
+    assert (empty["n"], empty["accuracy"]) == (0, None)
+    plan = evaluate.per_class(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

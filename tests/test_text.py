@@ -54,7 +54,23 @@ def test_sanitize_label_id(spark):
 
 def test_json_quote_matches_json_dumps(spark):
     import json
-    vals = ['a"b', "c\\d", "e\nf\tg", "中文"]
+    vals = ['a"b', "c\\d", "e\nf\tg", "中文", *(f"a{chr(i)}b" for i in range(0x20)), "\x7f\u2028"]
     df = spark.createDataFrame([(v,) for v in vals], "v STRING")
     got = [r[0] for r in df.select(T.json_quote("v")).collect()]
     assert got == [json.dumps(v, ensure_ascii=False) for v in vals]
+
+
+def test_split_lines_matches_splitlines(spark):
+    vals = ["", "a", "a\n", "\n", "a\r\nb\r", "a\x0bb\x0cc\n\n", "\x1ca\x1eb\x85", "a\u2028b\u2029", "a\n\rb", "a\x1fb "]
+    df = spark.createDataFrame([(v,) for v in vals], "v STRING")
+    assert [r[0] for r in df.select(T.split_lines("v")).collect()] == [v.splitlines() for v in vals]
+
+
+def test_question_column_by_name_and_fragment(spark):
+    from utterset.sources.columns import detect_question_column
+
+    def found(names):
+        return detect_question_column(spark.createDataFrame([("x",) * len(names)], names))
+    assert found(["id", "Text", " QUERY "]) == (" QUERY ", "exact")
+    assert found(["id", "text", "Text "]) == ("text", "exact")
+    assert found(["id", "user_text", "my_question"]) == ("user_text", "fragment")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .text import WS, py_strip
 
+# What is cut from a reply before it is parsed (Java regex syntax).
 FENCE = r"(?im)^```(?:json)?" + WS + r"*|" + WS + r"*```$"
 TRAILING_COMMA = r"," + WS + r"*([}\]])"
 

@@ -81,9 +81,24 @@ def json_quote(col) -> Column:
     c = F.replace(c, F.lit("\t"), F.lit("\\t"))
     c = F.replace(c, F.lit("\b"), F.lit("\\b"))
     c = F.replace(c, F.lit("\f"), F.lit("\\f"))
+    for code in sorted(set(range(0x20)) - set(b"\n\r\t\b\f")):
+        c = F.replace(c, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
     return F.concat(F.lit('"'), c, F.lit('"'))
 
 
+# What ends a line for Python's ``str.splitlines`` (Java regex syntax).
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
+
+
+def split_lines(col) -> Column:
+    """The lines of ``col`` as ``str.splitlines`` cuts them: no line after a final
+    line end, and none in an empty text."""
+    c = _c(col)
+    lines = F.split(c, LINE_END)
+    lines = F.when(c.rlike(f"({LINE_END})\\z"), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(lines)
+
+
 def contains_any(col, words) -> Column:
     """Substring-any predicate (FL-8): ``any(w in text for w in words)``."""
     c = _c(col)

@@ -5,8 +5,8 @@ Flow (one job, the annotator called at most once per cache miss):
 
 1. prompts + ``cache_key = sha1(text + label_json)`` (PX-12, PX-13);
 2. left join to the cache -> hits; left anti join -> misses;
-3. misses are spread over ``parallelism`` partitions and sent through
-   ``mapInPandas`` where the annotator (user code: a remote model client, a
+3. misses, in the partitions they come in (or ``parallelism`` of them, where a
+   service bounds its callers), go through ``mapInPandas`` where the annotator (user code: a remote model client, a
    local model or rules) runs with bounded retries and exponential back-off;
 4. replies are parsed JVM-side (PX-14..16); a failed call or an unusable reply
    gives OTHER with confidence 0.0 and an error row, and is *not* cached;
@@ -71,7 +71,7 @@ def _caller(annotator, attempts, wait_min, wait_max):
 
 
 def annotate(texts: DataFrame, annotator: Callable[[str], str], label_json: str,
-             cache_path: str | None = None, errors_path: str | None = None, parallelism: int = 5,
+             cache_path: str | None = None, errors_path: str | None = None, parallelism: int | None = None,
              attempts: int = 5, wait_min: float = 1.0, wait_max: float = 20.0,
              text_col: str = "text") -> DataFrame:
     """Label every row of ``texts`` (distinct texts expected, see WN-1).
@@ -90,7 +90,8 @@ def annotate(texts: DataFrame, annotator: Callable[[str], str], label_json: str,
         misses = todo.join(cache.select("cache_key"), "cache_key", "left_anti")
     else:
         hits, misses = None, todo
-    called = misses.select("cache_key", "text", "prompt").repartition(parallelism).mapInPandas(
+    misses = misses.select("cache_key", "text", "prompt")
+    called = (misses.repartition(parallelism) if parallelism else misses).mapInPandas(
         _caller(annotator, attempts, wait_min, wait_max),
         "cache_key STRING, text STRING, reply STRING, call_error STRING")
     parsed = called.withColumn("__v", parse_reply("reply"))

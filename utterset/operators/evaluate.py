@@ -21,8 +21,10 @@ def confusion_counts(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFra
 
 def accuracy(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """EV-1: one row ``(n, accuracy)``."""
-    return df.agg(F.count(F.lit(1)).alias("n"),
-                  F.avg((F.col(y) == F.col(pred)).cast("int")).alias("accuracy"))
+    same = F.col("y") == F.col("pred")
+    return confusion_counts(df, y, pred).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        (F.sum(F.when(same, F.col("n")).otherwise(0)) / F.sum(F.when(same.isNotNull(), F.col("n")))).alias("accuracy"))
 
 
 def _classes(conf: DataFrame, classes: DataFrame | None) -> DataFrame:
@@ -32,13 +34,19 @@ def _classes(conf: DataFrame, classes: DataFrame | None) -> DataFrame:
 
 
 def per_class(df: DataFrame, y: str = "y", pred: str = "pred", classes: DataFrame | None = None) -> DataFrame:
-    """``(label, tp, fp, fn, support, precision, recall, f1)`` per class."""
-    conf = confusion_counts(df, y, pred)
-    truth = conf.groupBy(F.col("y").alias("label")).agg(
-        F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    guessed = conf.groupBy(F.col("pred").alias("label")).agg(F.sum("n").alias("n_pred"))
-    cls = _classes(conf, classes)
-    t = cls.join(truth, "label", "left").join(guessed, "label", "left").fillna(0, ["support", "tp", "n_pred"])
+    """``(label, tp, fp, fn, support, precision, recall, f1)`` per class.
+
+    Each confusion count goes once to its true and once to its predicted class, so
+    ``df`` is read once."""
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    hit = F.when(F.col("y") == F.col("pred"), n).otherwise(zero)
+    sides = F.array(F.struct(F.col("y").alias("label"), n.alias("support"), hit.alias("tp"), zero.alias("n_pred")),
+                    F.struct(F.col("pred").alias("label"), zero.alias("support"), zero.alias("tp"), n.alias("n_pred")))
+    sums = ["support", "tp", "n_pred"]
+    t = confusion_counts(df, y, pred).select(F.inline(sides)).groupBy("label").agg(*[F.sum(c).alias(c) for c in sums])
+    if classes is not None:
+        wanted = classes.select(F.col(classes.columns[0]).alias("label")).distinct()
+        t = wanted.join(t, "label", "left").fillna(0, sums)
     tp, sup, npred = F.col("tp"), F.col("support"), F.col("n_pred")
     fp, fn = npred - tp, sup - tp
     return t.select(
@@ -61,7 +69,7 @@ def macro_scores(df: DataFrame, y: str = "y", pred: str = "pred", classes: DataF
 
 
 def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two single-row frames side by side with an equi-join on a constant key."""
+    """Put two single-row frames side by side (planned as a nested loop of one row by one)."""
     return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_key
-from ..functions.text import json_quote, text_prefix, token_estimate, trim_to_tokens
+from ..functions.text import json_quote, split_lines, text_prefix, token_estimate, trim_to_tokens
 
 # The labelling prompt (system part and user template, after
 # Python's str.format has turned doubled braces into single ones).
@@ -137,7 +137,7 @@ def trim_prompt_to_fit(user_col, system_prompt: str, max_context_tokens: int = 8
     """PX-11: fit a prompt into ``max_context - reserve - 20 - tokens(system)``.
 
     Over budget and containing ``marker``: keep the text up to the marker plus
-    a newline, then sample lines (split after the marker) while they fit. Still
+    a newline, then sample lines (as ``splitlines`` cuts them) while they fit. Still
     over budget: cut to the longest prefix within the allowance (PX-10).
     """
     u = F.col(user_col) if isinstance(user_col, str) else user_col
@@ -151,9 +151,7 @@ def trim_prompt_to_fit(user_col, system_prompt: str, max_context_tokens: int = 8
     pos = F.instr(u, marker)
     before = F.concat(u.substr(F.lit(1), pos - 1 + len(marker)), F.lit("\n"))
     rest = u.substr(pos + len(marker), F.length(u))
-    parts = F.split(rest, "\n")
-    parts = F.when(rest.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    parts = F.when(F.length(rest) == 0, F.array().cast("array<string>")).otherwise(parts)
+    parts = split_lines(rest)
     blen = F.length(before)
     init = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("k"), F.lit(False).alias("stop"))
 

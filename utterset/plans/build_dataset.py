@@ -31,7 +31,7 @@ from ..sources.columns import resolve_question_log
 
 def build_labelled_dataset(log: DataFrame, out_dir: str, annotator: Callable[[str], str],
                            label_space: DataFrame | None = None, pos_col: str | None = None,
-                           max_labels: int = 25, parallelism: int = 5, seed: int = 42,
+                           max_labels: int = 25, parallelism: int | None = None, seed: int = 42,
                            attempts: int = 5, wait_min: float = 1.0) -> dict[str, str]:
     """Run the whole route; returns the paths of the written tables."""
     spark = log.sparkSession
@@ -39,8 +39,8 @@ def build_labelled_dataset(log: DataFrame, out_dir: str, annotator: Callable[[st
     questions = clean_questions(q)
     if label_space is None:
         label_space, _ = model.induce_label_space(questions, max_labels=max_labels, seed=seed)
-    space = label_space.withColumn("label_pos", F.monotonically_increasing_id())
-    label_json = prompt.compact_label_space(space, order_col="label_pos")
+    # A stable order: the cache's keys hash this text, so a re-run must write the same.
+    label_json = prompt.compact_label_space(label_space, order_col="id")
 
     labelled = annotate.annotate(questions.select("text"), annotator, label_json,
                                  cache_path=os.path.join(out_dir, "label_cache"),
