@@ -49,3 +49,28 @@ def test_stream_merge_rerun_is_idempotent(spark):
     feeds.merge_feed(feeds.file_feed(spark, src, schema), table, ck).awaitTermination()
     second = sorted(tuple(r) for r in spark.read.parquet(table).select("text", "label", "pos").collect())
     assert second == [("t1", "A", 1), ("t2", "B", 3), ("t3", "C", 10)]
+
+
+def test_external_scorer_rejects_another_shape(spark):
+    import numpy as np
+    import pytest
+
+    from utterset.operators.external import score_external
+    df = spark.createDataFrame([("a",), (None,), ("b b",)], "text STRING")
+    got = score_external(df, lambda: lambda texts: np.array([[len(t), 4 - len(t)] for t in texts]) / 4, ["x", "y"], batch=2).collect()
+    assert sorted((r["text"] or "", r["intent"], r["confidence"]) for r in got) == [("", "y", 1.0), ("a", "y", 0.75), ("b b", "x", 0.75)]
+    with pytest.raises(Exception, match="for 3 texts|for 2 texts|for 1 texts"):
+        score_external(df, lambda: lambda texts: np.zeros((1, 3)), ["x", "y"]).collect()
+
+
+def test_training_loader_names_unknown_labels(spark, tmp_path):
+    import pytest
+
+    from utterset.sources import io
+    rows = [(" hi ", " a "), ("yo", "B"), (None, "a"), ("no", None)]
+    io.write_table(spark.createDataFrame(rows, "question STRING, label STRING"), str(tmp_path / "t"), "csv")
+    known = spark.createDataFrame([("A",), ("B",)], "label STRING")
+    got = io.read_labelled_csv(spark, str(tmp_path / "t"), known)
+    assert sorted(map(tuple, got.collect())) == [("hi", "A"), ("yo", "B")]
+    with pytest.raises(ValueError, match="B"):
+        io.read_labelled_csv(spark, str(tmp_path / "t"), known.filter("label = 'A'"))

@@ -6,6 +6,7 @@ tables. Column names match the SQL oracles in ``oracle.py`` one for one.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from ..session import cut_lineage
@@ -18,7 +19,7 @@ from ..functions.replies import parse_reply, reply_error, reply_fields
 from ..operators.containment import contained_pairs
 from ..operators.neardup import near_duplicate_pairs
 from ..operators.rank import dense_sequence
-from ..operators import annotate, audit, evaluate, generate, labels, merge, prompt, rules, split
+from ..operators import annotate, audit, evaluate, external, generate, labels, merge, prompt, rules, split
 from ..session import scratch_path
 from ..sources import io
 from ..streaming import feeds
@@ -40,6 +41,8 @@ LANG_RULES = [
     (4, [" the ", " and "], "en"),
 ]
 LANG_LABELS = ["de", "en", "es", "fr"]
+# Words whose counts make the stand-in for an external model, in the order of the labels.
+SHARE_WORDS = [" und ", " the ", " el ", " le "]
 
 
 # --- cleaning / dedup ------------------------------------------------------
@@ -459,6 +462,31 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha1("text").alias("text_sha1"), F.length("text").alias("n_chars"))
 
 
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-2, FL-2, PX-5, FL-4: the training loader on a CSV of all documents with
+    padded lower-case labels."""
+    path = scratch_path(spark, "training")
+    padded = F.concat(F.lit("  "), F.lower("lang"), F.lit(" "))
+    io.write_table(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sentence"), padded.alias("label")), path, "csv")
+    known = table(spark, sf_dir, "documents").select(F.upper("lang").alias("label")).distinct()
+    rows = io.read_labelled_csv(spark, path, known, keep=("doc_id",))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "label", F.sha1("text").alias("text_sha1"))
+
+
+def _word_share_model():
+    """A stand-in for a user's model: each language's share of the counted words."""
+    def predict(texts):
+        counts = np.array([[1 + t.count(w) for w in SHARE_WORDS] for t in texts], dtype=float)
+        return counts / counts.sum(axis=1, keepdims=True)
+    return predict
+
+
+def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD-4: all documents scored by a model that the user brings."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return external.score_external(d, _word_share_model, LANG_LABELS).select("doc_id", "intent", "confidence")
+
+
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-4: the labelled set as JSON Lines and back."""
     d = tables.labelled_set(spark, sf_dir)
@@ -555,6 +583,8 @@ QUERIES = {
     "stream_merge_documents": stream_merge_documents,
     "csv_round_trip": csv_round_trip,
     "json_round_trip": json_round_trip,
+    "training_rows": training_rows,
+    "external_scores": external_scores,
     "model_eval_lang": model_eval_lang,
     "induced_label_space": induced_label_space,
     "build_dataset_sizes": build_dataset_sizes,

@@ -477,5 +477,11 @@ ORACLES_6 = {
                               "FROM documents GROUP BY text, source",
     "csv_round_trip": ROUND_TRIP,
     "json_round_trip": ROUND_TRIP,
+    "training_rows": f"""SELECT doc_id, upper({strip('lang')}) AS label, sha1({strip('text')}) AS text_sha1
+FROM documents WHERE text <> '' AND lang IS NOT NULL""",
+    "external_scores": """WITH n AS (SELECT doc_id, [1 + (length(t) - length(replace(t, ' und ', ''))) / 5,
+1 + (length(t) - length(replace(t, ' the ', ''))) / 5, 1 + (length(t) - length(replace(t, ' el ', ''))) / 4,
+1 + (length(t) - length(replace(t, ' le ', ''))) / 4] AS x FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, ['de', 'en', 'es', 'fr'][list_position(x, list_max(x))] AS intent, round(list_max(x) / list_sum(x), 4) AS confidence FROM n""",
 }
 ORACLES.update(ORACLES_6)

@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import py_strip
+from ..operators.labels import normalize_labels, require_known_labels
 from ..session import path_exists
 from .columns import training_text_column
 
@@ -30,12 +32,15 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return r.parquet(path)
 
 
-def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """IO-2: a labelled CSV; the text column is the first present of the known
-    names (else the job fails); rows with a null text or label are dropped."""
+def read_labelled_csv(spark: SparkSession, path: str, known: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """IO-2 + FL-2 + PX-5 + FL-4: ``(*keep, text, label)`` of a labelled CSV.
+
+    The text column is the first present of the known names (else the job fails);
+    rows with a null text or label are dropped, texts stripped, labels stripped and
+    upper-cased; a label that the first column of ``known`` lacks fails the job."""
     df = read_table(spark, path, "csv")
-    col = training_text_column(df)
-    return df.select(F.col(col).alias("text"), F.col("label")).dropna(subset=["text", "label"])
+    rows = df.select(*keep, F.col(training_text_column(df)).alias("text"), "label").dropna(subset=["text", "label"])
+    return require_known_labels(normalize_labels(rows.withColumn("text", py_strip("text"))), known)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite") -> None:
