@@ -47,13 +47,6 @@ def prob_map(labels: list[str], probs, digits: int = 4) -> Column:
     return F.map_from_arrays(lab, rounded(checked, digits))
 
 
-def normalise(scores, digits: int = 4) -> Column:
-    """PX-21: divide by the sum, round."""
-    s = _c(scores)
-    tot = F.aggregate(s, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(s, lambda v: F.round(v / tot, digits))
-
-
 def top_k(probs, k: int = 2, digits: int = 4) -> Column:
     """SO-3: the k largest rounded probabilities as ``array<struct<idx, prob>>``,
     ties by index (a stable sort on the rounded values, as the reference)."""

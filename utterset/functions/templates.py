@@ -132,16 +132,3 @@ TEMPLATE_SETS = {
 }
 
 LABEL_ORDER = list(TEMPLATE_SETS)
-
-
-def template_rows(sets=TEMPLATE_SETS):
-    """``(label, grp, tmpl_idx, template)`` rows."""
-    return [(lab, g, i, t) for lab, groups in sets.items()
-            for g, (tmpls, _) in enumerate(groups) for i, t in enumerate(tmpls)]
-
-
-def vocab_rows(sets=TEMPLATE_SETS):
-    """``(label, grp, slot, slot_order, val_idx, value)`` rows."""
-    return [(lab, g, slot, so, vi, v) for lab, groups in sets.items()
-            for g, (_, voc) in enumerate(groups) for so, (slot, vals) in enumerate(voc.items())
-            for vi, v in enumerate(vals)]

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_upper
+from ..session import cut_lineage
 from .rank import bounded_broadcast
 
+#: Unknown labels that the error names.
+NAMED_LABELS = 100
+
 
 def normalize_labels(df: DataFrame, label_col: str = "label") -> DataFrame:
     """PX-5: strip and upper-case the label column."""
@@ -63,11 +67,13 @@ def unknown_labels(df: DataFrame, known: DataFrame, label_col: str = "label") ->
 
 
 def require_known_labels(df: DataFrame, known: DataFrame, label_col: str = "label") -> DataFrame:
-    """FL-4: fail the job, naming unknown labels and their counts."""
-    bad = unknown_labels(df, known, label_col).orderBy(label_col).limit(1000).collect()
-    if bad:
-        counts = {r[label_col]: r["count"] for r in bad}
-        raise ValueError(f"labels not in the label table: {sorted(counts)}, counts: {counts}")
+    """FL-4: fail the job with the number of unknown labels and of their rows, and the
+    names and counts of the first ``NAMED_LABELS``; ``unknown_labels`` has them all."""
+    bad = cut_lineage(unknown_labels(df, known, label_col))
+    total = bad.agg(F.count(F.lit(1)).alias("labels"), F.sum("count").alias("rows")).first()
+    if total["labels"]:
+        first = {r[label_col]: r["count"] for r in bad.orderBy(label_col).limit(NAMED_LABELS).collect()}
+        raise ValueError(f"{total['labels']} labels of {total['rows']} rows are not in the label table; the first: {first}")
     return df
 
 
