@@ -96,6 +96,35 @@ def test_near_duplicates_in_chains_and_open_buckets(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_guests_do_not_depend_on_blocks(spark, monkeypatch):
+    """Members of open buckets, dealt over one block and over many: the same guests, as brute force finds them."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, neardup.HASHES, dtype=np.uint32)
+    reps, members = [], []
+    for i in range(30):
+        sign = base.copy()
+        other = rng.random(neardup.HASHES) < (0.05, 0.2, 0.7)[i % 3]
+        sign[other] = rng.integers(0, 1 << 32, other.sum(), dtype=np.uint32)
+        name = bytes([i])
+        reps.append((name, 100 + i % 2 * 20, sign.astype("<u4").tobytes()))
+        owner, size = (b"\xff", 9) if i < 9 else (name, 1)
+        members += [(key, name, owner, size) for key in range(2)]
+    reps_df = spark.createDataFrame(reps, "rep binary, n_shingles long, signature binary")
+    members_df = spark.createDataFrame(members, "key long, m binary, class binary, size long")
+    least, want = neardup.least_matches(0.75), set()
+    for _, x, cx, sx in members:
+        for _, y, cy, sy in members:
+            a, b = (np.frombuffer(reps[r[0]][2], "<u4") for r in (x, y))
+            passes = all((a[:n] == b[:n]).sum() >= low for n, low in zip(range(16, 241, 16), least))
+            if (sx, cx) < (sy, cy) and passes:
+                want.add((cy, sy, x))
+    for block, pairs in ((4096, 1 << 16), (4, 7)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        got = [(bytes(r["host"]), r["host_size"], bytes(r["m"])) for r in neardup._guests(members_df, reps_df, 0.75).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_posterior_bounds_rise_with_the_number_of_hashes():
     least = neardup.least_matches(0.75)
     assert least == sorted(least) and all(m < 0.75 * 16 * (i + 1) for i, m in enumerate(least))
