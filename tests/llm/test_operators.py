@@ -345,3 +345,26 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert ids <= 2
     packed = P.STAGES[-1][1](spark, docs, sf).collect()
     assert {i for r in packed for i in r["doc_ids"]} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_phrase_dedup_deals_a_hot_passage_evenly(spark, monkeypatch):
+    """A passage that all documents hold: no bucket gets more phrases than its share, over
+    one block and over many, and documents lose what brute force says."""
+    rng = random.Random(8)
+    hot = words(rng, 30)
+    texts = [" ".join([f"a{i}x{j}" for j in range(20)] + [hot] + [f"b{i}x{j}" for j in range(20)]) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for size in (1 << 19, 500):
+        monkeypatch.setattr(phrase_dedup, "BLOCK_PHRASES", size)
+        monkeypatch.setattr(phrase_dedup, "BUCKET_PHRASES", 200)
+        keyed = df.select(F.col("doc_id").alias("row_key"), "doc_id", "text")
+
+        class All:
+            @staticmethod
+            def test(hashes):
+                return np.ones(len(hashes), bool)
+        cells = phrase_dedup._cells(phrase_dedup._blocks(keyed, All), 100)
+        sizes = [r[0] for r in cells.groupBy("bucket").agg(F.sum("n")).select("sum(n)").collect()]
+        assert max(sizes) <= 1.5 * sum(sizes) / len(sizes)
+        got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in phrase_dedup.phrase_dedup(df).collect()}
+        assert got == {i: (30, " ".join(t.split()[:20] + t.split()[50:])) if i else (0, t) for i, t in enumerate(texts)}

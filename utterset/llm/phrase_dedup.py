@@ -1,18 +1,18 @@
-"""Substring dedup with sharded automata of repeated phrases.
+"""Substring dedup by first documents of repeated phrases.
 
 A phrase is 13 consecutive words. Each one has an anchor: the 6 words in it whose hash
 is smallest, so the same phrase has the same anchor in whatever document it stands.
 
 1. Two Bloom filters over all documents' anchors keep the anchors that may be in two
-   documents; only they go on. No repeated phrase is lost.
-2. Neighbouring phrases with one anchor make a segment of word symbols (the words' 32-bit
-   hashes). Equal segments are merged with the smallest and largest ``doc_id`` they are
-   in, then dealt to shards by anchor, so that all places of a phrase meet in one shard.
-3. A shard confirms the phrases that are in two documents, compiles them into an
-   Aho-Corasick automaton and streams its segments through it, which gives the first
-   document of the phrase at each place.
-4. Places go back to their documents; a word that a phrase of an earlier document
-   covers is dropped.
+   documents; only their phrases go on. No repeated phrase is lost.
+2. A task puts the phrases of its documents into blocks of bounded size. A block keeps
+   each distinct phrase once, by its hash, with the smallest ``doc_id`` it is in there.
+3. Blocks' distinct phrases are dealt to buckets by the phrase's hash, not by anchor. A
+   phrase comes once a block, however many documents hold it, so that a passage of all
+   documents makes no bucket large. A bucket tells each block which of its phrases are
+   in an earlier document of another block.
+4. Each block finds the places of these phrases in its documents, and a word that a
+   phrase of an earlier document covers is dropped.
 
 Edge cases: a null text has no words; texts of fewer than 13 words lose none; a null
 ``doc_id`` is neither earlier nor later than another; rows of one ``doc_id`` are one
@@ -27,17 +27,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import repeated
 from .tables import stored, widened, without
-from .wordops import Words, packed, slices, split_words, windows, word_hashes
+from .wordops import U, Words, slices, split_words, windows, word_hashes
 
 PHRASE, ANCHOR = 13, 6
 FILTER_BITS = 1 << 29
-#: Distinct segments of a shard, on average.
-SHARD_SEGMENTS = 20_000
+#: Phrases of a block (a slice of a batch or one long text more at most), and rows it is stored in.
+BLOCK_PHRASES, PART_BITS = 1 << 19, 5
+PARTS = 1 << PART_BITS
+#: Phrases of a bucket, on average.
+BUCKET_PHRASES = 1 << 18
+BLOCK_SCHEMA = "block long, part int, at int, n long, phrases binary, low binary, keys binary, counts binary, gaps binary, entry binary, late binary"
+BLOCK_NAMES = [column.split()[0] for column in BLOCK_SCHEMA.split(", ")]
+BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
 
 
 def phrase_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,10 +80,42 @@ def _distinct(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     return value[fresh]
 
 
-def _segments(docs: DataFrame, suspect) -> DataFrame:
-    """``(row_key, doc_id, start, anchor, symbols)`` of all segments with a suspected anchor."""
+def _phrase_hashes(words: Words, start: np.ndarray) -> np.ndarray:
+    """The 64-bit hashes of the phrases that start at the words ``start``."""
+    flat, _ = windows(Words(words.hashes, np.array([0, len(words.hashes)])), PHRASE)
+    return flat[start]
+
+
+def _block(block: int, held: list[tuple]) -> pa.RecordBatch:
+    """One block's rows: its distinct phrases with their first document, in ``PARTS`` rows
+    by hash, and a row (part -1) with the places of its documents' phrases."""
+    keys, counts, docs, starts, phrase = (np.concatenate(x) for x in zip(*held, strict=True))
+    doc = np.repeat(docs, counts)
+    order = np.argsort(phrase, kind="stable")
+    sorted_phrase = phrase[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = sorted_phrase[1:] != sorted_phrase[:-1]
+    first = np.flatnonzero(fresh)
+    low = np.minimum.reduceat(doc[order], first)
+    entry = np.empty(len(order), np.int32)
+    entry[order] = np.cumsum(fresh) - 1
+    late = low[entry] < doc
+    own = sorted_phrase[first]
+    cuts = np.searchsorted(own >> U(64 - PART_BITS), np.arange(PARTS + 1, dtype=U))
+    rows = [(block, p, int(a), int(b - a), own[a:b].astype("<u8").tobytes(), low[a:b].astype("<i8").tobytes(), None, None, None, None, None)
+            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+    gaps = np.diff(starts, prepend=0)  # mostly 1: small when compressed
+    rows.append((block, -1, 0, 0, None, None, keys.astype("<i8").tobytes(), counts.astype("<i4").tobytes(),
+                 gaps.astype("<i4").tobytes(), entry.astype("<i4").tobytes(), np.packbits(late).tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
+
+
+def _blocks(docs: DataFrame, suspect) -> DataFrame:
+    """Blocks of about ``BLOCK_PHRASES`` phrases with a suspected anchor; all of a
+    document's phrases are in one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, n = TaskContext.get().partitionId() << 33, [], 0
         for batch in batches:
             for part in slices(batch):
                 words = word_hashes(part.column("text"))
@@ -85,65 +124,88 @@ def _segments(docs: DataFrame, suspect) -> DataFrame:
                     continue
                 flat, _ = windows(Words(words.hashes, np.array([0, len(words.hashes)])), ANCHOR)
                 hit = suspect.test(flat[at])
-                text, start, at = text[hit], start[hit], at[hit]
+                text, start = text[hit], start[hit]
                 if not len(text):
                     continue
-                first = np.ones(len(text), bool)
-                first[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
-                begin = np.flatnonzero(first)
-                end = np.append(begin[1:], len(text)) - 1
-                low, high = start[begin], start[end] + PHRASE
-                symbols = words.hashes.astype("<u4")
-                size = high - low
-                offsets = np.concatenate(([0], np.cumsum(size)))
-                place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size) + np.repeat(low, size)
-                rows = pa.array(text[begin])
+                rows, counts = np.unique(text, return_counts=True)
+                held.append((part.column("row_key").to_numpy()[rows], counts, part.column("doc_id").to_numpy()[rows],
+                             start - words.offsets[text], _phrase_hashes(words, start)))
+                n += len(start)
+                if n >= BLOCK_PHRASES:
+                    yield _block(block, held)
+                    block, held, n = block + 1, [], 0
+        if held:
+            yield _block(block, held)
+
+    # A null doc_id is neither earlier nor later than another.
+    return docs.filter("doc_id is not null").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def _cells(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``(bucket, block, at, n, phrases, low)``: the blocks' distinct phrases by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                phrase, low = np.frombuffer(row["phrases"], "<u8"), np.frombuffer(row["low"], "<i8")
+                bucket = ((phrase >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+                parts = list(zip(cuts[:-1], cuts[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pc.take(part.column("row_key"), rows), pc.take(part.column("doc_id"), rows),
-                     pa.array((low - words.offsets[text[begin]]).astype(np.int32)), pa.array(flat[at[begin]].astype(np.int64)),
-                     packed(symbols[place], offsets)], names=["row_key", "doc_id", "start", "anchor", "symbols"])
-
-    return docs.mapInArrow(run, "row_key long, doc_id long, start int, anchor long, symbols binary")
-
-
-def _located(segments: DataFrame) -> DataFrame:
-    """``(anchor, symbols_key, owners)`` of distinct segments with repeated phrases:
-    for each phrase of the segment the first document it is in, or null."""
-    merged = segments.groupBy("anchor", "symbols").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    # Beside other segments a segment of one document can still hold a repeated phrase.
-    shards = max(1, segments.count() // SHARD_SEGMENTS)
-
-    def run(table: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        texts = [tuple(np.frombuffer(x, "<u4").tolist()) for x in table.column("symbols").to_pylist()]
-        span: dict[tuple, tuple] = {}
-        for symbols, low, high in zip(texts, table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True):
-            if low is None:
-                continue
-            for i in range(len(symbols) - PHRASE + 1):
-                phrase = symbols[i : i + PHRASE]
-                seen = span.get(phrase)
-                span[phrase] = (low, high) if seen is None else (min(seen[0], low), max(seen[1], high))
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for phrase, (low, high) in span.items():
-            if low < high:
-                automaton.add_word(phrase, low)
-        keep, owners = [], []
-        if len(automaton):
-            automaton.make_automaton()
-            for row, symbols in enumerate(texts):
-                first: list = [None] * (len(symbols) - PHRASE + 1)
-                for end, low in automaton.iter(symbols):
-                    first[end - PHRASE + 1] = low
-                if any(x is not None for x in first):
-                    keep.append(row)
-                    owners.append(first)
-        some = table.select(["anchor", "symbols_key"]).take(pa.array(keep, pa.int64()))
-        return some.append_column("owners", pa.array(owners, pa.list_(pa.int64())))
-
-    keyed = merged.withColumns({"shard": F.pmod("anchor", F.lit(shards)), "symbols_key": F.xxhash64("symbols")})
-    return keyed.groupBy("shard").applyInArrow(run, "anchor long, symbols_key long, owners array<long>")
+                    [pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()),
+                     pa.array([row["at"] + int(a) for a, _ in parts], pa.int32()), pa.array([int(b - a) for a, b in parts], pa.int64()),
+                     pa.array([phrase[a:b].tobytes() for a, b in parts], pa.binary()),
+                     pa.array([low[a:b].tobytes() for a, b in parts], pa.binary())],
+                    names=["bucket", "block", "at", "n", "phrases", "low"])
+
+    return blocks.filter("part >= 0").select("block", "at", "phrases", "low") \
+        .mapInArrow(run, "bucket int, block long, at int, n long, phrases binary, low binary")
+
+
+def _earlier(cells: DataFrame) -> DataFrame:
+    """``(block, entries)``: a block's phrases that another block has in an earlier document."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.select(["block", "at", "phrases", "low"]).to_pylist()]
+        phrase = np.concatenate([np.frombuffer(r["phrases"], "<u8") for r in rows])
+        low = np.concatenate([np.frombuffer(r["low"], "<i8") for r in rows])
+        order = np.argsort(phrase, kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = phrase[order][1:] != phrase[order][:-1]
+        least = np.empty(len(order), np.int64)
+        least[order] = np.minimum.reduceat(low[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        late, ends = least < low, np.cumsum([len(r["low"]) // 8 for r in rows])
+        out = [(r["block"], (np.flatnonzero(late[b - len(r["low"]) // 8 : b]) + r["at"]).astype("<i4").tobytes()) for r, b in zip(rows, ends, strict=True)]
+        out = [x for x in out if x[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())],
+                                         names=["block", "entries"])
+
+    return cells.groupBy("bucket").applyInArrow(run, "block long, entries binary")
+
+
+def _drops(blocks: DataFrame) -> DataFrame:
+    """``(row_key, starts)``: where phrases of earlier documents start in a document."""
+    phrases = blocks.agg(F.sum("n")).first()[0] or 0
+    earlier = _earlier(_cells(blocks, phrases // BUCKET_PHRASES + 1))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, starts = [], []
+        for row in left.to_pylist():
+            counts, entry = np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["entry"], "<i4")
+            start = np.cumsum(np.frombuffer(row["gaps"], "<i4"))
+            known = np.zeros(int(entry.max()) + 1, bool)
+            for part in right.column("entries").to_pylist():
+                known[np.frombuffer(part, "<i4")] = True
+            late = known[entry] | np.unpackbits(np.frombuffer(row["late"], np.uint8), count=len(entry)).astype(bool)
+            text = np.repeat(np.arange(len(counts)), counts)[late]
+            some, at = np.unique(text, return_index=True)
+            keys.append(np.frombuffer(row["keys"], "<i8")[some])
+            starts += np.split(start[late].astype(np.int32), at[1:]) if len(some) else []
+        flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+        return pa.table({"row_key": pa.array(flat, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32()))})
+
+    places = blocks.filter("part = -1").select("block", "keys", "counts", "gaps", "entry", "late")
+    return places.groupBy("block").cogroup(earlier.groupBy("block")).applyInArrow(run, "row_key long, starts array<int>")
 
 
 def phrase_dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -153,12 +215,10 @@ def phrase_dedup(docs: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     names = docs.columns
     own = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     suspect = repeated(docs.select("text"), _anchor_hashes, filter_bits)
-    segments = stored(_segments(own.select(F.col("__row").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), suspect), "segments")
-    places = segments.select("row_key", "doc_id", "start", "anchor", F.xxhash64("symbols").alias("symbols_key")) \
-        .join(_located(segments), ["anchor", "symbols_key"])
-    late = F.filter(F.sequence(F.lit(0), F.size("owners") - 1), lambda j: F.get("owners", j) < F.col("doc_id"))
-    places = places.select("row_key", F.transform(late, lambda j: j + F.col("start")).alias("starts")).filter("size(starts) > 0")
-    drops = places.groupBy("row_key").agg(F.flatten(F.collect_list("starts")).alias("__starts"))
+    keyed = own.select(F.col("__row").alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = stored(_blocks(keyed, suspect), "blocks")
+    # Equal rows have equal places.
+    drops = _drops(blocks).groupBy("row_key").agg(F.first("starts").alias("__starts"))
     joined = own.join(drops, own["__row"] == drops["row_key"], "left").select(*names, "__starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
