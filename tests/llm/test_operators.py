@@ -368,3 +368,22 @@ def test_phrase_dedup_deals_a_hot_passage_evenly(spark, monkeypatch):
         assert max(sizes) <= 1.5 * sum(sizes) / len(sizes)
         got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in phrase_dedup.phrase_dedup(df).collect()}
         assert got == {i: (30, " ".join(t.split()[:20] + t.split()[50:])) if i else (0, t) for i, t in enumerate(texts)}
+
+
+def test_phrase_dedup_tells_words_with_equal_low_bits_apart(spark):
+    """Template lines that differ in a word whose hash has the same low 32 bits are no copies."""
+    import pyarrow as pa
+
+    from utterset.llm.wordops import hash_strings
+
+    names = [f"id{i}" for i in range(400_000)]
+    low = hash_strings(pa.array(names)).astype("<u4")
+    order = np.argsort(low, kind="stable")
+    same = np.flatnonzero(low[order][1:] == low[order][:-1])
+    a, b = names[order[same[0]]], names[order[same[0] + 1]]
+    texts = []
+    for k in range(12):
+        line = [f"t{k}x{j}" for j in range(12)]
+        texts += [" ".join([*line[:k], x, *line[k:]]) for x in (a, b)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["n_removed"], r["text"]) for r in phrase_dedup.phrase_dedup(df).collect()} == {(i, 0, t) for i, t in enumerate(texts)}

@@ -33,18 +33,19 @@ from pyspark.sql import functions as F
 
 from .bloom import repeated
 from .tables import stored, widened, without
-from .wordops import U, Words, slices, split_words, windows, word_hashes
+from .wordops import U, Words, mix, slices, split_words, windows, word_hashes
 
 PHRASE, ANCHOR = 13, 6
 FILTER_BITS = 1 << 29
+SECOND_KEY = U(0xA0761D6478BD642F)
 #: Phrases of a block (a slice of a batch or one long text more at most), and rows it is stored in.
 BLOCK_PHRASES, PART_BITS = 1 << 19, 5
 PARTS = 1 << PART_BITS
 #: Phrases of a bucket, on average.
 BUCKET_PHRASES = 1 << 18
-BLOCK_SCHEMA = "block long, part int, at int, n long, phrases binary, low binary, keys binary, counts binary, gaps binary, entry binary, late binary"
+BLOCK_SCHEMA = "block long, part int, at int, n long, phrases binary, checks binary, low binary, keys binary, counts binary, gaps binary, entry binary, late binary"
 BLOCK_NAMES = [column.split()[0] for column in BLOCK_SCHEMA.split(", ")]
-BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
+BLOCK_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
 
 
 def phrase_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,32 +81,41 @@ def _distinct(text: np.ndarray, value: np.ndarray) -> np.ndarray:
     return value[fresh]
 
 
-def _phrase_hashes(words: Words, start: np.ndarray) -> np.ndarray:
-    """The 64-bit hashes of the phrases that start at the words ``start``."""
-    flat, _ = windows(Words(words.hashes, np.array([0, len(words.hashes)])), PHRASE)
-    return flat[start]
+def _phrase_hashes(words: Words, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits for each of the phrases that start at the words ``start``: a 64-bit hash of
+    the words' whole hashes and 32 bits of one of other hashes of the words."""
+    whole = np.array([0, len(words.hashes)])
+    flat, _ = windows(Words(words.hashes, whole), PHRASE)
+    other, _ = windows(Words(mix(words.hashes ^ SECOND_KEY), whole), PHRASE)
+    return flat[start], other[start].astype("<u4")
+
+
+def _grouped(phrase: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by phrase, and where a new phrase begins in it."""
+    order = np.lexsort((check, phrase))
+    phrase, check = phrase[order], check[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (phrase[1:] != phrase[:-1]) | (check[1:] != check[:-1])
+    return order, fresh
 
 
 def _block(block: int, held: list[tuple]) -> pa.RecordBatch:
     """One block's rows: its distinct phrases with their first document, in ``PARTS`` rows
     by hash, and a row (part -1) with the places of its documents' phrases."""
-    keys, counts, docs, starts, phrase = (np.concatenate(x) for x in zip(*held, strict=True))
+    keys, counts, docs, starts, phrase, check = (np.concatenate(x) for x in zip(*held, strict=True))
     doc = np.repeat(docs, counts)
-    order = np.argsort(phrase, kind="stable")
-    sorted_phrase = phrase[order]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = sorted_phrase[1:] != sorted_phrase[:-1]
+    order, fresh = _grouped(phrase, check)
     first = np.flatnonzero(fresh)
     low = np.minimum.reduceat(doc[order], first)
     entry = np.empty(len(order), np.int32)
     entry[order] = np.cumsum(fresh) - 1
     late = low[entry] < doc
-    own = sorted_phrase[first]
+    own, check = phrase[order[first]], check[order[first]]
     cuts = np.searchsorted(own >> U(64 - PART_BITS), np.arange(PARTS + 1, dtype=U))
-    rows = [(block, p, int(a), int(b - a), own[a:b].astype("<u8").tobytes(), low[a:b].astype("<i8").tobytes(), None, None, None, None, None)
+    rows = [(block, p, int(a), int(b - a), own[a:b].astype("<u8").tobytes(), check[a:b].tobytes(), low[a:b].astype("<i8").tobytes(), None, None, None, None, None)
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
     gaps = np.diff(starts, prepend=0)  # mostly 1: small when compressed
-    rows.append((block, -1, 0, 0, None, None, keys.astype("<i8").tobytes(), counts.astype("<i4").tobytes(),
+    rows.append((block, -1, 0, 0, None, None, None, keys.astype("<i8").tobytes(), counts.astype("<i4").tobytes(),
                  gaps.astype("<i4").tobytes(), entry.astype("<i4").tobytes(), np.packbits(late).tobytes()))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), BLOCK_TYPES, strict=True)], names=BLOCK_NAMES)
 
@@ -129,7 +139,7 @@ def _blocks(docs: DataFrame, suspect) -> DataFrame:
                     continue
                 rows, counts = np.unique(text, return_counts=True)
                 held.append((part.column("row_key").to_numpy()[rows], counts, part.column("doc_id").to_numpy()[rows],
-                             start - words.offsets[text], _phrase_hashes(words, start)))
+                             start - words.offsets[text], *_phrase_hashes(words, start)))
                 n += len(start)
                 if n >= BLOCK_PHRASES:
                     yield _block(block, held)
@@ -142,12 +152,12 @@ def _blocks(docs: DataFrame, suspect) -> DataFrame:
 
 
 def _cells(blocks: DataFrame, buckets: int) -> DataFrame:
-    """``(bucket, block, at, n, phrases, low)``: the blocks' distinct phrases by hash."""
+    """``(bucket, block, at, n, phrases, checks, low)``: the blocks' distinct phrases by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                phrase, low = np.frombuffer(row["phrases"], "<u8"), np.frombuffer(row["low"], "<i8")
+                phrase, check, low = (np.frombuffer(row[n], t) for n, t in (("phrases", "<u8"), ("checks", "<u4"), ("low", "<i8")))
                 bucket = ((phrase >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
                 cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
                 parts = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -155,23 +165,21 @@ def _cells(blocks: DataFrame, buckets: int) -> DataFrame:
                     [pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["block"]] * len(parts), pa.int64()),
                      pa.array([row["at"] + int(a) for a, _ in parts], pa.int32()), pa.array([int(b - a) for a, b in parts], pa.int64()),
                      pa.array([phrase[a:b].tobytes() for a, b in parts], pa.binary()),
+                     pa.array([check[a:b].tobytes() for a, b in parts], pa.binary()),
                      pa.array([low[a:b].tobytes() for a, b in parts], pa.binary())],
-                    names=["bucket", "block", "at", "n", "phrases", "low"])
+                    names=["bucket", "block", "at", "n", "phrases", "checks", "low"])
 
-    return blocks.filter("part >= 0").select("block", "at", "phrases", "low") \
-        .mapInArrow(run, "bucket int, block long, at int, n long, phrases binary, low binary")
+    return blocks.filter("part >= 0").select("block", "at", "phrases", "checks", "low") \
+        .mapInArrow(run, "bucket int, block long, at int, n long, phrases binary, checks binary, low binary")
 
 
 def _earlier(cells: DataFrame) -> DataFrame:
     """``(block, entries)``: a block's phrases that another block has in an earlier document."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.select(["block", "at", "phrases", "low"]).to_pylist()]
-        phrase = np.concatenate([np.frombuffer(r["phrases"], "<u8") for r in rows])
-        low = np.concatenate([np.frombuffer(r["low"], "<i8") for r in rows])
-        order = np.argsort(phrase, kind="stable")
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = phrase[order][1:] != phrase[order][:-1]
+        rows = [r for batch in batches for r in batch.select(["block", "at", "phrases", "checks", "low"]).to_pylist()]
+        phrase, check, low = (np.concatenate([np.frombuffer(r[n], t) for r in rows]) for n, t in (("phrases", "<u8"), ("checks", "<u4"), ("low", "<i8")))
+        order, fresh = _grouped(phrase, check)
         least = np.empty(len(order), np.int64)
         least[order] = np.minimum.reduceat(low[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
         late, ends = least < low, np.cumsum([len(r["low"]) // 8 for r in rows])
