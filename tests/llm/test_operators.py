@@ -387,3 +387,32 @@ def test_phrase_dedup_tells_words_with_equal_low_bits_apart(spark):
         texts += [" ".join([*line[:k], x, *line[k:]]) for x in (a, b)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r["doc_id"], r["n_removed"], r["text"]) for r in phrase_dedup.phrase_dedup(df).collect()} == {(i, 0, t) for i, t in enumerate(texts)}
+
+
+def test_containment_counts_whole_documents(spark):
+    """Items with repeated words, copies with insertions and parts far apart: the pairs that
+    brute force finds by counting distinct shingles without windows."""
+    rng = random.Random(21)
+    phrase = words(rng, 6)
+    table = f"{words(rng, 20, 10**6)} " + f"{phrase} " * 30 + words(rng, 20, 10**6)
+    plain, pair = words(rng, 60, 10**6), (words(rng, 40, 10**6), words(rng, 40, 10**6))
+    items = {1: table, 2: plain, 3: " ".join(pair), 4: "one two", 5: words(rng, 9, 10**6)}
+    w = plain.split()
+    texts = [f"{words(rng, k, 10**6)} {table} {words(rng, 300, 10**6)}" for k in (0, 37, 64, 101, 500)]
+    texts += [" ".join([*w[:30], words(rng, k, 10**6), *w[30:]]) for k in (0, 40, 200, 3000)]
+    texts += [f"{pair[0]} {words(rng, 900, 10**6)} {pair[1]}", f"{pair[1]} {words(rng, 900, 10**6)} {pair[0]}", pair[0], "a one two b", "one x two"]
+    texts += [" ".join(x for x in w if rng.random() > part) for part in (0.02, 0.05, 0.06, 0.08, 0.2)]
+
+    def sets(text, width):
+        t = text.split()
+        return {tuple(t[i:i + width]) for i in range(len(t) - width + 1)}
+    want = set()
+    for j, item in items.items():
+        width = min(5, len(item.split()))
+        s = sets(item, width)
+        want |= {(i, j) for i, text in enumerate(texts) if len(s & sets(text, width)) / len(s) >= 0.75}
+    got = leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(i, 1) for i in range(5)} | {(i, 2) for i in range(5, 9)} | {(9, 3), (10, 3), (12, 4)} <= want
+    assert len(got) == len(want) and {(r["doc_id"], r["item_id"]) for r in got} == want
+    assert all(r["containment"] == 1 and r["last_word"] - r["first_word"] == 219 for r in got if r["item_id"] == 1)

@@ -1,18 +1,18 @@
 """Finding short texts inside long ones, with DataFrame functions only.
 
-Items (license templates, benchmark questions) are put into size classes by their
-number of distinct 5-word shingles: class u holds sizes u/2 < q <= u, u a power of
-two. For each class documents are seen as windows of 2u words' shingles that start
-every u, so whatever passage an item of the class makes lies in one window whole.
+An item (license template, benchmark question) is in a document if the document holds
+at least a share ``threshold`` of the item's distinct 5-word shingles, wherever they
+stand: repeated words inside the item and insertions between its parts change nothing.
 
 1. Sieve. Shingles that no item has can't take part in a match. Documents' shingles
    are exploded (only hash and position) and joined to the items' distinct hashes.
-2. MinHash bands. Each window's set of sieved shingles and each item get ``b`` minimum
-   hashes, every one a band of its own. At containment t an item of q > u/2 shingles
-   shares a share J >= t q / (2u + q - t q) >= t / (5 - t) of the union, and ``b`` is
-   chosen so that (1 - J)^b is below the miss probability: for t = 0.75 and 1e-6,
-   b = 72. Items and windows with an equal band are candidates.
-3. Verification. The item's shingles in the window are counted exactly.
+2. Rarest shingles. A document with c = ceil(t q) of an item's q distinct shingles holds
+   at least one of any q - c + 1 of them. Each item joins on those q - c + 1 that are
+   rarest in the documents, so no match is missed and common wording makes few candidates.
+3. Verification. The item's shingles in each candidate are counted exactly: in windows
+   of 2u positions that start every u, where u is the power of two from the item's length
+   in shingle positions up, and in the whole document. The best window gives the
+   place; where none reaches the threshold by itself, the whole document does.
 
 Words are maximal runs of Unicode letters and digits in lower case. Items of fewer
 than five words have their whole sequence as one shingle, which is looked for among
@@ -23,13 +23,15 @@ from __future__ import annotations
 
 from math import ceil, log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import stored
 
 WIDTH = 5
 MISS = 1e-6
+#: The whole document as a window; others are numbered from -1.
+WHOLE = -2
 #: Distinct item shingles (16 bytes each in a broadcast table) up to which they are broadcast.
 BROADCAST_SHINGLES = 1 << 20
 
@@ -47,18 +49,20 @@ def _hashes(words: Column, width: int) -> Column:
 
 
 def band_count(threshold: float, miss: float = MISS) -> int:
-    """Single-hash bands with which a contained item is a candidate but for ``miss``."""
+    """Single-hash MinHash bands with which a contained item would be a candidate but for
+    ``miss``; ``contained`` misses none and doesn't use them."""
     least = threshold / (5 - threshold)
     return ceil(log(miss) / log(1 - least))
 
 
 def item_shingles(items: DataFrame, item_id: str, text: str = "text") -> DataFrame:
     """``(item, width, size, unit, h)``: an item's distinct shingle hashes, their number
-    and its class's unit u. Rows that share an id with another text are items of their own."""
+    and the power of two from its length in shingle positions up, u. Rows that share an id
+    with another text are items of their own."""
     words = items.select(F.struct(F.col(item_id), F.xxhash64(text).alias("h")).alias("item"), word_list(text).alias("w")) \
         .filter(F.size("w") > 0).withColumn("width", F.least(F.size("w"), F.lit(WIDTH)))
     full = words.withColumn("h", F.array_distinct(F.when(F.col("width") == WIDTH, _hashes(F.col("w"), WIDTH)).otherwise(F.array(F.xxhash64("w")))))
-    unit = F.pow(F.lit(2), F.ceil(F.log2(F.size("h")))).cast("long")
+    unit = F.pow(F.lit(2), F.ceil(F.log2(F.size("w") - F.col("width") + 1))).cast("long")
     return full.select("item", "width", F.size("h").alias("size"), unit.alias("unit"), F.explode("h").alias("h")).distinct()
 
 
@@ -68,18 +72,17 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def contained(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, threshold: float = 0.75,
-              miss: float = MISS, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+              broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
     """``(doc_id, item_id, containment, first_word, last_word)``: for every document and
-    item with a window that holds at least ``threshold`` of the item's distinct
-    shingles, the best window's containment and the (0-based) words its shingles span;
-    of equally good windows the earliest. Rows of one ``doc_id`` with different texts
-    are searched apart."""
+    item of which it holds at least ``threshold`` of the distinct shingles, the best
+    window's containment and the (0-based) words its shingles span; of equally good windows
+    the earliest, and the whole document where no window reaches ``threshold``. Rows of
+    one ``doc_id`` with different texts are searched apart."""
     shingles = stored(item_shingles(items, item_id), "items")
     widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())  # five values at most
     key = F.struct(F.col(doc_id), F.xxhash64("text").alias("h")).alias("doc")
     words = docs.select(key, word_list().alias("w"))
     wanted = shingles.select("width", "h").distinct()
-    classes = shingles.select("width", "h", "unit").distinct()
     hits = None
     for width in widths:
         rows = words.select("doc", F.posexplode(_hashes(F.col("w"), width)).alias("pos", "h"))
@@ -91,26 +94,20 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, thre
             doc_id, item_id, F.lit(0.0).alias("containment"), F.lit(0).alias("first_word"), F.lit(0).alias("last_word"))
     hits = stored(hits.distinct(), "hits")
 
-    # Each hit lies in the window that starts at its u-block and in the one before.
-    in_class = hits.join(_small(classes, broadcast_shingles), ["width", "h"])
-    block = F.floor(F.col("pos") / F.col("unit"))
-    windows = stored(in_class.withColumn("window", F.explode(F.array(block - 1, block))).filter("window >= 0 or pos < unit"), "windows")
-    bands = band_count(threshold, miss)
-
-    def banded(df, *keys):
-        """Rows of ``keys`` and band: the least of the set's hashes under each of the band's functions."""
-        sets = df.groupBy(*keys).agg(F.collect_set("h").alias("hs"))  # 2 units of hashes at most
-        least = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(
-            k, F.array_min(F.transform("hs", lambda x: F.xxhash64(k, x)))))
-        return sets.select(*keys, F.explode(least).alias("band"))
+    # A match holds one of an item's q - c + 1 rarest shingles; those that no document has come first.
+    counts = hits.groupBy("width", "h").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "h")  # one item's shingles at most
+    needed = F.ceil(F.col("size") * threshold - 1e-9)
+    rarest = shingles.join(counts, ["width", "h"], "left").withColumn("place", F.row_number().over(order)) \
+        .filter((F.col("place") <= F.col("size") - needed + 1) & F.col("n").isNotNull()).select("item", "width", "h")
+    candidates = hits.join(_small(stored(rarest, "rarest"), broadcast_shingles), ["width", "h"]).select("doc", "item").distinct()
 
-    window_bands = banded(windows, "doc", "width", "unit", "window")
-    item_bands = banded(shingles, "item", "width", "unit")
-    candidates = window_bands.join(item_bands, ["width", "unit", "band"]).select("doc", "width", "unit", "window", "item").distinct()
-
-    shared = candidates.join(windows, ["doc", "width", "unit", "window"]).join(shingles, ["item", "width", "unit", "h"]) \
+    # Each hit lies in the window that starts at its u-block, in the one before and in the whole document.
+    found = candidates.join(shingles, "item").join(hits, ["doc", "width", "h"])
+    block = F.floor(F.col("pos") / F.col("unit"))
+    shared = found.withColumn("window", F.explode(F.array(block - 1, block, F.lit(WHOLE)))) \
         .groupBy("doc", "item", "window", "size").agg(F.count_distinct("h").alias("n"), F.min("pos").alias("first_word"), F.max(F.col("pos") + F.col("width") - 1).alias("last_word")) \
         .withColumn("containment", F.col("n") / F.col("size")).filter(F.col("containment") >= threshold)
-    best = F.min_by(F.struct("containment", "first_word", "last_word"), F.struct(-F.col("containment"), F.col("window")))
+    best = F.min_by(F.struct("containment", "first_word", "last_word"), F.struct(F.col("window") == WHOLE, -F.col("containment"), F.col("window")))
     return shared.groupBy(F.col("doc")[doc_id].alias(doc_id), F.col("item")[item_id].alias(item_id)) \
         .agg(best.alias("best")).select(doc_id, item_id, "best.*")
