@@ -416,3 +416,21 @@ def test_containment_counts_whole_documents(spark):
     assert {(i, 1) for i in range(5)} | {(i, 2) for i in range(5, 9)} | {(9, 3), (10, 3), (12, 4)} <= want
     assert len(got) == len(want) and {(r["doc_id"], r["item_id"]) for r in got} == want
     assert all(r["containment"] == 1 and r["last_word"] - r["first_word"] == 219 for r in got if r["item_id"] == 1)
+
+
+def test_license_scan_finds_the_license_lines_of_documents(spark):
+    """Every line of the given documents that speaks of a license, and notices of other families."""
+    from utterset.llm.tables import read
+
+    lines = read(spark, "/root/testdata/sf0.01", "documents").select(F.explode(F.split("text", "\n")).alias("text")) \
+        .filter("text rlike '(?i)licen[sc]e|all rights reserved|copyright|spdx|creative commons'").distinct()
+    given = [r["text"] for r in lines.collect()]
+    assert any("CC BY-NC" in x for x in given)
+    other = {"// SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0-or-later", "SPDX-License-Identifier: MIT": "MIT",
+             "The photos are licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+             "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+             "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0"}
+    texts = [*given, *other]
+    found = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates(spark)).collect()
+    assert {r["doc_id"] for r in found} == set(range(len(texts)))
+    assert {(texts[r["doc_id"]], r["license"]) for r in found} >= set(other.items())
