@@ -74,3 +74,19 @@ def test_training_loader_names_unknown_labels(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("hi", "A"), ("yo", "B")]
     with pytest.raises(ValueError, match="B"):
         io.read_labelled_csv(spark, str(tmp_path / "t"), known.filter("label = 'A'"))
+
+
+def test_label_space_of_chinese_texts_and_other(spark):
+    from utterset.operators import model as ml
+
+    topics = ["请帮我预订会议室", "查询我的工资单", "我想申请休假"]
+    texts = [t + x for t in topics for x in ("谢谢", "吧", "一下", "可以吗", "明天")] + ["...", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    space, assign = ml.induce_label_space(df, max_labels=5)
+    got = {r["text"]: r["label_id"] for r in assign.collect()}
+    assert got["..."] == "OTHER" and all(got[t] != "OTHER" for t in texts if t != "...")
+    assert len({got[t] for t in texts[:15]}) > 1
+    named = {r["id"]: r["keywords"] for r in space.collect()}
+    assert all(named[got[t]] for t in texts if t != "...")
+    _, strict = ml.induce_label_space(df, max_labels=5, other_cosine=1.01)
+    assert {r["label_id"] for r in strict.collect()} == {"OTHER"}

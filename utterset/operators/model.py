@@ -16,11 +16,12 @@ Scoring maps the probability vector to ``intent``, ``confidence`` and a
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, RegexTokenizer, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+                                StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,24 +120,31 @@ def load(path: str) -> PipelineModel:
 
 def induce_label_space(questions: DataFrame, max_labels: int = 25, text_col: str = "text",
                        vocab_size: int = 1 << 16, top_terms: int = 5, seed: int = 42,
-                       token_pattern: str = r"\W+") -> tuple[DataFrame, DataFrame]:
+                       token_pattern: str = r"(?U)\W+|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])|(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])",
+                       other_cosine: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """ML-6: a label space from unlabelled questions (re-aimed from an LLM call).
 
-    TF-IDF over word tokens -> KMeans(k = max_labels - 1); each cluster becomes
-    a label named by the heaviest terms of its centre, plus the OTHER fallback
-    the reference always allows. Centres are k x vocab_size doubles (bounded by
+    TF-IDF of unit length over words of any script, and over single characters and
+    pairs of neighbours (as all tokens are paired) where a script has no blanks ->
+    KMeans(k = max_labels - 1); each cluster becomes a label named by the heaviest terms
+    of its centre. A text whose cosine with its centre is below ``other_cosine``, or
+    that has no term, gets OTHER, the fallback the reference always allows. Terms of
+    one text count too; of more than ``vocab_size`` the most frequent stay. Centres are k x vocab_size doubles (bounded by
     the parameters), so the term ranking runs on the driver; the features
     themselves stay sparse on the executors. Returns
     ``(label_space(id, name, description, keywords), assignments(text, label_id))``.
     """
-    tok = RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=token_pattern, minTokenLength=2)
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=2.0)
-    idf = IDF(inputCol="tf", outputCol="features")
+    tok = RegexTokenizer(inputCol=text_col, outputCol="words", pattern=token_pattern, minTokenLength=1)
+    pairs = NGram(n=2, inputCol="words", outputCol="pairs")
+    both = SQLTransformer(statement="SELECT *, concat(words, pairs) AS tokens FROM __THIS__")
+    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=1.0)
+    idf = IDF(inputCol="tf", outputCol="weights")
+    unit = Normalizer(inputCol="weights", outputCol="features")
     km = KMeans(k=max(2, max_labels - 1), seed=seed, featuresCol="features", predictionCol="cluster")
-    model = Pipeline(stages=[tok, cv, idf, km]).fit(questions)
-    vocab = model.stages[1].vocabulary
+    model = Pipeline(stages=[tok, pairs, both, cv, idf, unit, km]).fit(questions)
+    vocab = model.stages[3].vocabulary
     rows = []
-    for i, centre in enumerate(model.stages[3].clusterCenters()):
+    for i, centre in enumerate(model.stages[-1].clusterCenters()):
         order = sorted(range(len(centre)), key=lambda j: (-centre[j], j))[:top_terms]
         kws = [vocab[j] for j in order if centre[j] > 0]
         rows.append((f"CLUSTER_{i}", kws[0] if kws else f"cluster {i}",
@@ -145,6 +153,14 @@ def induce_label_space(questions: DataFrame, max_labels: int = 25, text_col: str
     spark = questions.sparkSession
     space = spark.createDataFrame(rows, "id STRING, name STRING, description STRING, keywords ARRAY<STRING>")
     space = space.withColumn("id", sanitize_label_id(F.col("id"), F.col("name")))
+    held = spark.sparkContext.broadcast([(c, float(np.linalg.norm(c))) for c in model.stages[-1].clusterCenters()])
+
+    @F.udf("double")
+    def cosine(x, cluster):
+        centre, norm = held.value[cluster]
+        return float(x.values @ centre[x.indices]) / norm if norm and len(x.indices) else 0.0
+
+    near = cosine("features", "cluster") >= other_cosine
     assign = model.transform(questions).select(
-        text_col, F.concat(F.lit("CLUSTER_"), F.col("cluster").cast("string")).alias("label_id"))
+        text_col, F.when(near, F.concat(F.lit("CLUSTER_"), F.col("cluster").cast("string"))).otherwise("OTHER").alias("label_id"))
     return space, assign
