@@ -53,9 +53,9 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = CHUNK_B
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts in one array, and the texts' offsets into it; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if lower:
-        texts = pc.ascii_lower(texts)
+        texts = pc.ascii_lower(texts)  # before the cast: a cast slice would come out garbled
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     words, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
