@@ -109,3 +109,59 @@ FROM (SELECT r, doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [0] ELSE range(1, le
 LEFT JOIN gone ON gone.r = x.r AND gone.i = x.j
 GROUP BY x.r, doc_id
 """
+
+CRC_TABLE_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+# Every row and state keeps its cheapest edits (cost, audit, repaired lines) in a recursive walk.
+SQL["op11_conversation_repair"] = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations
+), faulty AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, k: {CRC_TABLE_STEP})), 4294967295) % 20 AS fault FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS again FROM faulty WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged
+), judged AS (
+  SELECT conv_id, i, turn, role, text, left(role, 1) AS initial,
+    CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+         WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal FROM placed
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE illegal) AS illegal FROM judged GROUP BY conv_id
+), forward(state, next, role) AS (
+  VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+), moves(state, initial, next, letter, price, role) AS (
+  SELECT state, '*', state, 'D', 4, NULL FROM forward UNION ALL SELECT state, '+', next, 'R', 3, role FROM forward
+  UNION ALL VALUES (0, 's', 1, 'K', 0, NULL), (0, 'u', 2, 'K', 0, NULL), (1, 'u', 2, 'K', 0, NULL), (2, 'a', 3, 'K', 0, NULL), (3, 'u', 2, 'K', 0, NULL)
+), inserts(state, next, edits, price, lines) AS (
+  SELECT state, state, '', 0, []::VARCHAR[] FROM forward UNION ALL SELECT state, next, 'I', 3, [role || ':'] FROM forward
+  UNION ALL SELECT a.state, b.next, 'II', 6, [a.role || ':', b.role || ':'] FROM forward a JOIN forward b ON b.state = a.next
+), walk(conv_id, i, state, best) AS (
+  SELECT c.conv_id, CAST(0 AS BIGINT), s.next, {{'cost': s.price, 'audit': s.edits, 'lines': s.lines}} FROM counts c, inserts s WHERE s.state = 0
+  UNION ALL
+  SELECT conv_id, i, state, min(best) FROM (
+    SELECT j.conv_id, j.i, s.next AS state,
+      {{'cost': w.best.cost + m.price + s.price + CASE WHEN j.fault = 'truncated' AND m.letter <> 'D' THEN 3 ELSE 0 END,
+        'audit': w.best.audit || m.letter || s.edits,
+        'lines': list_concat(w.best.lines, CASE WHEN m.letter = 'D' THEN []::VARCHAR[] ELSE [coalesce(m.role, j.role) || ':' || j.text] END, s.lines)}} AS best
+    FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1
+    JOIN moves m ON m.state = w.state AND (m.initial IN ('*', '+') OR m.initial = j.initial) AND (m.letter = 'D' OR j.fault NOT IN ('blank', 'duplicate'))
+    JOIN inserts s ON s.state = m.next)
+  GROUP BY conv_id, i, state
+), final AS (
+  SELECT c.*, min(w.best) AS best FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n AND w.state IN (0, 3) GROUP BY ALL
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(f.best.cost, 0) AS BIGINT) AS cost, coalesce(f.best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(f.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN final f ON a.conv_id IS NOT DISTINCT FROM f.conv_id
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpus_pipeline import ORACLE_SQL
 from corpus_pipeline import run as pipeline
 
-from . import langid, quality, toxicity
+from . import conversation_repair, langid, quality, toxicity, whitening
 from .decontaminate import leaks
 from .license_scan import license_scan, templates
 from .line_dedup import line_dedup
@@ -19,6 +19,7 @@ from .neardup import near_duplicates
 from .oracles import SQL
 from .packing import VOCABULARY, pack
 from .phrase_dedup import phrase_dedup
+from .simhash import simhash_classes
 from .tables import read
 
 
@@ -74,6 +75,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.repair(conversation_repair.damage(turns)), turns)
+
+
+def op12_simhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, "embedding", components=16)
+    return whitening.by_component(whitening.transform(vectors, model, "embedding"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_packing": op2_token_packing,
@@ -85,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_simhash_duplicates": op12_simhash_duplicates,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {k: v for k, v in {**SQL, "pipeline": ORACLE_SQL}.items() if v and k in QUERIES}
