@@ -9,7 +9,7 @@ reports zeros instead of failing. Division by zero gives 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLASS_LIMIT = 10_000
@@ -116,12 +116,21 @@ def confusion_wide(df: DataFrame, y: str = "y", pred: str = "pred", labels: list
     return (g.pivot("pred", labels) if labels is not None else g.pivot("pred")).sum("n").fillna(0)
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean at six places (half up) of values with at most nine decimals, as an aggregate:
+    the same in any order of the rows and on any engine, as all sums are of whole numbers."""
+    total = F.sum(value.cast("decimal(18,9)") * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,0)")
+    n = F.count(value).cast("decimal(19,0)")
+    half_up = F.call_function("div", total * 2 + n * 1000, n * 2000)
+    return F.when(F.count(value) > 0, half_up / F.lit(10.0**6))
+
+
 def confidence_by_label(df: DataFrame, label: str = "pred", conf: str = "confidence",
                         threshold: float = 0.5) -> DataFrame:
     """EV-5: rows, mean confidence and low-confidence share per label."""
     return df.groupBy(F.col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(conf), 6).alias("mean_confidence"),
+        exact_mean(F.col(conf)).alias("mean_confidence"),
         F.round(F.avg((F.col(conf) < threshold).cast("int")), 6).alias("low_share"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import content_key
+from ..functions.tokens import TokenCounter
 from ..functions.text import json_quote, split_lines, text_prefix, token_estimate, trim_to_tokens
 
 # The labelling prompt (system part and user template, after
@@ -132,6 +133,33 @@ def pack_samples(questions: DataFrame, order_col: str = "src_pos", text_col: str
     return packed.select(*groups, "n_lines", prompt.alias("prompt"))
 
 
+def pack_samples_exact(questions: DataFrame, counter: TokenCounter, order_col: str = "src_pos", text_col: str = "text",
+                       group_cols=(), max_samples: int = 400, max_labels: int = 25,
+                       max_context_tokens: int = 8192, output_reserve_tokens: int = 1024,
+                       line_chars: int = 300) -> DataFrame:
+    """``pack_samples`` with the exact tokens of ``counter`` instead of the estimate.
+
+    Every line has a token of its own (its dash), so a group's prompt holds fewer lines
+    than the budget has tokens; only so many, and ``max_samples`` at most, meet in a row.
+    Null texts are left out."""
+    groups = list(group_cols)
+    head, tail = SCHEMA_USER_TMPL.replace("{max_labels}", str(max_labels)).split(SAMPLES_SLOT)
+    most = max_context_tokens - output_reserve_tokens
+    k_max = min(max_samples, most) if max_samples else most
+    lines = questions.filter(F.col(text_col).isNotNull()).select(
+        *groups, F.col(order_col).alias("__o"), F.concat(F.lit("- "), text_prefix(text_col, line_chars)).alias("line"))
+    if groups:
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy("__o"))
+        lines = lines.withColumn("__k", place).filter(F.col("__k") <= k_max)
+    else:
+        lines = lines.orderBy("__o").limit(k_max)
+    held = lines.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", "line"))), lambda x: x["line"]).alias("lines"))
+    held = held.withColumn("n_lines", counter.fitting("lines", head, tail, SCHEMA_SYS_PROMPT, max_context_tokens, output_reserve_tokens, OVERHEAD_TOKENS))
+    return held.filter("n_lines > 0").select(
+        *groups, F.col("n_lines").cast("long").alias("n_lines"),
+        F.concat(F.lit(head), F.array_join(F.slice("lines", F.lit(1), F.col("n_lines")), "\n"), F.lit(tail)).alias("prompt"))
+
+
 def trim_prompt_to_fit(user_col, system_prompt: str, max_context_tokens: int = 8192,
                        output_reserve_tokens: int = 1024, marker: str = SAMPLE_MARKER) -> Column:
     """PX-11: fit a prompt into ``max_context - reserve - 20 - tokens(system)``.

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u32
+from .dictionary import match_dictionary
 
 # The reference's keyword rules, in rule order (priority 1 first).
 REFERENCE_RULES = [
@@ -36,6 +37,9 @@ REFERENCE_LABELS = ["CHECK_PAYSLIP", "BOOK_MEETING_ROOM", "REQUEST_LEAVE",
                     "CHECK_BENEFITS", "IT_TICKET", "EXPENSE_REIMBURSE", "COMPANY_LOOKUP",
                     "USER_LOOKUP", "QUERY_RESPONSIBLE_PERSON"]
 
+#: Rules that may go through the driver and as a broadcast to the tasks, and what a rule
+#: takes beside its strings.
+BROADCAST_BYTES, ROW_BYTES = 16 << 20, 200
 WIN_LO, WIN_HI = 7000, 9500      # winner raw score, units of 1e-4
 OTHER_LO = 100                   # 0.01
 
@@ -52,13 +56,17 @@ def other_range(n_labels: int) -> tuple[int, int]:
     return min(OTHER_LO, base), max(OTHER_LO, base)
 
 
-def _ranked_rules(rules_df: DataFrame, lower_keywords: bool) -> tuple[list[str], dict[str, int]]:
-    """Labels in rule order and, for each keyword, the place of its first rule.
+def rules_bytes(rules_df: DataFrame) -> int:
+    """About the bytes that the rule table takes as Python objects."""
+    size = F.length("keyword") + F.length("label") + ROW_BYTES
+    return rules_df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
 
-    The rule table is a user's dictionary that every text is matched with; it is
-    read by the driver once and shipped to the tasks."""
+def _ranked_rules(rules_df: DataFrame, lower_keywords: bool) -> tuple[list[str], dict[str, int]]:
+    """Labels in rule order and, for each keyword, the place of its first rule. For rule
+    tables below ``BROADCAST_BYTES`` only: they go to the driver and from there to the tasks."""
     rows = sorted({(r["priority"], r["label"], r["keyword"].lower() if lower_keywords else r["keyword"])
-                   for r in rules_df.select("priority", "label", "keyword").toLocalIterator()
+                   for r in rules_df.select("priority", "label", "keyword").collect()
                    if r["keyword"] is not None})
     first: dict[str, int] = {}
     for place, (_, _, keyword) in enumerate(rows):
@@ -67,12 +75,15 @@ def _ranked_rules(rules_df: DataFrame, lower_keywords: bool) -> tuple[list[str],
 
 
 def match_rules(df: DataFrame, rules_df: DataFrame, text_col: str = "text",
-                lower_keywords: bool = True) -> DataFrame:
+                lower_keywords: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``rule_label`` (null when no rule matches, or the text is null).
 
-    One plan for every table size: an automaton of all keywords passes over each
+    Up to ``broadcast_bytes`` of rules, an automaton of all keywords passes over each
     lower-cased text once, inside the scan's partitions, without a join or shuffle.
+    Larger rule tables stay tables (``dictionary.match_dictionary``).
     An empty keyword matches every text."""
+    if rules_bytes(rules_df) > broadcast_bytes:
+        return match_dictionary(df, rules_df, text_col, lower_keywords)
     labels, first = _ranked_rules(rules_df, lower_keywords)
     held = df.sparkSession.sparkContext.broadcast((labels, first))
 

@@ -6,6 +6,8 @@ tables. Column names match the SQL oracles in ``oracle.py`` one for one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +17,12 @@ from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_l
                               text_prefix, token_estimate, trim_to_tokens)
 from ..functions import probs
 from ..functions.hashing import order_key
+from ..functions.tokens import token_counter
 from ..functions.replies import parse_reply, reply_error, reply_fields
 from ..operators.containment import contained_pairs
 from ..operators.neardup import near_duplicate_pairs
 from ..operators.rank import dense_sequence
-from ..operators import annotate, audit, evaluate, external, generate, labels, merge, prompt, rules, split
+from ..operators import annotate, audit, batch_annotate, dictionary, evaluate, external, labels, merge, prompt, rules, split, template_draws
 from ..session import scratch_path
 from ..sources import io
 from ..streaming import feeds
@@ -57,7 +60,7 @@ def rule_intent_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = rules.score_rules(q, rules.rules_frame(spark), rules.REFERENCE_LABELS, seed=SEED,
                                with_probs=False)
     return scored.groupBy("intent").agg(F.count(F.lit(1)).alias("count"),
-                                        F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+                                        evaluate.exact_mean(F.col("confidence")).alias("mean_confidence"))
 
 
 def rule_score_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +88,15 @@ def rule_many_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.match_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rule).select("doc_id", "rule_label")
 
 
+def rule_word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-8 with a dictionary that grows with the corpus: every distinct word of
+    ``documents`` is a keyword; the longest one that a document contains gives its label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n]+"), F.lit(0))).alias("keyword")).distinct()
+    rule = words.select((-F.length("keyword")).alias("priority"), "keyword", F.concat(F.lit("HAS_"), "keyword").alias("label"))
+    return dictionary.match_dictionary(docs, rule).select("doc_id", "rule_label")
+
+
 def rule_probs_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX-20/21 long form: one row per (document, label) with its probability."""
     s = lang_scored(spark, sf_dir, with_probs=True)
@@ -210,25 +222,37 @@ def eval_top_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- generation -------------------------------------------------------------
 
-def _n_per_label(spark, sf_dir) -> int:
-    """Samples per label = user turns in the question log (grows with the data)."""
-    return tables.question_log(spark, sf_dir).count()
+def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GE-1..GE-3 from given tables: templates of each nation, labelled by region; values out
+    of parts, suppliers, orders and customers; as many samples as a region has customers."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.col("n_name")
+    forms = F.array(
+        F.concat(F.lit("Which {type} parts does {supplier} ship to "), name, F.lit("?")),
+        F.concat(F.lit("Is {supplier} the cheapest source of {brand} in "), name, F.lit("?")),
+        F.concat(name, F.lit(": how are {priority} orders of the {segment} segment?")),
+        F.concat(F.lit("Call the desk in "), name))
+    templates = nation.select(F.col("r_name").alias("label"), F.explode(forms).alias("template"))
+    columns = (("type", "part", "p_type"), ("brand", "part", "p_brand"), ("supplier", "supplier", "s_name"),
+               ("priority", "orders", "o_orderpriority"), ("segment", "customer", "c_mktsegment"))
+    values = reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(F.lit(slot).alias("slot"), F.col(c).alias("value")).distinct() for slot, t, c in columns])
+    wanted = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")) \
+        .groupBy(F.col("r_name").alias("label")).agg(F.count(F.lit(1)).alias("wanted"))
+    return template_draws.draw(templates, values, wanted, seed=SEED)
 
 
 def generate_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.generate(spark, _n_per_label(spark, sf_dir), seed=SEED)
+    return utterances(spark, sf_dir)
 
 
 def generate_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = generate.generate(spark, _n_per_label(spark, sf_dir), seed=SEED)
-    return g.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
-                                  F.countDistinct("text").alias("distinct_texts"),
-                                  F.min(F.length("text")).alias("min_len"),
-                                  F.max(F.length("text")).alias("max_len"))
+    return utterances(spark, sf_dir).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("distinct_texts"),
+        F.min(F.length("text")).alias("min_len"), F.max(F.length("text")).alias("max_len"))
 
 
 def generate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = generate.generate(spark, _n_per_label(spark, sf_dir), seed=SEED)
+    g = utterances(spark, sf_dir)
     return split.per_label_prefix_split(g, "label", "sample_idx", seed=SEED).select("label", "sample_idx", "split")
 
 
@@ -362,6 +386,57 @@ def trim_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                         TRIM_RESERVE).alias("prompt"))
 
 
+# --- exact token counts, batches of calls ---------------------------------------
+
+#: A public byte-pair vocabulary; its path is a parameter of ``token_counter``.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UD-3: exact tokens of every document, beside the estimate."""
+    counter = token_counter(spark, VOCABULARY)
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", counter.count("text").alias("n_tokens"), token_estimate("text").alias("estimate"))
+
+
+def trim_to_exact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX-10 with exact tokens: every document's prefix of at most 64 tokens."""
+    counter = token_counter(spark, VOCABULARY)
+    d = table(spark, sf_dir, "documents").select("doc_id", counter.trim("text", 64).alias("prefix"))
+    return d.select("doc_id", F.length("prefix").alias("n_chars"), F.sha1("prefix").alias("prefix_sha1"))
+
+
+def trim_prompts_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX-11 with exact tokens."""
+    counter = token_counter(spark, VOCABULARY)
+    u = F.concat(F.lit(prompt.SAMPLE_MARKER + "\n"), F.col("text"))
+    trimmed = counter.trim_prompt(u, prompt.SCHEMA_SYS_PROMPT, prompt.SAMPLE_MARKER, TRIM_CONTEXT, TRIM_RESERVE, prompt.OVERHEAD_TOKENS)
+    return table(spark, sf_dir, "documents").select("doc_id", trimmed.alias("prompt"))
+
+
+def pack_prompt_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN-5 with exact tokens: one prompt a language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return prompt.pack_samples_exact(d, token_counter(spark, VOCABULARY), order_col="doc_id", group_cols=["lang"])
+
+
+def annotate_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-2, UD-1: labels by calls of 32 prompts. The second run takes the replies that the
+    first one, over the training texts, committed; it has no label cache."""
+    label_json = prompt.compact_label_space(lang_label_space(spark, sf_dir), order_col="id")
+    one = annotate.keyword_annotator(LANG_RULES)
+    store = scratch_path(spark, "replies")
+
+    def answers(prompts):
+        return [one(p) for p in prompts]
+
+    d = tables.source_labelled(spark, sf_dir)
+    train = split.per_label_prefix_split(d, "label", "doc_id", seed=SEED).filter("split = 'train'")
+    batch_annotate.annotate_batches(train.select("text"), answers, label_json, store, attempts=1).count()
+    out = batch_annotate.annotate_batches(d.select("text"), answers, label_json, store, attempts=1)
+    return out.select(F.sha1("text").alias("text_sha1"), "label_id", "label_name", "confidence", "from_cache")
+
+
 # --- arrays, sequences, samples ---------------------------------------------------
 
 def softmax_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,6 +527,18 @@ def stream_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("pos", "label", F.sha1("text").alias("text_sha1"))
 
 
+def stream_merge_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST-2 with keyed state: documents streamed into the set of labelled ones; what that
+    set lacks comes out."""
+    docs = table(spark, sf_dir, "documents")
+    existing = tables.labelled_set(spark, sf_dir).select("doc_id").join(docs, "doc_id").select("text", F.col("source").alias("label"))
+    feed = feeds.file_feed(spark, sf_dir, docs.schema, "documents.parquet") \
+        .select("text", F.col("source").alias("label"), F.col("doc_id").alias("pos"))
+    path, ck = scratch_path(spark, "merged"), scratch_path(spark, "ck")
+    feeds.merge_keyed_feed(feed, path, ck, existing).awaitTermination()
+    return spark.read.schema("text string, label string, pos long").parquet(path).select("pos", "label", F.sha1("text").alias("text_sha1"))
+
+
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO-2/IO-3: the labelled set through CSV (quotes, commas, newlines) and back."""
     d = tables.labelled_set(spark, sf_dir)
@@ -534,6 +621,7 @@ QUERIES = {
     "rule_score_questions": rule_score_questions,
     "rule_score_lang": rule_score_lang,
     "rule_many_keywords": rule_many_keywords,
+    "rule_word_dictionary": rule_word_dictionary,
     "rule_probs_lang": rule_probs_lang,
     "normalize_documents": normalize_documents,
     "dedup_documents": dedup_documents,
@@ -570,6 +658,11 @@ QUERIES = {
     "pack_schema_prompt": pack_schema_prompt,
     "pack_prompt_by_lang": pack_prompt_by_lang,
     "trim_prompts": trim_prompts,
+    "token_counts": token_counts,
+    "trim_to_exact_tokens": trim_to_exact_tokens,
+    "trim_prompts_exact": trim_prompts_exact,
+    "pack_prompt_exact": pack_prompt_exact,
+    "annotate_batched": annotate_batched,
     "softmax_argmax": softmax_argmax,
     "top2_probs": top2_probs,
     "sequence_ids": sequence_ids,
@@ -581,6 +674,7 @@ QUERIES = {
     "near_dup_documents": near_dup_documents,
     "stream_score_questions": stream_score_questions,
     "stream_merge_documents": stream_merge_documents,
+    "stream_merge_keyed": stream_merge_keyed,
     "csv_round_trip": csv_round_trip,
     "json_round_trip": json_round_trip,
     "training_rows": training_rows,

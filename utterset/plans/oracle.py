@@ -7,7 +7,6 @@ portable forms documented in ``functions/hashing.py`` and ``functions/text.py``.
 
 from __future__ import annotations
 
-from ..functions.templates import LABEL_ORDER, TEMPLATE_SETS
 from ..operators import annotate as A
 from ..operators import prompt as P
 from ..operators import rules as R
@@ -114,6 +113,8 @@ pc AS (SELECT label, tp, n_pred - tp AS fp, support - tp AS fn, support,
        FROM pc0)"""
 
 
+# Mean confidence at six places, half up, of confidences with four places, in whole numbers.
+EXACT_MEAN = "(200 * sum(CAST(round(confidence * 10000) AS BIGINT)) + count(*)) // (2 * count(*)) / 1000000.0"
 LANG_PAIRS = "lp AS (SELECT doc_id, y, intent AS pred, confidence FROM rs)"
 
 
@@ -161,10 +162,13 @@ URL_NO_ALNUM = "regexp_replace(url, '[A-Za-z0-9]', '', 'g')"
 ORACLES = {
     "clean_dedup_questions": CLEAN_Q,
     "rule_intent_counts": f"WITH {question_scored()} SELECT intent, count(*) AS count, "
-                          f"round(avg(confidence), 6) AS mean_confidence FROM rs GROUP BY intent",
+                          f"{EXACT_MEAN} AS mean_confidence FROM rs GROUP BY intent",
     "rule_score_questions": f"WITH {question_scored()} SELECT src_pos, intent, confidence FROM rs",
     "rule_many_keywords": """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS keyword FROM benchmark)
         SELECT doc_id, 'HAS_' || min(keyword) AS rule_label FROM documents LEFT JOIN k ON contains(lower(text), keyword) GROUP BY doc_id""",
+    "rule_word_dictionary": """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^ \\t\\n]+')) AS keyword FROM documents)
+        SELECT doc_id, min({'n': -length(keyword), 'label': 'HAS_' || keyword}).label AS rule_label
+        FROM documents LEFT JOIN k ON contains(lower(text), keyword) GROUP BY doc_id""",
     "rule_score_lang": f"WITH {lang_scored()} SELECT doc_id, intent, confidence FROM rs",
     "rule_probs_lang": f"WITH {lang_scored()} SELECT doc_id, label, prob FROM rs_long",
     "normalize_documents": f"""
@@ -241,7 +245,7 @@ cls AS (SELECT y AS label FROM conf UNION SELECT pred FROM conf)
 SELECT a.label AS y, b.label AS pred, coalesce(conf.n, 0) AS n
 FROM cls a CROSS JOIN cls b LEFT JOIN conf ON conf.y = a.label AND conf.pred = b.label""",
     "eval_confidence": f"""WITH {lang_scored()}, {LANG_PAIRS}
-SELECT pred AS label, count(*) AS n, round(avg(confidence), 6) AS mean_confidence,
+SELECT pred AS label, count(*) AS n, {EXACT_MEAN} AS mean_confidence,
        round(avg(CASE WHEN confidence < 0.86 THEN 1 ELSE 0 END), 6) AS low_share FROM lp GROUP BY pred""",
     "eval_top_confusions": f"""WITH {lang_scored()}, {LANG_PAIRS}
 SELECT y, pred, count(*) AS n FROM lp WHERE y <> pred GROUP BY y, pred ORDER BY n DESC, y, pred LIMIT 5""",
@@ -249,29 +253,25 @@ SELECT y, pred, count(*) AS n FROM lp WHERE y <> pred GROUP BY y, pred ORDER BY
 
 
 def _gen_cte() -> str:
-    """CTE ``gen(label, sample_idx, grp, text)``: the template generator in SQL."""
-    labs = ", ".join(f"({i}, {q(x)})" for i, x in enumerate(LABEL_ORDER))
-    h = lambda slot: u32("label", "CAST(sample_idx AS VARCHAR)", slot)
-    grp_arms, text_arms = [], []
-    for lab in LABEL_ORDER:
-        groups = TEMPLATE_SETS[lab]
-        g_n = len(groups)
-        if g_n > 1:
-            grp_arms.append(f"WHEN label = {q(lab)} THEN CASE WHEN sample_idx < {g_n} * greatest(1, n // {g_n}) "
-                            f"THEN sample_idx // greatest(1, n // {g_n}) ELSE {h(q('group'))} % {g_n} END")
-        for g, (tmpls, vocab) in enumerate(groups):
-            arr = "[" + ", ".join(q(t) for t in tmpls) + "]"
-            expr = f"{arr}[({h(q('template'))} % {len(tmpls)}) + 1]"
-            for slot, vals in vocab.items():
-                varr = "[" + ", ".join(q(v) for v in vals) + "]"
-                expr = f"replace({expr}, {q('{' + slot + '}')}, {varr}[({h(q('slot:' + slot))} % {len(vals)}) + 1])"
-            text_arms.append(f"WHEN label = {q(lab)} AND grp = {g} THEN {expr}")
+    """Samples as rounds: each round gives one more combination to every template that
+    still has one, until the region's customers are served."""
     return f"""
-gn AS (SELECT count(*) AS n FROM conversations WHERE role = 'user'),
-gl(label_idx, label) AS (VALUES {labs}),
-gi AS (SELECT gl.label, unnest(range(0, gn.n)) AS sample_idx, gn.n AS n FROM gl, gn),
-gg AS (SELECT label, sample_idx, n, CASE {' '.join(grp_arms)} ELSE 0 END AS grp FROM gi),
-gen AS (SELECT label, sample_idx, grp, CASE {' '.join(text_arms)} END AS text FROM gg)"""
+gv AS (SELECT slot, value, row_number() OVER (PARTITION BY slot ORDER BY {okey('value')}, value) - 1 AS val_idx FROM (
+  SELECT 'type' AS slot, p_type AS value FROM part UNION SELECT 'brand', p_brand FROM part UNION SELECT 'supplier', s_name FROM supplier
+  UNION SELECT 'priority', o_orderpriority FROM orders UNION SELECT 'segment', c_mktsegment FROM customer)),
+gc AS (SELECT slot, count(*)::HUGEINT AS n FROM gv GROUP BY slot),
+gf(form, s0, s1) AS (VALUES ('Which {{type}} parts does {{supplier}} ship to @?', 'type', 'supplier'), ('Is {{supplier}} the cheapest source of {{brand}} in @?', 'supplier', 'brand'),
+  ('@: how are {{priority}} orders of the {{segment}} segment?', 'priority', 'segment'), ('Call the desk in @', NULL, NULL)),
+gt AS (SELECT r_name AS label, replace(form, '@', n_name) AS template, s0, s1, coalesce(a.n, 1) AS n0, coalesce(a.n, 1) * coalesce(b.n, 1) AS combinations
+  FROM nation JOIN region ON n_regionkey = r_regionkey, gf LEFT JOIN gc a ON a.slot = s0 LEFT JOIN gc b ON b.slot = s1),
+gn AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {okey('template')}, template) - 1 AS tmpl_idx FROM gt),
+gw AS (SELECT r_name AS label, count(*) AS wanted FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name),
+gr AS (SELECT gn.*, wanted, unnest(range(least(combinations, wanted)::BIGINT)) AS i FROM gn JOIN gw USING (label)),
+gk AS (SELECT * FROM gr QUALIFY row_number() OVER (PARTITION BY label ORDER BY i, combinations, tmpl_idx) <= wanted),
+gp AS (SELECT *, (i::HUGEINT * 2147483647 + {u32('label', 'template', "'start'")}) % combinations AS c FROM gk),
+gen AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY tmpl_idx, i) - 1 AS sample_idx, tmpl_idx,
+    replace(replace(template, coalesce('{{' || s0 || '}}', '@'), coalesce(a.value, '')), coalesce('{{' || s1 || '}}', '@'), coalesce(b.value, '')) AS text
+  FROM gp LEFT JOIN gv a ON a.slot = s0 AND a.val_idx = c % n0 LEFT JOIN gv b ON b.slot = s1 AND b.val_idx = c // n0)"""
 
 
 def _prefix_split(seed: int) -> str:
@@ -292,7 +292,7 @@ mm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, text, lab
 LABEL_MAP_PAIRS = "lmp AS (SELECT source, lang, min(doc_id) AS f FROM documents GROUP BY source, lang)"
 
 ORACLES_2 = {
-    "generate_samples": f"WITH {_gen_cte()} SELECT label, sample_idx, grp, text FROM gen",
+    "generate_samples": f"WITH {_gen_cte()} SELECT label, sample_idx, tmpl_idx, text FROM gen",
     "generate_stats": f"""WITH {_gen_cte()}
 SELECT label, count(*) AS n, count(DISTINCT text) AS distinct_texts, min(length(text)) AS min_len,
        max(length(text)) AS max_len FROM gen GROUP BY label""",
@@ -432,6 +432,11 @@ SELECT sha1(text) AS text_sha1, CASE WHEN lab IS NULL THEN {q(A.FALLBACK_ID)} EL
        CASE WHEN lab IS NULL THEN {q(A.FALLBACK_NAME)} ELSE lab END AS label_name,
        CASE WHEN lab IS NULL THEN 0.0 ELSE 0.9 END AS confidence,
        (lab IS NOT NULL AND text IN (SELECT text FROM tr)) AS from_cache FROM lb""",
+    "annotate_batched": f"""WITH tr AS (SELECT DISTINCT text FROM {_prefix_split(SEED)} WHERE split = 'train'),
+lb AS (SELECT DISTINCT text, {rule_case(C.LANG_RULES)} AS lab FROM documents)
+SELECT sha1(text) AS text_sha1, CASE WHEN lab IS NULL THEN {q(A.FALLBACK_ID)} ELSE upper(lab) END AS label_id,
+       CASE WHEN lab IS NULL THEN {q(A.FALLBACK_NAME)} ELSE lab END AS label_name,
+       CASE WHEN lab IS NULL THEN 0.0 ELSE 0.9 END AS confidence, text IN (SELECT text FROM tr) AS from_cache FROM lb""",
     "pack_schema_prompt": _pack_sql(CLEAN_Q, "src_pos", None),
     "pack_prompt_by_lang": _pack_sql("SELECT doc_id, lang, text FROM documents", "doc_id", "lang"),
     "trim_prompts": _trim_sql(),
@@ -475,6 +480,8 @@ ORACLES_6 = {
         "conv_id, turn", R.REFERENCE_RULES, R.REFERENCE_LABELS) + " SELECT conv_id, turn, intent, confidence FROM rs",
     "stream_merge_documents": "SELECT min(doc_id) AS pos, source AS label, sha1(text) AS text_sha1 "
                               "FROM documents GROUP BY text, source",
+    "stream_merge_keyed": """SELECT min(doc_id) AS pos, source AS label, sha1(text) AS text_sha1 FROM documents
+        WHERE (text, source) NOT IN (SELECT (text, source) FROM documents JOIN labels USING (doc_id)) GROUP BY text, source""",
     "csv_round_trip": ROUND_TRIP,
     "json_round_trip": ROUND_TRIP,
     "training_rows": f"""SELECT doc_id, upper({strip('lang')}) AS label, sha1({strip('text')}) AS text_sha1

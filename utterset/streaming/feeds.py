@@ -1,21 +1,29 @@
 """Structured Streaming: scoring a text feed (ST-1) and merging labelled rows
 into a dataset continuously (ST-2).
 
-Both use the same DataFrame functions as the batch jobs, so a stream over a
-table equals the batch run over it. Sinks are file tables with a checkpoint in
-the shared folder, so a restarted query resumes where it stopped.
+Scoring and ``merge_feed`` use the same DataFrame functions as the batch jobs, so a
+stream over a table equals the batch run over it. ``merge_keyed_feed`` keeps the keys it
+has seen as state instead of reading the table again for every batch. Sinks are file
+tables with a checkpoint in the shared folder, so a restarted query resumes where it
+stopped.
 """
 
 from __future__ import annotations
 
 import os
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rules as R
 from ..operators.dedup import first_by_key
-from ..session import path_exists
+from ..session import ensure_shipped, path_exists
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_feed(spark: SparkSession, folder: str, schema, file_glob: str | None = None,
@@ -76,3 +84,46 @@ def merge_feed(feed: DataFrame, table_path: str, checkpoint: str, pos_col: str =
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()
+
+
+def _first_row(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The row with the smallest ``pos`` in the first batch that holds a key; none if the key
+    is one of the existing table (``old``), and none later."""
+    known, best = state.exists, None
+    for frame in frames:
+        known = known or bool(frame["old"].any())
+        here = frame.sort_values("pos", kind="stable").head(1)
+        if best is None or here["pos"].iloc[0] < best["pos"].iloc[0]:
+            best = here
+    if not state.exists:
+        state.update((True,))
+    if not known:
+        yield best[["text", "label", "pos"]]
+
+
+def merge_keyed_feed(feed: DataFrame, table_path: str, checkpoint: str, existing: DataFrame | None = None, pos_col: str = "pos",
+                     available_now: bool = True):
+    """ST-2 with bounded work: append the (text, label) pairs that neither ``existing``
+    (text, label) nor an earlier batch has.
+
+    A batch looks up its own keys in a state store kept on the executors' disks and in
+    the checkpoint; neither the table nor the keys of other batches are read, however
+    large the table is. The keys of ``existing`` are written once beside the checkpoint
+    and come into the state with the first batch. The file sink commits a batch once, also
+    when it is retried."""
+    spark = feed.sparkSession
+    ensure_shipped(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    key = F.sha2("text", 256).alias("text_key")
+    rows = feed.select(key, "label", F.col(pos_col).cast("long").alias("pos"), "text", F.lit(False).alias("old"))
+    if existing is not None:
+        seeds = os.path.join(checkpoint, "existing")
+        if not path_exists(spark, os.path.join(seeds, "_SUCCESS")):
+            known = existing.select(key, "label").distinct()
+            known.select("*", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("old")) \
+                .write.mode("overwrite").parquet(seeds)
+        rows = rows.unionByName(spark.readStream.schema(rows.schema).parquet(seeds))
+    fresh = rows.groupBy("text_key", "label").applyInPandasWithState(
+        _first_row, "text string, label string, pos long", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    w = fresh.writeStream.format("parquet").outputMode("append").option("path", table_path).option("checkpointLocation", os.path.join(checkpoint, "query"))
+    return (w.trigger(availableNow=True) if available_now else w).start()
