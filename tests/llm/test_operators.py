@@ -180,7 +180,10 @@ def test_containment_finds_passages_and_short_items(spark, docs):
     assert {r["doc_id"] for r in decontaminate(df, items).collect()} == {4}
     assert leaks(df, items.limit(0)).count() == 0 and leaks(df.limit(0), items).count() == 0
     assert decontaminate(df, items.limit(0)).count() == len(texts)
-    assert (1 - 0.75 / 4.25) ** band_count(0.75) <= 1e-6
+    for size in (4, 50, 800):  # q items in a set of ``size`` have this similarity or more
+        for q in (1, 3, 40, 700):
+            least = 0.75 * q / (q + max(size, 0.75 * q) - 0.75 * q)
+            assert least >= 1 or (1 - least) ** band_count(0.75, size, q) <= 1e-6 < (1 - least) ** (band_count(0.75, size, q) - 2)
     note = spark.createDataFrame([(7, "x\nReleased under the MIT License.\n")], "doc_id long, text string")
     assert [(r["license"], r["first_word"], r["last_word"]) for r in license_scan(note, templates(spark)).collect()] == [("MIT", 1, 5)]
 

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from utterset.llm import containment, decontaminate, license_scan
 from utterset.llm import conversation_repair as repair
 from utterset.llm import neardup, phrase_dedup, quality, simhash, toxicity, trails, whitening, wordops
 
@@ -328,3 +329,83 @@ def test_audits_compare_as_their_texts(monkeypatch):
             assert trails.smaller(a, b) == (a.text() < b.text())
         for node in nodes[::7]:
             assert [node.above(k).depth for k in range(node.depth + 1)] == list(range(node.depth, -1, -1))
+
+
+# --- MinHash containment ------------------------------------------------------------------
+
+def brute_contained(texts, items, threshold=0.75):
+    def grams(t, width):
+        w = [x for x in re.split(r"[\W_]+", t.lower()) if x]
+        return {tuple(w[i:i + width]) for i in range(len(w) - width + 1)}
+    want = {}
+    for j, item in items.items():
+        width = min(5, len(item.split()))
+        s = grams(item, width)
+        for i, t in enumerate(texts):
+            share = len(s & grams(t, width)) / len(s)
+            if share >= threshold:
+                want[i, j] = share
+    return want
+
+
+@pytest.mark.parametrize("windowed", [False, True])
+def test_minhash_containment_finds_what_exact_counts_find(spark, windowed):
+    """Long items, whole and cut to about the threshold, in documents that hold parts of up
+    to forty items, so that sets are large and bands decide; short and repetitive items."""
+    rng = random.Random(11)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = {j: words(rng.choice((30, 45, 70, 140, 300))) for j in range(60)}
+    texts = []
+    for _ in range(120):
+        text = words(20)
+        for j in rng.sample(range(60), rng.choice((1, 2, 15, 40))):
+            w = items[j]
+            kind = rng.randrange(4)
+            if kind == 0:
+                text += w
+            elif kind == 1:  # a share of 0.7 to 0.9 of the words, in a row
+                n = int(len(w) * rng.uniform(0.7, 0.9))
+                text += w[:n]
+            elif kind == 2:  # two halves with something between them
+                text += [*w[:len(w) // 2], *words(rng.choice((1, 30, 500))), *w[len(w) // 2:]]
+            else:
+                text += [x if rng.random() > 0.04 else "changed" for x in w]
+            text += words(rng.choice((0, 5, 100)))
+        texts.append(" ".join(text))
+    items = {j: " ".join(w) for j, w in items.items()} | {100: "three small words", 101: "a b c d e " * 20, 102: "solo"}
+    texts += ["x three small words y", "a b c d e a b c d e a", "solo"]
+    want = brute_contained(texts, items)
+    used = []
+    held = containment.band_count
+    containment.band_count = lambda *a: used.append((held(*a), a[1])) or held(*a)
+    try:
+        got = containment.contained(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                                    spark.createDataFrame(list(items.items()), "item_id long, text string"), "doc_id", "item_id", windowed=windowed).collect()
+    finally:
+        containment.band_count = held
+    assert any(n < size for n, size in used)  # sets with more shingles than bands
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len(got) == len(found) and found <= set(want) and len(want) > 500
+    assert len(found) >= 0.99 * len(want)  # by the bands' setting all but one in a million
+    assert all(0.75 <= r["containment"] <= want[r["doc_id"], r["item_id"]] + 1e-9 for r in got)
+
+
+def test_leaky_documents_go_and_clean_rows_without_id_stay(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, f"x {item} y", "a"), (None, "clean one", "b"), (None, None, "c"), (1, item, "d"), (1, "clean two", "e"), (2, "", "f"), (3, item, "g"), (3, item, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        assert sorted(r["item_id"] for r in decontaminate.decontaminate(docs, bench, broadcast_leaks=limit).collect()) == ["b", "c", "f"]
+
+
+def test_license_scan_of_odd_rows(spark):
+    """Null, empty and repeated documents, extra columns with clashing names, empty tables."""
+    rows = [(1, None, "x"), (2, "", "x"), (3, "Released under the MIT License.", "x"), (3, "Released under the MIT License.", "x"), (None, "All rights reserved.", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = sorted((str(r["doc_id"]), r["license"]) for r in license_scan.license_scan(docs, license_scan.templates(spark)).collect())
+    assert got == [("3", "MIT"), ("None", "All-Rights-Reserved")]
+    assert license_scan.license_scan(docs.limit(0), license_scan.templates(spark)).count() == 0
+    assert license_scan.license_scan(docs, license_scan.templates(spark).limit(0)).count() == 0

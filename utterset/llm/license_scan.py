@@ -1,5 +1,9 @@
 """License scan: which license notices a text holds, and where.
 
+Templates are retrieved by MinHash bands over overlapping windows of the text (and over
+the whole text, for notices that are spread over it), and verified by exact shingle
+containment.
+
 Edge cases: as in ``containment``; a template table with no words finds nothing. A
 template of fewer than five words is found as an exact word sequence.
 """
@@ -85,6 +89,6 @@ def templates(spark: SparkSession) -> DataFrame:
 def license_scan(docs: DataFrame, notices: DataFrame, threshold: float = 0.75) -> DataFrame:
     """``(doc_id, template_id, license, containment, first_word, last_word)`` for every
     document and notice (``notices``: template_id, license, text) found in it."""
-    found = contained(docs.select("doc_id", "text"), notices.select("template_id", "text"), "doc_id", "template_id", threshold)
+    found = contained(docs.select("doc_id", "text"), notices.select("template_id", "text"), "doc_id", "template_id", threshold, windowed=True)
     return found.join(notices.select("template_id", "license").distinct(), "template_id") \
         .select("doc_id", "template_id", "license", "containment", "first_word", "last_word")

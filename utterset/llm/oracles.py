@@ -55,7 +55,8 @@ FROM sets JOIN texts ON list_sort(sets.s) = texts.s JOIN class USING (id)
 
 
 def _containment_sql(items: str, item_id: str, more: str = "") -> str:
-    """Best window of every document and item, by exact counts over all windows."""
+    """Best window of every document and item, by exact counts over all windows; the whole
+    document where no window reaches the threshold."""
     return f"""
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM documents
@@ -66,7 +67,7 @@ WITH docs AS (
     list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s
   FROM listed WHERE len(w) > 0
 ), item AS (
-  SELECT {item_id}{more}, width, len(s) AS size, CAST(pow(2, ceil(log2(len(s)))) AS BIGINT) AS unit, unnest(s) AS x FROM wide
+  SELECT {item_id}{more}, width, len(s) AS size, CAST(pow(2, ceil(log2(len(w) - width + 1))) AS BIGINT) AS unit, unnest(s) AS x FROM wide
 ), widths AS (
   SELECT DISTINCT width FROM item
 ), hits AS (
@@ -75,12 +76,11 @@ WITH docs AS (
   WHERE array_to_string(w[i:i + width - 1], ' ') IN (SELECT x FROM item)
 ), windows AS (
   SELECT {item_id}{more}, doc_id, size, t.win, count(DISTINCT x) / size AS containment, min(pos) AS first_word, max(pos + width - 1) AS last_word
-  FROM hits JOIN item USING (width, x), LATERAL (SELECT unnest([pos // unit - 1, pos // unit]) AS win) t
-  WHERE t.win >= 0 OR pos < unit
+  FROM hits JOIN item USING (width, x), LATERAL (SELECT unnest([pos // unit - 1, pos // unit, -2]) AS win) t
   GROUP BY {item_id}{more}, doc_id, size, t.win HAVING count(DISTINCT x) / size >= 0.75
 )
 SELECT doc_id, {item_id}{more}, containment, CAST(first_word AS INT) AS first_word, CAST(last_word AS INT) AS last_word FROM windows
-QUALIFY row_number() OVER (PARTITION BY doc_id, {item_id} ORDER BY containment DESC, win) = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id, {item_id} ORDER BY win = -2, containment DESC, win) = 1
 """
 
 
