@@ -18,6 +18,8 @@ from utterset.llm.tables import read, stored
 
 #: Part of a text's letter n-grams that its language must explain; clean texts have 0.6 and more.
 LEAST_LANGUAGE_SCORE = 0.2
+#: Rows (an id and a hash) up to which they are broadcast.
+BROADCAST_ROWS = 1 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +32,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each near-duplicate group, once."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return own.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """One row of each near-duplicate group: the one with the smallest ``doc_id``, then text
+    hash. Rows without an id come last; rows that share an id are rows of their own."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    judged = near_duplicates(docs.select(key.alias("doc_id"), "text")).groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    judged = stored(judged.select(F.col("doc_id.doc_id").alias("own_id"), F.col("doc_id.text_hash").alias("own_hash"), "kept", "n"), "judged")
+
+    def among(rows: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        some = which.select("own_id", "own_hash")
+        some = F.broadcast(some) if which.count() <= BROADCAST_ROWS else some
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["own_id"]) & (F.xxhash64(rows["text"]) == some["own_hash"]), how)
+
+    own = among(docs, judged.filter("not kept"), "left_anti")
+    again = judged.filter("kept and n > 1")  # equal rows; only these are shuffled
+    if again.isEmpty():
+        return own
+    return among(own, again, "left_anti").union(among(own, again, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
