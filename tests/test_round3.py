@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from utterset.functions import tokens as T
 from utterset.operators import batch_annotate as B
-from utterset.operators import dictionary, evaluate, prompt, rules, template_draws
+from utterset.operators import dictionary, evaluate, neardup, prompt, rules, template_draws
 from utterset.plans import synth
 from utterset.session import path_exists, scratch_path
 from utterset.sources import columns, io, versions
@@ -375,3 +375,148 @@ def test_question_column_by_length_and_ties(spark):
     assert found(["a", "b"], (None, None)) == ("a", "first")
     assert found(["my_text", "the content"], ("x", "yyyy")) == ("my_text", "fragment")
     assert found(["my_text", " Text ", "query"], ("x", "y", "z")) == ("query", "exact")
+
+
+# --- JN-5 ---------------------------------------------------------------------------------
+
+def test_longest_common_subsequence():
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randrange(40))) for _ in range(2))
+        assert neardup.common_subsequence(a, b) == plain(a, b)
+
+
+@pytest.mark.parametrize("limit", [neardup.BROADCAST_CHUNKS, 0])
+def test_links_are_those_of_all_pairs_of_texts(spark, limit):
+    """Edits up to the threshold and beyond in short and long texts (difflib treats those
+    of 200 characters and more otherwise), copies, empty and null texts."""
+    rng = random.Random(7)
+
+    def text(n):
+        return "".join(rng.choice("etaoin shrdlu.,XQ质") for _ in range(n))
+
+    def edited(t, k):
+        t = list(t)
+        for _ in range(k):
+            i = rng.randrange(len(t) + 1)
+            t[i:i + rng.randrange(2)] = rng.choice(("", "z", "e", "qq"))
+        return "".join(t)
+    base = [text(rng.choice((1, 5, 19, 20, 21, 40, 60, 190, 210, 400, 1200))) for _ in range(60)]
+    left = [(i, t) for i, t in enumerate(base)] + [(100, ""), (101, None), (102, base[0]), (103, base[0])]
+    right = [(1000 + i, edited(base[i % 60], rng.randrange(0, 1 + len(base[i % 60]) // 18))) for i in range(240)]
+    right += [(2000 + i, base[0]) for i in range(3)] + [(3000, ""), (3001, None)]
+    L, R = (spark.createDataFrame(x, "id long, text string").repartition(3) for x in (left, right))
+    links, members = neardup.near_duplicate_links(L, R, threshold=0.9, broadcast_chunks=limit)
+    rep = {(r["side"], r["id"]): r["rep"] for r in members.collect()}
+    assert len(rep) == len(left) + len(right) - 2 and rep[0, 103] == 0 and rep[1, 2002] == min(i for i, t in right if t == base[0])
+    want = neardup.brute_force_pairs(left, right, 0.9)
+    got = [(r["left_rep"], r["right_rep"], r["left_copies"], r["right_copies"]) for r in links.collect()]
+    assert {(rep[0, a], rep[1, b]) for a, b in want} == {g[:2] for g in got} and len(got) == len({g[:2] for g in got})
+    assert all(n == sum(r == a for (s, _), r in rep.items() if s == 0) and m == sum(r == b for (s, _), r in rep.items() if s == 1) for a, b, n, m in got)
+    assert neardup.near_dup_count(L, R, threshold=0.9).first()[0] == len({a for a, _ in want})
+    assert neardup.near_duplicate_links(L.limit(0), R, threshold=0.9)[0].count() == 0
+    with pytest.raises(ValueError):
+        neardup.near_duplicate_links(L, R, threshold=0.5)
+
+
+# --- ML-4 ---------------------------------------------------------------------------------
+
+def test_the_best_round_is_not_the_last(spark):
+    """Labels that are partly wrong in training: more rounds fit the errors, and the score
+    on dev falls after its best."""
+    from utterset.operators import evaluate
+    from utterset.operators import model as ml
+    rng = random.Random(8)
+
+    def rows(n, noise):
+        out = []
+        for _ in range(n):
+            y = rng.randrange(3)
+            text = "".join(rng.choice("abcdefghij" + "xyz"[y] * 2) for _ in range(30))
+            out.append((text, "ABC"[y if rng.random() > noise else rng.randrange(3)]))
+        return spark.createDataFrame(out, "text string, label string")
+    train, dev = rows(150, 0.5), rows(200, 0.0)
+    model, curve = ml.fit_rounds(train, dev, rounds=12, iterations=3, patience=4, num_features=256)
+    got = curve.orderBy("round").collect()
+    best = next(r for r in got if r["best"])
+    assert sum(r["best"] for r in got) == 1 and best["macro_f1"] == max(r["macro_f1"] for r in got)
+    assert best["round"] < got[-1]["round"] and got[-1]["macro_f1"] < best["macro_f1"]
+    assert got[-1]["round"] <= best["round"] + 4 and [r["iterations"] for r in got] == [3 * r["round"] for r in got]
+    assert all(a["loss"] >= b["loss"] - 1e-9 for a, b in zip(got, got[1:]))  # each goes on where the last one stopped
+    pred = ml.score(model, dev, keep=("label",)).select(F.col("label").alias("y"), F.col("intent").alias("pred"))
+    assert abs(evaluate.macro_scores(pred).first()["f1"] - best["macro_f1"]) < 1e-9
+
+
+def test_a_label_space_too_large_for_a_prompt_fails(spark, monkeypatch):
+    monkeypatch.setattr(prompt, "LABEL_LIMIT", 3)
+    space = spark.range(4).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("name"), F.lit("d").alias("description"))
+    with pytest.raises(ValueError, match="3 labels"):
+        prompt.compact_label_space(space, order_col="id")
+    assert prompt.compact_label_space(space.limit(3), order_col="id").startswith('{"labels": [')
+
+
+# --- ML-6 ---------------------------------------------------------------------------------
+
+def test_topics_equal_a_plain_computation(spark):
+    """Vectors, nearest centres and far texts of the result against plain Python; the same
+    with other partitions; topics apart from each other come out as clusters."""
+    import math
+    from collections import Counter
+
+    from utterset.operators import topics
+    rng = random.Random(9)
+    words = [[f"{t}{i}" for i in range(12)] for t in "abc"]
+    texts = [" ".join(rng.choice(words[i % 3]) for _ in range(rng.randrange(4, 9))) for i in range(90)] + ["", "!!", "zebra quagga okapi", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    args = (6, "text", r"(?U)\W+", 1000)
+    found = topics.spherical_kmeans(df.repartition(3), *args)
+    docs = {t: [w for w in t.lower().split() if w.isalnum()] for t in set(texts) - {None}}
+    docs = {t: w + [f"{a} {b}" for a, b in zip(w, w[1:])] for t, w in docs.items() if w}
+    df_of = Counter(x for w in docs.values() for x in set(w))
+    want = {}
+    for t, w in docs.items():
+        v = {x: n * math.log((len(docs) + 1) / (df_of[x] + 1)) for x, n in Counter(w).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        want[t] = {x: y / size for x, y in v.items() if y > 0}
+    import hashlib
+    name = {hashlib.md5(t.encode()).digest(): t for t in docs}
+    got = {}
+    for r in found.vectors.collect():
+        got.setdefault(name[bytes(r["key"])], {})[r["term"]] = r["weight"]
+    assert set(got) == set(want)
+    assert all(abs(got[t][x] - y) < 1e-8 for t in want for x, y in want[t].items())
+    centres = {}
+    for r in found.centres.collect():
+        centres.setdefault(r["cluster"], {})[r["term"]] = r["weight"]
+    assigned = {name[bytes(r["key"])]: r for r in found.assigned.collect()}
+    assert set(assigned) == set(want)
+    for t, v in want.items():
+        cosines = {c: sum(y * centre.get(x, 0) for x, y in v.items()) for c, centre in centres.items()}
+        assert abs(max(cosines.values()) - cosines[assigned[t]["cluster"]]) < 1e-6 and abs(assigned[t]["cosine"] - max(cosines.values())) < 1e-6
+    again = {name[bytes(r["key"])]: r["cluster"] for r in topics.spherical_kmeans(df.repartition(7), *args).assigned.collect()}
+    assert again == {t: r["cluster"] for t, r in assigned.items()}
+    kinds = {}
+    for i, t in enumerate(texts[:90]):
+        kinds.setdefault(assigned[t]["cluster"], set()).add(i % 3)
+    assert all(len(k) == 1 for k in kinds.values())
+
+
+def test_a_text_far_from_its_cluster_gets_other(spark):
+    from utterset.operators import model as ml
+    rng = random.Random(10)
+    base = ["reset my password please", "how do i book a meeting room"]
+    texts = [b + rng.choice((" now", " today", " again", "")) + f" {i % 4}" for i in range(60) for b in base]
+    texts.append("please " + " ".join(f"odd{i}" for i in range(25)))
+    df = spark.createDataFrame([(t,) for t in sorted(set(texts))], "text string")
+    space, assign = ml.induce_label_space(df, max_labels=3)
+    got = {r["text"]: r["label_id"] for r in assign.collect()}
+    assert got[texts[-1]] == "OTHER" and sum(x == "OTHER" for x in got.values()) <= 3
+    assert {r["id"] for r in space.collect()} == {"CLUSTER_0", "CLUSTER_1", "OTHER"}

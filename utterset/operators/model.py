@@ -16,17 +16,17 @@ Scoring maps the probability vector to ``intent``, ``confidence`` and a
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.feature import (IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_label_id
+from ..session import cut_lineage
+from . import topics
 from .evaluate import macro_scores
 
 
@@ -97,6 +97,49 @@ def fit_best(train: DataFrame, dev: DataFrame, reg_params=(0.0, 0.01), num_featu
     return best, spark.createDataFrame(rows, "reg_param DOUBLE, macro_f1 DOUBLE")
 
 
+def fit_rounds(train: DataFrame, dev: DataFrame, rounds: int = 20, iterations: int = 5, patience: int = 3, num_features: int = 1 << 12,
+               seed: int = 42, text_col: str = "text", label_col: str = "label") -> tuple[PipelineModel, DataFrame]:
+    """ML-4: train in rounds and keep the round with the best macro-F1 on ``dev``.
+
+    Each round goes on from the weights of the one before with ``iterations`` more steps
+    of L-BFGS over the whole training set, is scored on ``dev`` and kept if it beats all
+    before (ties: the earlier one). After ``patience`` rounds without a better one training
+    stops. The classifier is a softmax regression over hashed character unigrams and
+    bigrams, a network without hidden layers, which takes initial weights. Features are
+    made once and read from the shared folder. Returns the best model and the curve
+    ``(round, iterations, loss, macro_f1, best)``."""
+    spark = train.sparkSession
+    made = Pipeline(stages=[
+        StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error"),
+        RegexTokenizer(inputCol=text_col, outputCol="chars", pattern="", gaps=True, toLowercase=False, minTokenLength=1),
+        NGram(n=2, inputCol="chars", outputCol="bigrams"),
+        SQLTransformer(statement="SELECT *, concat(chars, bigrams) AS grams FROM __THIS__"),
+        HashingTF(inputCol="grams", outputCol="tf", numFeatures=num_features),
+        IDF(inputCol="tf", outputCol="weights", minDocFreq=1),
+        Normalizer(inputCol="weights", outputCol="features"),
+    ]).fit(train)
+    x = cut_lineage(made.transform(train).select("label_idx", "features"))
+    held = cut_lineage(made.transform(dev).select(F.col(label_col).alias("y"), "features"))
+    labels = list(made.stages[0].labels)
+    names = F.array(*[F.lit(v) for v in labels])
+    weights, best, rows, since = None, None, [], 0
+    for number in range(1, rounds + 1):
+        net = MultilayerPerceptronClassifier(layers=[num_features, max(2, len(labels))], maxIter=iterations, tol=1e-9, seed=seed,
+                                             solver="l-bfgs", labelCol="label_idx", featuresCol="features", initialWeights=weights)
+        fitted = net.fit(x)
+        weights = fitted.weights
+        pred = fitted.transform(held).select("y", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("pred"))
+        f1 = float(macro_scores(pred).first()["f1"] or 0.0)
+        loss = float(fitted.summary().objectiveHistory[-1])
+        better = best is None or f1 > best[1]
+        rows.append((number, number * iterations, loss, f1))
+        best, since = ((fitted, f1, number), 0) if better else (best, since + 1)
+        if since >= patience:
+            break
+    curve = spark.createDataFrame([(*r, r[0] == best[2]) for r in rows], "round INT, iterations INT, loss DOUBLE, macro_f1 DOUBLE, best BOOLEAN")
+    return PipelineModel([*made.stages, best[0]]), curve
+
+
 def model_info(model: PipelineModel, path: str | None = None, max_length: int | None = None) -> DataFrame:
     """ML-7: one row describing the model."""
     spark = SparkSession.getActiveSession()
@@ -119,48 +162,31 @@ def load(path: str) -> PipelineModel:
 
 
 def induce_label_space(questions: DataFrame, max_labels: int = 25, text_col: str = "text",
-                       vocab_size: int = 1 << 16, top_terms: int = 5, seed: int = 42,
+                       vocab_size: int = 1 << 16, top_terms: int = 5,
                        token_pattern: str = r"(?U)\W+|(?<=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])|(?=[\p{IsHan}\p{IsHiragana}\p{IsKatakana}])",
                        other_cosine: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """ML-6: a label space from unlabelled questions (re-aimed from an LLM call).
 
     TF-IDF of unit length over words of any script, and over single characters and
     pairs of neighbours (as all tokens are paired) where a script has no blanks ->
-    KMeans(k = max_labels - 1); each cluster becomes a label named by the heaviest terms
-    of its centre. A text whose cosine with its centre is below ``other_cosine``, or
-    that has no term, gets OTHER, the fallback the reference always allows. Terms of
-    one text count too; of more than ``vocab_size`` the most frequent stay. Centres are k x vocab_size doubles (bounded by
-    the parameters), so the term ranking runs on the driver; the features
-    themselves stay sparse on the executors. Returns
+    spherical k-means with k = max_labels - 1 (``topics``); each cluster becomes a label
+    named by the heaviest terms of its centre. A text whose cosine with its centre is below
+    ``other_cosine``, or far below those of its cluster, or that has no term, gets OTHER, the
+    fallback the reference always allows. Terms of one text count too; of more than
+    ``vocab_size`` the most frequent stay. Returns
     ``(label_space(id, name, description, keywords), assignments(text, label_id))``.
     """
-    tok = RegexTokenizer(inputCol=text_col, outputCol="words", pattern=token_pattern, minTokenLength=1)
-    pairs = NGram(n=2, inputCol="words", outputCol="pairs")
-    both = SQLTransformer(statement="SELECT *, concat(words, pairs) AS tokens FROM __THIS__")
-    cv = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=1.0)
-    idf = IDF(inputCol="tf", outputCol="weights")
-    unit = Normalizer(inputCol="weights", outputCol="features")
-    km = KMeans(k=max(2, max_labels - 1), seed=seed, featuresCol="features", predictionCol="cluster")
-    model = Pipeline(stages=[tok, pairs, both, cv, idf, unit, km]).fit(questions)
-    vocab = model.stages[3].vocabulary
-    rows = []
-    for i, centre in enumerate(model.stages[-1].clusterCenters()):
-        order = sorted(range(len(centre)), key=lambda j: (-centre[j], j))[:top_terms]
-        kws = [vocab[j] for j in order if centre[j] > 0]
-        rows.append((f"CLUSTER_{i}", kws[0] if kws else f"cluster {i}",
-                     "Questions about: " + ", ".join(kws), kws))
-    rows.append(("OTHER", "OTHER", "Questions that fit no other label.", []))
-    spark = questions.sparkSession
-    space = spark.createDataFrame(rows, "id STRING, name STRING, description STRING, keywords ARRAY<STRING>")
-    space = space.withColumn("id", sanitize_label_id(F.col("id"), F.col("name")))
-    held = spark.sparkContext.broadcast([(c, float(np.linalg.norm(c))) for c in model.stages[-1].clusterCenters()])
-
-    @F.udf("double")
-    def cosine(x, cluster):
-        centre, norm = held.value[cluster]
-        return float(x.values @ centre[x.indices]) / norm if norm and len(x.indices) else 0.0
-
-    near = cosine("features", "cluster") >= other_cosine
-    assign = model.transform(questions).select(
-        text_col, F.when(near, F.concat(F.lit("CLUSTER_"), F.col("cluster").cast("string"))).otherwise("OTHER").alias("label_id"))
+    found = topics.spherical_kmeans(questions, max(2, max_labels - 1), text_col, token_pattern, vocab_size)
+    heavy = found.centres.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("weight"), "term"))) \
+        .filter(F.col("place") <= top_terms)
+    keywords = heavy.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    named = keywords.select(F.concat(F.lit("CLUSTER_"), F.col("cluster").cast("string")).alias("id"), F.transform("t", lambda x: x["term"]).alias("keywords"))
+    space = named.select("id", F.get("keywords", F.lit(0)).alias("name"),
+                         F.concat(F.lit("Questions about: "), F.array_join("keywords", ", ")).alias("description"), "keywords")
+    other = questions.sparkSession.createDataFrame([("OTHER", "OTHER", "Questions that fit no other label.", [])], space.schema)
+    space = space.unionByName(other).withColumn("id", sanitize_label_id(F.col("id"), F.col("name")))
+    keyed = questions.select(text_col, topics.text_key(text_col).alias("key"))
+    near = ~F.col("far") & (F.col("cosine") >= other_cosine)
+    assign = keyed.join(found.assigned, "key", "left") \
+        .select(text_col, F.when(near, F.concat(F.lit("CLUSTER_"), F.col("cluster").cast("string"))).otherwise("OTHER").alias("label_id"))
     return space, assign

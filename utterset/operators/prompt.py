@@ -49,6 +49,7 @@ SCHEMA_USER_TMPL = (
 SAMPLE_MARKER = "以下是样本"
 SAMPLES_SLOT = "{SAMPLES}"
 OVERHEAD_TOKENS = 20
+LABEL_LIMIT = 10_000
 
 
 def py_token_estimate(s: str) -> int:
@@ -62,8 +63,12 @@ def compact_label_space(label_space: DataFrame, order_col: str = "label_pos", pe
     characters when the whole text is longer than ``max_json_chars``.
 
     The label space is one row per label (tens of rows); the result is one
-    bounded string, returned to the driver so it can be a literal in prompts.
+    string, returned to the driver so it can be a literal in prompts. More than
+    ``LABEL_LIMIT`` labels, far beyond what any prompt holds, fail before they are gathered.
     """
+    if label_space.limit(LABEL_LIMIT + 1).count() > LABEL_LIMIT:
+        raise ValueError(f"a label space of more than {LABEL_LIMIT} labels fits no prompt")
+
     def rendered(limit: int) -> Column:
         item = F.concat(F.lit('{"id": '), json_quote(F.substring(F.upper(F.col("id").cast("string")), 1, 80)),
                         F.lit(', "name": '), json_quote(F.substring(F.col("name").cast("string"), 1, 80)),

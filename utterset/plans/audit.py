@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, neardup, split
+from ..session import cut_lineage
 
 
 def audit_sides(train: DataFrame, dev: DataFrame, id_col: str = "id", threshold: float = 0.95) -> dict:
@@ -27,10 +28,31 @@ def audit_sides(train: DataFrame, dev: DataFrame, id_col: str = "id", threshold:
     }
 
 
+def _sides(train: DataFrame, dev: DataFrame) -> DataFrame:
+    return train.withColumn("__side", F.lit(0)).unionByName(dev.withColumn("__side", F.lit(1)))
+
+
+def leak_report(train: DataFrame, dev: DataFrame, pos_col: str = "pos", seed: int = 42, n_folds: int = 5) -> DataFrame:
+    """``(stage, measure, n)``: rows of both sides, texts on both and conflicting groups
+    before the re-split by group; rows, texts and groups on both sides after it."""
+    done = resplit(train, dev, pos_col, seed, n_folds)
+    parts = cut_lineage(done["split"])
+    sides = {"before": (train, dev), "after": tuple(parts.filter(F.col("split") == name) for name in ("train", "dev"))}
+
+    def rows(stage: str, measure: str, df: DataFrame) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(stage).alias("stage"), F.lit(measure).alias("measure"), "n")
+
+    out = rows("before", "conflicting_groups", done["conflicts"]).union(rows("after", "leaked_groups", split.leaked_groups(parts)))
+    for stage, (left, right) in sides.items():
+        out = out.union(rows(stage, "train_rows", left)).union(rows(stage, "dev_rows", right)) \
+            .union(rows(stage, "texts_on_both_sides", audit.exact_overlap(left, right)))
+    return out
+
+
 def resplit(train: DataFrame, dev: DataFrame, pos_col: str = "pos", seed: int = 42,
             n_folds: int = 5) -> dict:
     """Concatenate both sides (train first), report conflicts, group-split."""
-    both = train.withColumn("__side", F.lit(0)).unionByName(dev.withColumn("__side", F.lit(1)))
+    both = _sides(train, dev)
     both = both.withColumn("__ord", F.struct("__side", pos_col))
     conflicts = audit.conflicts(both)
     parts = split.group_split(both, "text", "label", "__ord", seed=seed, n_folds=n_folds)

@@ -38,7 +38,7 @@ def build_labelled_dataset(log: DataFrame, out_dir: str, annotator: Callable[[st
     q = resolve_question_log(log, pos_col) if "src_pos" not in log.columns else log
     questions = clean_questions(q)
     if label_space is None:
-        label_space, _ = model.induce_label_space(questions, max_labels=max_labels, seed=seed)
+        label_space, _ = model.induce_label_space(questions, max_labels=max_labels)
     # A stable order: the cache's keys hash this text, so a re-run must write the same.
     label_json = prompt.compact_label_space(label_space, order_col="id")
 

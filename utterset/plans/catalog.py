@@ -13,24 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from ..session import cut_lineage
 
-from ..functions.text import (collapse_space, py_strip, remove_space, sanitize_label_id,
+from ..functions.text import (collapse_space, contains_any, py_strip, remove_space, sanitize_label_id,
                               text_prefix, token_estimate, trim_to_tokens)
 from ..functions import probs
 from ..functions.hashing import order_key
 from ..functions.tokens import token_counter
 from ..functions.replies import parse_reply, reply_error, reply_fields
 from ..operators.containment import contained_pairs
-from ..operators.neardup import near_duplicate_pairs
+from ..operators.neardup import near_duplicate_links
 from ..operators.rank import dense_sequence
 from ..operators import annotate, audit, batch_annotate, dictionary, evaluate, external, labels, merge, prompt, rules, split, template_draws
 from ..session import scratch_path
-from ..sources import io
+from ..sources import io, versions
 from ..streaming import feeds
 from ..operators import model as ml
 from ..operators.dedup import clean_questions
 from ..session import table
 from ..sources import tables
-from ..sources.columns import detect_question_column
+from ..sources.columns import detect_question_column, log_positions
+from .audit import leak_report
 
 SEED = 42
 
@@ -121,6 +122,12 @@ def dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "copies")
 
 
+def label_rows_with_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FL-7, FL-8: the documents of one label that contain any of some words."""
+    d = table(spark, sf_dir, "documents").filter(F.col("lang") == "de")
+    return d.filter(contains_any(F.lower("text"), [" und ", " oder ", " the "])).select("doc_id", "lang")
+
+
 def sanitize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", sanitize_label_id(F.col("url"), F.col("html")).alias("label_id"),
@@ -193,6 +200,13 @@ def exact_overlap_train_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               F.length("text").alias("n_chars"))
 
 
+def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit route: leakage between train and dev, re-split by group, audit again."""
+    s = split.stratified_split(tables.source_labelled(spark, sf_dir), "label", "doc_id", seed=SEED)
+    train, dev = (cut_lineage(s.filter(F.col("split") == name).select(F.col("doc_id").alias("pos"), "text", "label")) for name in ("train", "dev"))
+    return leak_report(train, dev, seed=SEED)
+
+
 # --- evaluation -------------------------------------------------------------
 
 def _lang_pairs(spark, sf_dir):
@@ -276,6 +290,23 @@ def merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_stats(old, new, merged)
 
 
+def merged_dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GE-4, IO-5, IO-6, SE-2, SP-7, AG-2: a set and its label index are written as one version,
+    a new generation is merged into them as the next, and what is current is counted."""
+    old, new = _two_generations(spark, sf_dir)
+    base = scratch_path(spark, "versions")
+
+    def tables_of(rows: DataFrame, index: DataFrame) -> dict:
+        return {"dataset": (rows, "parquet", ["split"]), "label_mapping": (index, "parquet", [])}
+
+    first = versions.replace(spark, base, tables_of(old.select("split", "text", "label", "doc_id"), labels.label_index(old)), None)
+    held, index = versions.read_current(spark, base, "dataset"), versions.read_current(spark, base, "label_mapping")
+    merged = merge.merge_splits(held, new.select("split", "text", "label", "doc_id"), pos_col="doc_id")
+    versions.replace(spark, base, tables_of(merged.select("split", "text", "label", "doc_id"), labels.extend_label_index(index, new)), first)
+    rows = labels.attach_label_ids(versions.read_current(spark, base, "dataset"), versions.read_current(spark, base, "label_mapping"))
+    return rows.groupBy("split", "label", "label_idx").agg(F.count(F.lit(1)).alias("count"))
+
+
 def label_index_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tables.labelled_set(spark, sf_dir)
     existing = labels.label_index(d.filter(F.col("label").startswith("Q1")))
@@ -366,6 +397,15 @@ def annotate_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.sha1("text").alias("text_sha1"), "label_id", "label_name", "confidence", "from_cache")
 
 
+def annotation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-8: the error log of a run over all documents, read back."""
+    label_json = prompt.compact_label_space(lang_label_space(spark, sf_dir), order_col="id")
+    errors = scratch_path(spark, "label-errors")
+    texts = table(spark, sf_dir, "documents").select("text").distinct()
+    annotate.annotate(texts, annotate.keyword_annotator(LANG_RULES), label_json, None, errors, attempts=1)
+    return spark.read.schema("text string, error string").json(errors).select(F.sha1("text").alias("text_sha1"), "error")
+
+
 def pack_schema_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = clean_questions(tables.question_log(spark, sf_dir))
     return prompt.pack_samples(q, order_col="src_pos")
@@ -457,6 +497,17 @@ def sequence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_sequence(q, ["src_pos"], "id").select("id", "src_pos")
 
 
+def log_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO-1: a question log without a key, as JSON files, read back; its rows are numbered in
+    the order in which they stand there."""
+    path = scratch_path(spark, "log")
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    ordered = turns.repartitionByRange(8, "conv_id", "turn").sortWithinPartitions("conv_id", "turn")
+    io.write_table(ordered.select("text", "conv_id", "turn"), path, "json")
+    log = io.read_table(spark, path, "json", schema="text string, conv_id long, turn long")
+    return log_positions(log).select("src_pos", "conv_id", "turn", F.sha1("text").alias("text_sha1"))
+
+
 def first_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = clean_questions(tables.question_log(spark, sf_dir))
     return q.orderBy("src_pos").limit(400)
@@ -492,16 +543,29 @@ def near_dup_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _question_splits(spark, sf_dir)
     dev = s.filter("split = 'dev'").select("id", "text")
     train = s.filter("split = 'train'").select("id", "text")
-    return near_duplicate_pairs(dev, train, threshold=0.95)
+    return near_duplicate_links(dev, train, threshold=0.95)[0]
 
 
 def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-5 on whole documents: dev vs train of the source-labelled split."""
+    """JN-5 on whole documents: dev vs train of the source-labelled split, as links between
+    distinct texts; ``near_dup_members`` has the rows of each."""
+    d = tables.source_labelled(spark, sf_dir)
+    s = split.stratified_split(d, "label", "doc_id", seed=SEED)
+    return near_duplicate_links(*_document_sides(s), threshold=0.95)[0]
+
+
+def _document_sides(s: DataFrame) -> list[DataFrame]:
+    return [s.filter(F.col("split") == side).select(F.col("doc_id").alias("id"), "text") for side in ("dev", "train")]
+
+
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5: which documents hold a text with a near-duplicate on the other side."""
     d = tables.source_labelled(spark, sf_dir)
     s = split.stratified_split(d, "label", "doc_id", seed=SEED)
-    dev = s.filter("split = 'dev'").select(F.col("doc_id").alias("id"), "text")
-    train = s.filter("split = 'train'").select(F.col("doc_id").alias("id"), "text")
-    return near_duplicate_pairs(dev, train, threshold=0.95)
+    links, members = near_duplicate_links(*_document_sides(s), threshold=0.95)
+    links = cut_lineage(links.select("left_rep", "right_rep"))
+    linked = links.select(F.lit(0).alias("side"), F.col("left_rep").alias("rep")).union(links.select(F.lit(1), "right_rep")).distinct()
+    return members.join(linked, ["side", "rep"], "left_semi").select("side", "id", "rep")
 
 
 # --- streaming, files, model, whole route -------------------------------------------
@@ -594,10 +658,18 @@ def model_eval_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.report(pred.select(F.col("label").alias("y"), F.col("intent").alias("pred")))
 
 
+def model_rounds_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-4: training in rounds; the curve of the scores on dev, and which round is kept."""
+    d = tables.lang_truth(spark, sf_dir).select("doc_id", "text", F.col("y").alias("label"))
+    s = cut_lineage(split.stratified_split(d, "label", "doc_id", seed=SEED))
+    _, curve = ml.fit_rounds(s.filter("split = 'train'"), s.filter("split = 'dev'"))
+    return curve.select("round", "iterations", F.round("loss", 6).alias("loss"), "macro_f1", "best")
+
+
 def induced_label_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-6: a label space induced from the question log."""
     q = clean_questions(tables.question_log(spark, sf_dir))
-    space, assign = ml.induce_label_space(q, max_labels=8, seed=SEED)
+    space, assign = ml.induce_label_space(q, max_labels=8)
     sizes = assign.groupBy("label_id").agg(F.count(F.lit(1)).alias("n_questions"))
     return space.join(sizes, space["id"] == sizes["label_id"], "left") \
         .select("id", "name", F.coalesce("n_questions", F.lit(0)).alias("n_questions"))
@@ -625,6 +697,7 @@ QUERIES = {
     "rule_probs_lang": rule_probs_lang,
     "normalize_documents": normalize_documents,
     "dedup_documents": dedup_documents,
+    "label_rows_with_words": label_rows_with_words,
     "sanitize_ids": sanitize_ids,
     "label_counts": label_counts,
     "label_pair_counts": label_pair_counts,
@@ -636,6 +709,7 @@ QUERIES = {
     "prefix_split_by_source": prefix_split_by_source,
     "group_split_by_source": group_split_by_source,
     "group_split_leak": group_split_leak,
+    "leak_audit": leak_audit,
     "exact_overlap_train_dev": exact_overlap_train_dev,
     "eval_macro": eval_macro,
     "eval_report": eval_report,
@@ -647,6 +721,7 @@ QUERIES = {
     "generate_split": generate_split,
     "merge_existing_new": merge_existing_new,
     "merge_report": merge_report,
+    "merged_dataset_counts": merged_dataset_counts,
     "label_index_extend": label_index_extend,
     "label_map": label_map,
     "label_map_inverse": label_map_inverse,
@@ -655,6 +730,7 @@ QUERIES = {
     "parse_replies": parse_replies,
     "render_prompts": render_prompts,
     "annotate_cached": annotate_cached,
+    "annotation_errors": annotation_errors,
     "pack_schema_prompt": pack_schema_prompt,
     "pack_prompt_by_lang": pack_prompt_by_lang,
     "trim_prompts": trim_prompts,
@@ -666,12 +742,14 @@ QUERIES = {
     "softmax_argmax": softmax_argmax,
     "top2_probs": top2_probs,
     "sequence_ids": sequence_ids,
+    "log_row_numbers": log_row_numbers,
     "first_questions": first_questions,
     "seeded_sample": seeded_sample,
     "benchmark_leaks": benchmark_leaks,
     "benchmark_leak_counts": benchmark_leak_counts,
     "near_dup_questions": near_dup_questions,
     "near_dup_documents": near_dup_documents,
+    "near_dup_members": near_dup_members,
     "stream_score_questions": stream_score_questions,
     "stream_merge_documents": stream_merge_documents,
     "stream_merge_keyed": stream_merge_keyed,
@@ -680,6 +758,7 @@ QUERIES = {
     "training_rows": training_rows,
     "external_scores": external_scores,
     "model_eval_lang": model_eval_lang,
+    "model_rounds_lang": model_rounds_lang,
     "induced_label_space": induced_label_space,
     "build_dataset_sizes": build_dataset_sizes,
 }

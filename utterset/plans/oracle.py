@@ -169,6 +169,8 @@ ORACLES = {
     "rule_word_dictionary": """WITH k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^ \\t\\n]+')) AS keyword FROM documents)
         SELECT doc_id, min({'n': -length(keyword), 'label': 'HAS_' || keyword}).label AS rule_label
         FROM documents LEFT JOIN k ON contains(lower(text), keyword) GROUP BY doc_id""",
+    "label_rows_with_words": """SELECT doc_id, lang FROM documents WHERE lang = 'de'
+        AND (contains(lower(text), ' und ') OR contains(lower(text), ' oder ') OR contains(lower(text), ' the '))""",
     "rule_score_lang": f"WITH {lang_scored()} SELECT doc_id, intent, confidence FROM rs",
     "rule_probs_lang": f"WITH {lang_scored()} SELECT doc_id, label, prob FROM rs_long",
     "normalize_documents": f"""
@@ -223,6 +225,22 @@ FROM rk JOIN sc ON rk.label = sc.label""",
 SELECT count(*) AS leaked_groups FROM (
   SELECT DISTINCT norm_text FROM gs WHERE split = 'train'
   INTERSECT SELECT DISTINCT norm_text FROM gs WHERE split = 'dev')""",
+    "leak_audit": f"""
+WITH {_stratified("SELECT doc_id, text, source AS label FROM documents")},
+td AS (SELECT doc_id, label, split, {strip('text')} AS t, {no_space(strip('text'))} AS norm, split = 'dev' AS second FROM st WHERE split <> 'test'),
+tk AS (SELECT * FROM td QUALIFY row_number() OVER (PARTITION BY norm, label ORDER BY second, doc_id) = 1),
+tv AS (SELECT norm, label, count(*) AS v FROM td GROUP BY norm, label),
+tg AS (SELECT norm, label AS g FROM tv QUALIFY row_number() OVER (PARTITION BY norm ORDER BY v DESC, label) = 1),
+tf AS (SELECT norm, (row_number() OVER (PARTITION BY g ORDER BY {okey('norm')}, norm) - 1) % 5 = 0 AS dev FROM tg),
+ts AS (SELECT tk.t, tk.norm, dev FROM tk JOIN tf USING (norm))
+SELECT 'before' AS stage, 'conflicting_groups' AS measure, (SELECT count(*) FROM (SELECT norm FROM td GROUP BY norm HAVING count(DISTINCT label) > 1)) AS n
+UNION ALL SELECT 'before', 'train_rows', (SELECT count(*) FROM td WHERE NOT second) UNION ALL SELECT 'before', 'dev_rows', (SELECT count(*) FROM td WHERE second)
+UNION ALL SELECT 'before', 'texts_on_both_sides', (SELECT count(*) FROM (SELECT t FROM td WHERE second INTERSECT SELECT t FROM td WHERE NOT second))
+UNION ALL SELECT 'after', 'leaked_groups', (SELECT count(*) FROM (SELECT norm FROM ts WHERE dev INTERSECT SELECT norm FROM ts WHERE NOT dev))
+UNION ALL SELECT 'after', 'train_rows', (SELECT count(*) FROM ts WHERE NOT dev) UNION ALL SELECT 'after', 'dev_rows', (SELECT count(*) FROM ts WHERE dev)
+UNION ALL SELECT 'after', 'texts_on_both_sides', (SELECT count(*) FROM (SELECT t FROM ts WHERE dev INTERSECT SELECT t FROM ts WHERE NOT dev))""",
+    "log_row_numbers": """SELECT row_number() OVER (ORDER BY conv_id, turn) AS src_pos, conv_id, turn, sha1(text) AS text_sha1
+FROM conversations WHERE role = 'user'""",
     "exact_overlap_train_dev": f"""
 WITH {_stratified("SELECT doc_id, text, source AS label FROM documents")}
 SELECT sha1(t) AS text_sha1, length(t) AS n_chars FROM (
@@ -303,6 +321,10 @@ rk AS (SELECT label, sample_idx, row_number() OVER (PARTITION BY label
 SELECT rk.label, sample_idx, CASE WHEN r <= CAST(floor(n_c * 0.8::DOUBLE) AS BIGINT) THEN 'train' ELSE 'test' END AS split
 FROM rk JOIN sc ON rk.label = sc.label""",
     "merge_existing_new": f"WITH {MERGED} SELECT split, doc_id, label, origin FROM mm",
+    "merged_dataset_counts": f"""WITH {MERGED}
+SELECT split, label, CAST(label_idx AS INTEGER) AS label_idx, count(*) AS count
+FROM mm JOIN (SELECT source AS label, row_number() OVER (ORDER BY source) - 1 AS label_idx FROM (SELECT DISTINCT source FROM documents)) USING (label)
+GROUP BY ALL""",
     "merge_report": f"""WITH {MERGED}
 SELECT e.split, e.existing, n.new, m.merged, e.existing + n.new - m.merged AS removed FROM
  (SELECT split, count(*) AS existing FROM me GROUP BY split) e
@@ -432,6 +454,8 @@ SELECT sha1(text) AS text_sha1, CASE WHEN lab IS NULL THEN {q(A.FALLBACK_ID)} EL
        CASE WHEN lab IS NULL THEN {q(A.FALLBACK_NAME)} ELSE lab END AS label_name,
        CASE WHEN lab IS NULL THEN 0.0 ELSE 0.9 END AS confidence,
        (lab IS NOT NULL AND text IN (SELECT text FROM tr)) AS from_cache FROM lb""",
+    "annotation_errors": f"""SELECT sha1(text) AS text_sha1, 'invalid json' AS error FROM (SELECT DISTINCT text FROM documents)
+        WHERE {rule_case(C.LANG_RULES)} IS NULL""",
     "annotate_batched": f"""WITH tr AS (SELECT DISTINCT text FROM {_prefix_split(SEED)} WHERE split = 'train'),
 lb AS (SELECT DISTINCT text, {rule_case(C.LANG_RULES)} AS lab FROM documents)
 SELECT sha1(text) AS text_sha1, CASE WHEN lab IS NULL THEN {q(A.FALLBACK_ID)} ELSE upper(lab) END AS label_id,

@@ -7,9 +7,11 @@ setting is absent -- local runs and tests -- do we pick a folder ourselves.
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,20 +66,22 @@ def ensure_shipped(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.utterset.shipped", "false") == "true":
         return
-    import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    target = os.path.join(base, f"utterset-{uuid.uuid4().hex[:8]}.zip")
-    local = target[len("file:"):] if target.startswith("file:") else target
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for root, dirs, files in os.walk(pkg):
             dirs[:] = [d for d in dirs if d != "__pycache__"]
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    spark.sparkContext.addPyFile(local)
+    # written by the file system that the folder belongs to, whatever its scheme
+    target = os.path.join(ensure_checkpoint_dir(spark), f"utterset-{uuid.uuid4().hex[:8]}.zip")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    stream.write(bytearray(held.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target)
     spark.conf.set("spark.utterset.shipped", "true")
 
 
@@ -108,19 +112,17 @@ SPREAD_MIN_BYTES = 1 << 20
 def table(spark: SparkSession, sf_dir: str, name: str):
     """Read one driver table (one parquet file or folder) by name.
 
-    A table stored as fewer files than there are cores (the test tables are
+    A table that is read in fewer partitions than there are cores (the test tables are
     single files with one row group, i.e. one scan task) is spread over the
     cores right after the scan, so per-row work does not run in one task.
     Filters and column pruning still reach the scan. On a cluster the data
     arrives as many files and this is a no-op.
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    local = [f[len("file:"):] for f in files if f.startswith("file:")]
-    if len(local) != len(files):
+    if df.rdd.getNumPartitions() >= cores:
         return df
-    size = sum(os.path.getsize(f) for f in local if os.path.exists(f))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
     return df.repartition(cores) if size >= SPREAD_MIN_BYTES else df
