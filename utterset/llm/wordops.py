@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 U = np.uint64
 _RNG = np.random.default_rng(20240607)
 BYTE_KEYS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
