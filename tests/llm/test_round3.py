@@ -409,3 +409,87 @@ def test_license_scan_of_odd_rows(spark):
     assert got == [("3", "MIT"), ("None", "All-Rights-Reserved")]
     assert license_scan.license_scan(docs.limit(0), license_scan.templates(spark)).count() == 0
     assert license_scan.license_scan(docs, license_scan.templates(spark).limit(0)).count() == 0
+
+
+# --- quality rules ------------------------------------------------------------------------
+
+def brute_cutoffs(rows, risk, error):
+    """``rows``: (whether it chooses, stratum, quality, {rule: value}); the whole procedure in
+    plain Python, with exact fractions in the binomial tail."""
+    from fractions import Fraction
+    from math import comb
+
+    def tail(k, n):
+        p = Fraction(risk).limit_denominator(1000)
+        return sum(comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1))
+    strata, out = {r[1] for r in rows}, {}
+    for s in strata:
+        first = [r for r in rows if r[1] == s and r[0]]
+        second = [r for r in rows if r[1] == s and not r[0] and r[2] == 1]
+        order = sorted((sum(r[2] == 1 and r[3][rule] > c for r in first), -sum(r[2] == 0 and r[3][rule] > c for r in first), i, rule)
+                       for rule, (_, grid) in quality.RULES.items() for i, c in enumerate(grid))
+        path = []
+        for *_, i, rule in order:
+            path += [(rule, k) for k in range(i + 1) if (rule, k) not in path]
+        held = {}
+        for rule, i in path:
+            tried = {**held, rule: float(quality.RULES[rule][1][i])}
+            lost = sum(any(r[3][x] > c for x, c in tried.items()) for r in second)
+            if not second or tail(lost, len(second)) > Fraction(error) / len(strata):
+                break
+            held = tried
+        if held:
+            out[s] = held
+    return out
+
+
+def test_certified_cutoffs_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows, plain = [], []
+    for i in range(2400):
+        s, q = rng.choice(("en", "en", "de", None)), int(rng.random() < 0.8)
+        n = rng.randrange(20, 200)
+        chars = n * rng.randrange(4, 9 if q else 30)
+        m = {"n_words": n, "word_chars": chars, "n_symbols": int(chars * max(0, rng.gauss(0.005 if q else 0.1, 0.02))), "n_dup_lines": rng.randrange(1 if q else 9),
+             "n_repeat_words": rng.randrange(3), "n_lines": rng.randrange(1, 20), "n_upper": int(chars * rng.random() * 0.1)}
+        rows.append((i, s, q, *m.values()))
+        values = {rule: m[a] / m[b] for rule, (ratio, _) in quality.RULES.items() for a, b in [ratio.split(" / ")]}
+        plain.append([None, s, q, values])
+    rows += [(9999, "en", None, *rows[0][3:]), (9998, "fr", 1, *rows[0][3:])]
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, quality int, " + ", ".join(f"{m} long" for m in quality.MEASURES)).repartition(4)
+    chooses = {r["doc_id"]: r["c"] for r in df.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(quality.CHOOSING)) == 0).alias("c")).collect()}
+    for i, r in enumerate(plain):
+        r[0] = chooses[i]
+    plain.append([chooses[9998], "fr", 1, plain[0][3]])
+    got = quality.cutoffs(df, 0.02, 0.05)
+    assert got == brute_cutoffs(plain, 0.02, 0.05)
+    assert set(got) == {"en", "de", None} and "symbols" in got["en"]
+    assert quality.certified(got, ["en", "fr"])["fr"] == dict.fromkeys(quality.RULES)
+    assert quality.cutoffs(df.limit(0)) == {}
+
+
+def test_certified_rules_keep_the_risk(spark):
+    """Good documents that no label was shown of: no stratum loses more than the risk, in
+    nearly all of many draws."""
+    rng = np.random.default_rng(13)
+    broken = 0
+    for _ in range(60):
+        loss = np.sort(rng.beta(0.3, 6, 30))  # true rejection rates along a path
+        n = 400
+        rejected = (rng.random((n, 1)) < loss).sum(axis=0)
+        steps = quality.certified_steps(rejected.tolist(), n, 0.02, 0.05)
+        broken += steps > 0 and loss[steps - 1] > 0.02
+    assert broken <= 8  # 3 are expected at most
+    assert quality.certified_steps([0, 0], 0, 0.02, 0.05) == 0
+
+
+def test_repeat_words_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(4)}" for _ in range(rng.randrange(60))) for _ in range(60)] + [None, "", " ".join(["x"] * 40)]
+    want = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        wins = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
+        want.append(len({j for i, x in enumerate(wins) if wins.count(x) > 1 for j in range(i, i + 8)}))
+    got = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in got} == dict(enumerate(want))
