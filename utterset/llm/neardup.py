@@ -46,7 +46,7 @@ HASHES, BANDS, BATCH = 240, 48, 16
 FIRST_BANDS = 2
 MISS = 1e-6
 #: Host members, or guests, and their shingles that meet in one group of step 4.
-BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 #: Pairs of signatures that a task holds at a time in step 4.
 PAIRS = 1 << 16
 _RNG = np.random.default_rng(731)

@@ -30,7 +30,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 END = 50256
 #: A public vocabulary file, used by the queries; callers of ``pack`` give their own.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE = 200_000
+CACHE = 100_000
 SCHEMA = "block long, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, piece_starts array<long>"
 
 

@@ -41,7 +41,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Consecutive row slices of about ``max_bytes`` of text each, one row at least."""
+    """Consecutive row slices of about ``max_bytes`` of text each, one row at least. Workers
+    are reused, so what the slices' arrays leave in Arrow's pool is given back in between."""
     if batch.num_rows == 0:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -49,6 +50,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", max_bytes: int = CHUNK_B
     cuts = np.flatnonzero(np.diff(block)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
@@ -134,7 +136,3 @@ def packed(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
     ends = np.asarray(offsets, np.int64) * flat.dtype.itemsize
     data = np.ascontiguousarray(flat)
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
-
-
-def keep_columns(batch: pa.RecordBatch, names: list[str]) -> list[pa.Array]:
-    return [batch.column(n) for n in names]
