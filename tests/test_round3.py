@@ -520,3 +520,17 @@ def test_a_text_far_from_its_cluster_gets_other(spark):
     got = {r["text"]: r["label_id"] for r in assign.collect()}
     assert got[texts[-1]] == "OTHER" and sum(x == "OTHER" for x in got.values()) <= 3
     assert {r["id"] for r in space.collect()} == {"CLUSTER_0", "CLUSTER_1", "OTHER"}
+
+
+# --- containment of short items -----------------------------------------------------------
+
+def test_short_items_equal_brute_force(spark):
+    from utterset.operators.containment import contained_pairs
+    rng = random.Random(11)
+    docs = [(i, "".join(rng.choice("abcé 预\n") for _ in range(rng.randrange(120)))) for i in range(80)] + [(100, None), (101, "")]
+    items = [(i, "".join(rng.choice("abcé 预") for _ in range(rng.choice((1, 2, 3, 4, 5, 8, 9))))) for i in range(150)]
+    items += [(500 + i, t[5:45]) for i, t in docs[:30] if t and len(t) > 50] + [(900, None), (901, ""), (902, "not there at all"), (903, items[0][1])]
+    items += [(1000 + i, t[:60]) for i, t in docs[30:50] if t and len(t) > 70]
+    got = [(r["item_id"], r["doc_id"]) for r in contained_pairs(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                                                                spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, d) for i, x in items if x for d, t in docs if t is not None and x in t}

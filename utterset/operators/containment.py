@@ -14,9 +14,10 @@ is also selected in any document that contains the item. Hence:
    cannot contain the item) -> an equi-join yields the few candidates;
 4. candidates are verified exactly with ``instr``.
 
-Items shorter than ``k + w - 1`` characters have no guaranteed fingerprint;
-they are matched exactly by a broadcast ``contains`` join, allowed only while
-their number is below a checked bound.
+Items shorter than ``k + w - 1`` characters have no guaranteed fingerprint; each is
+looked for by the one of its pieces of 8, 4, 2 or 1 characters that the fewest documents
+have (``dictionary``), in an equi-join, and verified in the same way. Any number of them
+will do.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from ..session import cut_lineage, ensure_shipped
 
-from .rank import BROADCAST_ROW_LIMIT, bounded_broadcast
+from .dictionary import BROADCAST_ROWS, all_pieces, anchors
+from .rank import bounded_broadcast
 
 K_GRAM = 16
 WINDOW = 32
-SHORT_ITEM_LIMIT = 100_000
 _BASE = np.uint64(1099511628211)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,12 +88,16 @@ def contained_pairs(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     verified = cand.join(d, "doc_id").join(long_items, "item_id") \
         .filter(F.instr(F.col("doc_text"), F.col("item_text")) > 0).select("item_id", "doc_id")
 
-    n_short = short_items.limit(SHORT_ITEM_LIMIT + 1).count()
-    if n_short == 0:
+    if short_items.isEmpty():
         return verified
-    if n_short > SHORT_ITEM_LIMIT or n_short > BROADCAST_ROW_LIMIT:
-        raise ValueError(f"more than {SHORT_ITEM_LIMIT} items shorter than {min_len} characters; "
-                         "lower k/w so that they carry fingerprints")
-    short = d.join(F.broadcast(short_items), F.instr(F.col("doc_text"), F.col("item_text")) > 0) \
-        .select("item_id", "doc_id")
-    return verified.unionByName(short)
+    rule = F.struct(F.lit(0).alias("priority"), F.lit("").alias("label"))  # all alike here
+    texts = d.withColumnRenamed("doc_text", "__text")
+    words = cut_lineage(short_items.select(F.col("item_text").alias("keyword")).distinct().withColumn("rule", rule))
+    look = anchors(texts, words)
+    sizes = [r["q"] for r in look.select("q").distinct().collect()]  # of PIECES
+    if not sizes:
+        return verified
+    found = all_pieces(texts, "__text", sizes, "doc_id").join(bounded_broadcast(look, BROADCAST_ROWS), ["q", "piece"]).select("doc_id", "keyword").distinct()
+    short = found.join(d, "doc_id").filter(F.instr(F.col("doc_text"), F.col("keyword")) > 0) \
+        .join(short_items, F.col("keyword") == F.col("item_text")).select("item_id", "doc_id")
+    return verified.unionByName(short.distinct())

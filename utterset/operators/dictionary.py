@@ -40,7 +40,7 @@ def _pieces(text: Column, q: int) -> Column:
     return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % q), F.lit(1))), lambda p: F.xxhash64(p))
 
 
-def _all_pieces(df: DataFrame, text: str, sizes: list[int], *keep: str) -> DataFrame:
+def all_pieces(df: DataFrame, text: str, sizes: list[int], *keep: str) -> DataFrame:
     """``(*keep, q, piece)`` of the texts for each of ``sizes``."""
     parts = [df.select(*keep, F.lit(q).alias("q"), F.explode(_pieces(F.col(text), q)).alias("piece")) for q in sizes]
     return reduce(DataFrame.unionByName, parts)
@@ -53,7 +53,7 @@ def dictionary(rules_df: DataFrame, lower_keywords: bool = True) -> DataFrame:
 
 
 def anchors(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """``(q, piece, keyword, rule)``: the keywords of ``words`` that some text of ``texts``
+    """``(q, piece, keyword, rule)``: the keywords of ``words`` (a stored table) that some text of ``texts``
     (column ``__text``) may contain, each with its anchor."""
     size = F.length("keyword")
     q = reduce(lambda c, n: c.when(size >= n, n), PIECES[1:], F.when(size >= PIECES[0], PIECES[0]))
@@ -64,7 +64,7 @@ def anchors(texts: DataFrame, words: DataFrame) -> DataFrame:
     own = reduce(DataFrame.unionByName, [sized.filter(F.col("q") == n).select("keyword", "rule", "q", F.explode(_pieces(F.col("keyword"), n)).alias("piece")) for n in sizes])
     own = cut_lineage(own)
     wanted = bounded_broadcast(own.select("q", "piece").distinct(), BROADCAST_ROWS)
-    seen = _all_pieces(texts, "__text", sizes).join(wanted, ["q", "piece"], "left_semi").groupBy("q", "piece").agg(F.count(F.lit(1)).alias("n"))
+    seen = all_pieces(texts, "__text", sizes).join(wanted, ["q", "piece"], "left_semi").groupBy("q", "piece").agg(F.count(F.lit(1)).alias("n"))
     found = own.join(seen, ["q", "piece"], "left").groupBy("keyword", "rule", "q").agg(
         F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     return cut_lineage(found.filter("least > 0").select("q", "piece", "keyword", "rule"))
@@ -93,7 +93,7 @@ def match_dictionary(df: DataFrame, rules_df: DataFrame, text_col: str = "text",
     """``df`` with ``rule_label``: the label of the first rule, by (priority, label), one of
     whose keywords the lower-cased text contains. Null if none does, or the text is null.
     An empty keyword is in every text; a null one in none."""
-    words = dictionary(rules_df, lower_keywords)
+    words = cut_lineage(dictionary(rules_df, lower_keywords))  # read several times below
     names = [c for c in df.columns if c != "rule_label"]
     texts = df.withColumn("__text", F.lower(F.col(text_col))).withColumn("__key", F.unhex(F.md5("__text")))
     look = anchors(texts, words)
@@ -103,7 +103,7 @@ def match_dictionary(df: DataFrame, rules_df: DataFrame, text_col: str = "text",
     if not sizes:
         label = F.when(F.col("__text").isNotNull(), F.lit(always["rule"]["label"])) if always else F.lit(None).cast("string")
         return texts.withColumn("rule_label", label).select(*names, "rule_label")
-    hits = _all_pieces(texts, "__text", sizes, "__key").join(bounded_broadcast(look, BROADCAST_ROWS), ["q", "piece"]) \
+    hits = all_pieces(texts, "__text", sizes, "__key").join(bounded_broadcast(look, BROADCAST_ROWS), ["q", "piece"]) \
         .select("__key", "rule", "keyword").distinct()
     lists = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("rule", "keyword"))).alias("__rules"))
     joined = texts.join(lists, "__key", "left")
