@@ -573,7 +573,7 @@ def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-1: the conversation file as a stream; user turns scored by the rules."""
     schema = table(spark, sf_dir, "conversations").schema
-    feed = feeds.file_feed(spark, sf_dir, schema, "conversations.parquet").filter(F.col("role") == "user")
+    feed = feeds.table_feed(spark, sf_dir, "conversations.parquet", schema).filter(F.col("role") == "user")
     out, rej, ck = scratch_path(spark, "scored"), scratch_path(spark, "rejects"), scratch_path(spark, "ck")
     q1, q2 = feeds.score_feed(feed, rules.rules_frame(spark), rules.REFERENCE_LABELS, out, rej, ck, seed=SEED)
     q1.awaitTermination()
@@ -584,7 +584,7 @@ def stream_score_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2: documents streamed into a (text, label) de-duplicated table."""
     schema = table(spark, sf_dir, "documents").schema
-    feed = feeds.file_feed(spark, sf_dir, schema, "documents.parquet") \
+    feed = feeds.table_feed(spark, sf_dir, "documents.parquet", schema) \
         .select("text", F.col("source").alias("label"), F.col("doc_id").alias("pos"))
     path, ck = scratch_path(spark, "merged"), scratch_path(spark, "ck")
     feeds.merge_feed(feed, path, ck).awaitTermination()
@@ -596,7 +596,7 @@ def stream_merge_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     set lacks comes out."""
     docs = table(spark, sf_dir, "documents")
     existing = tables.labelled_set(spark, sf_dir).select("doc_id").join(docs, "doc_id").select("text", F.col("source").alias("label"))
-    feed = feeds.file_feed(spark, sf_dir, docs.schema, "documents.parquet") \
+    feed = feeds.table_feed(spark, sf_dir, "documents.parquet", docs.schema) \
         .select("text", F.col("source").alias("label"), F.col("doc_id").alias("pos"))
     path, ck = scratch_path(spark, "merged"), scratch_path(spark, "ck")
     feeds.merge_keyed_feed(feed, path, ck, existing).awaitTermination()

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rules as R
 from ..operators.dedup import first_by_key
-from ..session import ensure_shipped, path_exists
+from ..session import ensure_shipped, is_folder, path_exists
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,6 +37,14 @@ def file_feed(spark: SparkSession, folder: str, schema, file_glob: str | None =
     return r.parquet(folder)
 
 
+def table_feed(spark: SparkSession, folder: str, name: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The parquet table ``name`` of ``folder`` as a feed: one file, or a folder of files."""
+    path = os.path.join(folder, name)
+    if is_folder(spark, path):
+        return file_feed(spark, path, schema, max_files_per_trigger=max_files_per_trigger)
+    return file_feed(spark, folder, schema, name, max_files_per_trigger)
+
+
 def validate_texts(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """FL-6: a text of at least one character is valid; the rest are rejects."""
     ok = F.coalesce(F.length(text_col), F.lit(0)) >= 1
