@@ -14,7 +14,14 @@ task; here it stays a table:
    the text really contains gives its label; long texts with many candidates are passed
    once through an automaton of their own candidates instead.
 
-Nothing is collected; sides are broadcast only below ``BROADCAST_ROWS`` counted rows.
+Keywords of up to ``LONGEST`` characters need no candidates: a text's substrings of the
+keywords' lengths are hashed in Arrow batches, those whose hash a bitmap of the keywords
+does not have are dropped there, and the rest meet the keywords in an equi-join on the
+hash. The least rule number of a text is its answer once the text is seen to contain the
+keyword; the few texts where two hashes fell together go through steps 1 to 3.
+
+Nothing is collected but the bitmap, of bounded size; sides are broadcast only below
+``BROADCAST_ROWS`` counted rows.
 """
 
 from __future__ import annotations
@@ -22,17 +29,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .rank import bounded_broadcast
+from ..session import cut_lineage, ensure_shipped
+from .rank import bounded_broadcast, dense_sequence
 
 PIECES = (8, 4, 2, 1)
 BROADCAST_ROWS = 1 << 20
 #: Characters times candidates from which a text gets an automaton.
 SCAN_LIMIT = 1 << 24
+#: Characters of the keywords that are looked for by the hash of the whole keyword.
+LONGEST = 64
+#: Lengths at which a longer keyword's beginning must be known, too.
+STEPS = (4, 8, 16)
+#: Bits of the bitmap, for a keyword and at most.
+BITS_A_KEYWORD, MOST_BITS = 32, 1 << 29
+#: Characters whose hashes a task holds at a time (or one text).
+SLICE_CHARS = 1 << 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pieces(text: Column, q: int) -> Column:
@@ -89,26 +107,177 @@ def _first_contained(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator
         yield pd.Series([first(t, k) for t, k in zip(texts, lists, strict=True)], dtype="Int32")
 
 
-def match_dictionary(df: DataFrame, rules_df: DataFrame, text_col: str = "text", lower_keywords: bool = True) -> DataFrame:
-    """``df`` with ``rule_label``: the label of the first rule, by (priority, label), one of
-    whose keywords the lower-cased text contains. Null if none does, or the text is null.
-    An empty keyword is in every text; a null one in none."""
-    words = cut_lineage(dictionary(rules_df, lower_keywords))  # read several times below
-    names = [c for c in df.columns if c != "rule_label"]
-    texts = df.withColumn("__text", F.lower(F.col(text_col))).withColumn("__key", F.unhex(F.md5("__text")))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return _mix(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1))
+
+
+def _hashes(codes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of the rising ``sizes`` the hashes of all so many characters in a row."""
+    rolled = codes
+    for q in range(1, sizes[-1] + 1):
+        if q > 1:
+            if len(codes) < q:
+                return
+            rolled = rolled[:-1] * BASE + codes[q - 1:]
+        if q in sizes:
+            yield q, _mix(rolled + np.uint64(q))
+
+
+def _slices(texts: list[str]) -> Iterator[list[int]]:
+    """Places of texts of about ``SLICE_CHARS`` characters; empty and null ones are left out."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        if held and size + len(text) > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(text)
+    if held:
+        yield held
+
+
+def _word_hashes(words: list[str], steps: tuple = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words' hashes, and those of the beginnings of ``steps`` characters of longer ones."""
+    lengths = np.array([len(w) for w in words])
+    starts = np.cumsum(lengths) - lengths
+    whole, parts = np.zeros(len(words), np.uint64), []
+    for q, h in _hashes(_codes(words), sorted({*lengths.tolist(), *steps})):
+        own = np.flatnonzero(lengths == q)
+        whole[own] = h[starts[own]]
+        if q in steps:
+            parts.append(h[starts[lengths > q]])
+    return whole, parts
+
+
+def _keyword_hashes(words: DataFrame) -> DataFrame:
+    """``(id, hash)`` of the keywords."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes, _ = _word_hashes(batch.column("keyword").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(hashes.view(np.int64))], names=["id", "hash"])
+
+    return words.select("id", "keyword").mapInArrow(run, "id long, hash long")
+
+
+def _known(words: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of the hashes of the keywords and of their beginnings of ``STEPS`` characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            if batch.num_rows:
+                whole, parts = _word_hashes(batch.column("keyword").to_pylist(), STEPS)
+                at = np.concatenate([whole, *parts]) & np.uint64(bits - 1)
+                np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([bitmap.tobytes()], pa.binary())], names=["bitmap"])
+
+    few = words.select("keyword").coalesce(max(1, words.sparkSession.sparkContext.defaultParallelism))
+    return few.mapInArrow(run, "bitmap binary").rdd.map(lambda r: np.frombuffer(r["bitmap"], np.uint8)).treeReduce(np.bitwise_or)
+
+
+def _hash_hits(texts: DataFrame, known: np.ndarray, lengths: list[int]) -> DataFrame:
+    """``(key, hash)``: the hashes of a text's substrings that the bitmap has, once each."""
+    held = texts.sparkSession.sparkContext.broadcast(known)
+    sizes = sorted({*lengths, *(q for q in STEPS if q < lengths[-1])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = held.value
+        mask = np.uint64(len(bitmap) * 8 - 1)
+        for batch in batches:
+            words, keys = batch.column("__text").to_pylist(), batch.column("__key")
+            for places in _slices(words):
+                part = [words[i] for i in places]
+                codes = _codes(part)
+                owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(t) for t in part])
+                left = np.concatenate([np.arange(len(t), 0, -1, dtype=np.int32) for t in part])  # characters to the text's end
+                alive = None  # places whose beginning is one of a keyword; None: all
+                found, whose = [], []
+                for q, h in _hashes(codes, sizes):
+                    at = np.flatnonzero(left[: len(h)] >= q) if alive is None else alive[left[alive] >= q]
+                    got = h[at]
+                    bit = got & mask
+                    has = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+                    if q in lengths:
+                        found.append(got[has])
+                        whose.append(owner[at[has]])
+                    if q in STEPS:
+                        alive = at[has]
+                        if not len(alive):
+                            break
+                got, own = np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(whose or [np.zeros(0, np.int32)])
+                if not len(got):
+                    continue
+                order = np.lexsort((got, own))
+                got, own = got[order], own[order]
+                first = np.concatenate(([True], (got[1:] != got[:-1]) | (own[1:] != own[:-1])))
+                got, own = got[first], own[first]
+                for at in range(0, len(got), SLICE_CHARS):
+                    rows = pa.array(np.array(places)[own[at : at + SLICE_CHARS]])
+                    yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(got[at : at + SLICE_CHARS].view(np.int64))], names=["key", "hash"])
+
+    return texts.select("__text", "__key").mapInArrow(run, "key binary, hash long")
+
+
+def _first_by_hash(texts: DataFrame, words: DataFrame, lengths: list[int], n: int) -> DataFrame:
+    """``(__key, __word, __first)``: by hash, the first rule of ``words`` that a text contains."""
+    numbered = cut_lineage(dense_sequence(words.select("rule.priority", "rule.label", "keyword", "rule"), ["priority", "label", "keyword"]))
+    known = _known(numbered, 1 << min(MOST_BITS.bit_length() - 1, max(20, (n * BITS_A_KEYWORD).bit_length())))
+    own = bounded_broadcast(cut_lineage(_keyword_hashes(numbered)), BROADCAST_ROWS)
+    found = _hash_hits(texts.filter("__text <> ''"), known, lengths).join(own, "hash").groupBy("key").agg(F.min("id").alias("id"))
+    return cut_lineage(found.join(bounded_broadcast(numbered, BROADCAST_ROWS), "id")
+                       .select(F.col("key").alias("__key"), F.col("keyword").alias("__word"), F.col("rule").alias("__first")))
+
+
+def _first_by_pieces(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """``texts`` with ``__rule``, the first rule of ``words`` that a text contains."""
+    kept = [c for c in texts.columns]
+    kind = words.schema["rule"].dataType
     look = anchors(texts, words)
     sizes = [r["q"] for r in look.select("q").distinct().collect()]  # of PIECES
     always = words.filter("keyword = ''").select("rule").first()  # one row at most
-    held = F.struct(F.lit(always["rule"]["priority"]).alias("priority"), F.lit(always["rule"]["label"]).alias("label")) if always else None
+    held = F.lit(None).cast(kind)
+    if always:
+        held = F.when(F.col("__text").isNotNull(), F.struct(*[F.lit(always["rule"][f.name]).cast(f.dataType).alias(f.name) for f in kind.fields]))
     if not sizes:
-        label = F.when(F.col("__text").isNotNull(), F.lit(always["rule"]["label"])) if always else F.lit(None).cast("string")
-        return texts.withColumn("rule_label", label).select(*names, "rule_label")
+        return texts.withColumn("__rule", held)
     hits = all_pieces(texts, "__text", sizes, "__key").join(bounded_broadcast(look, BROADCAST_ROWS), ["q", "piece"]) \
         .select("__key", "rule", "keyword").distinct()
     lists = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("rule", "keyword"))).alias("__rules"))
     joined = texts.join(lists, "__key", "left")
     place = F.pandas_udf(_first_contained, "int")(F.col("__text"), F.transform("__rules", lambda r: r["keyword"]))
     rule = F.get(F.col("__rules"), F.col("__place"))["rule"]
-    if held is not None:
-        rule = F.when(F.col("__text").isNotNull(), F.least(F.coalesce(rule, held), held))
-    return joined.withColumn("__place", place).withColumn("rule_label", rule["label"]).select(*names, "rule_label")
+    return joined.withColumn("__place", place).select(*kept, F.least(rule, held).alias("__rule"))
+
+
+def match_dictionary(df: DataFrame, rules_df: DataFrame, text_col: str = "text", lower_keywords: bool = True) -> DataFrame:
+    """``df`` with ``rule_label``: the label of the first rule, by (priority, label), one of
+    whose keywords the lower-cased text contains. Null if none does, or the text is null.
+    An empty keyword is in every text; a null one in none."""
+    ensure_shipped(df.sparkSession)
+    words = cut_lineage(dictionary(rules_df, lower_keywords))  # read several times below
+    names = [c for c in df.columns if c != "rule_label"]
+    texts = df.withColumn("__text", F.lower(F.col(text_col))).withColumn("__key", F.unhex(F.md5("__text")))
+    hashed = words.filter(F.length("keyword").between(1, LONGEST))
+    sizes = hashed.agg(F.sort_array(F.collect_set(F.length("keyword"))).alias("lengths"), F.count(F.lit(1)).alias("n")).first()  # of 1 to LONGEST
+    rest = words.filter((F.length("keyword") < 1) | (F.length("keyword") > LONGEST))
+    if not sizes["n"]:
+        return _first_by_pieces(texts, rest).select(*names, F.col("__rule")["label"].alias("rule_label"))
+    best = _first_by_hash(texts.select("__text", "__key"), hashed, list(sizes["lengths"]), sizes["n"])
+    met = texts.join(best, "__key", "left")
+    sure = F.col("__word").isNull() | (F.instr("__text", F.col("__word")) > 0)
+    columns = [*names, "__text", "__key"]
+    out = met.filter(sure).select(*columns, "__first")
+    other = met.filter(~sure).select(*columns)  # two hashes fell together
+    if not other.isEmpty():
+        out = out.unionByName(_first_by_pieces(other, hashed).withColumnRenamed("__rule", "__first"))
+    if rest.isEmpty():
+        return out.select(*names, F.col("__first")["label"].alias("rule_label"))
+    return _first_by_pieces(out, rest).select(*names, F.least("__first", "__rule")["label"].alias("rule_label"))
