@@ -6,7 +6,7 @@ Flow (one job, the annotator called at most once per cache miss):
 1. prompts + ``cache_key = sha1(text + label_json)`` (PX-12, PX-13);
 2. left join to the cache -> hits; left anti join -> misses;
 3. misses, in the partitions they come in (or ``parallelism`` of them, where a
-   service bounds its callers), go through ``mapInPandas`` where the annotator (user code: a remote model client, a
+   service bounds its callers), go through ``mapInArrow`` where the annotator (user code: a remote model client, a
    local model or rules) runs with bounded retries and exponential back-off;
 4. replies are parsed JVM-side (PX-14..16); a failed call or an unusable reply
    gives OTHER with confidence 0.0 and an error row, and is *not* cached;
@@ -20,11 +20,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from ..session import cut_lineage, ensure_shipped, path_exists
 
+from ..functions.batches import slices
 from ..functions.replies import parse_reply, reply_error, reply_fields
 from .prompt import with_prompts
 
@@ -63,10 +64,12 @@ def call_with_retries(fn: Callable[[str], str], prompt: str, attempts: int = 5,
 
 def _caller(annotator, attempts, wait_min, wait_max):
     def run(batches):
-        for pdf in batches:
-            out = [call_with_retries(annotator, p, attempts, wait_min, wait_max) for p in pdf["prompt"]]
-            yield pd.DataFrame({"cache_key": pdf["cache_key"], "text": pdf["text"],
-                                "reply": [o[0] for o in out], "call_error": [o[1] for o in out]})
+        for batch in batches:
+            for part in slices(batch, batch.column("prompt")):
+                out = [call_with_retries(annotator, p, attempts, wait_min, wait_max) for p in part.column("prompt").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("cache_key"), part.column("text"), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())],
+                    names=["cache_key", "text", "reply", "call_error"])
     return run
 
 
@@ -91,7 +94,7 @@ def annotate(texts: DataFrame, annotator: Callable[[str], str], label_json: str,
     else:
         hits, misses = None, todo
     misses = misses.select("cache_key", "text", "prompt")
-    called = (misses.repartition(parallelism) if parallelism else misses).mapInPandas(
+    called = (misses.repartition(parallelism) if parallelism else misses).mapInArrow(
         _caller(annotator, attempts, wait_min, wait_max),
         "cache_key STRING, text STRING, reply STRING, call_error STRING")
     parsed = called.withColumn("__v", parse_reply("reply"))
