@@ -22,11 +22,14 @@ will do.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from ..functions.batches import by_slices
 from ..session import cut_lineage, ensure_shipped
 
 from .dictionary import BROADCAST_ROWS, all_pieces, anchors
@@ -38,27 +41,35 @@ _BASE = np.uint64(1099511628211)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _fingerprints(text: str | None, k: int, w: int) -> list[int]:
+def _fingerprints(text: str | None, k: int, w: int) -> np.ndarray:
     if not text or len(text) < k:
-        return []
+        return np.zeros(0, np.int64)
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    powers = _BASE ** np.arange(k - 1, -1, -1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        grams = np.lib.stride_tricks.sliding_window_view(codes, k)
-        h = (grams * powers).sum(axis=1, dtype=np.uint64)
-        h = (h ^ (h >> np.uint64(29))) * _MIX
-        h ^= h >> np.uint64(32)
+    h = codes[: len(codes) - k + 1].copy()
+    for i in range(1, k):
+        h *= _BASE
+        h += codes[i : len(codes) - k + 1 + i]
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    h ^= h >> np.uint64(32)
     if len(h) < w:
         sel = np.array([h.min()], dtype=np.uint64)
     else:
         sel = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
-    return np.unique(sel).view(np.int64).tolist()
+    return np.unique(sel).view(np.int64)
 
 
 def fingerprint_udf(k: int = K_GRAM, w: int = WINDOW):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([_fingerprints(t, k, w) for t in texts])
+    kind = pa.list_(pa.int64())
+
+    def lists(texts: list) -> pa.Array:
+        held = [_fingerprints(t, k, w) for t in texts]
+        ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield by_slices(lists, texts, kind)
     return fp
 
 
