@@ -21,10 +21,12 @@ from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_shipped
+from .batches import by_slices
 
 # Fixed value: the split pattern that goes with the public byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -147,29 +149,33 @@ class TokenCounter:
 
     def count(self, text: str | Column) -> Column:
         """PX-9 with exact tokens; null for null."""
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = self.tokens()
             for texts in batches:
-                yield pd.Series([None if t is None else tokens.count(t) for t in texts], dtype="Int64")
-        return F.pandas_udf(run, "long")(_column(text))
+                yield by_slices(lambda part: pa.array([None if t is None else tokens.count(t) for t in part], pa.int64()), texts, pa.int64())
+        return F.arrow_udf(run, "long")(_column(text))
 
     def trim(self, text: str | Column, allowed: int) -> Column:
         """PX-10 with exact tokens: the longest prefix of at most ``allowed`` tokens."""
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = self.tokens()
+
+            def trimmed(t):
+                return t if t is None or 0 < tokens.count(t) <= allowed else t[:Prefixes(tokens, t).longest(allowed)]
+
             for texts in batches:
-                yield pd.Series([t if t is None or 0 < tokens.count(t) <= allowed else t[:Prefixes(tokens, t).longest(allowed)] for t in texts], dtype="object")
-        return F.pandas_udf(run, "string")(_column(text))
+                yield by_slices(lambda part: pa.array([trimmed(t) for t in part], pa.string()), texts, pa.string())
+        return F.arrow_udf(run, "string")(_column(text))
 
     def trim_prompt(self, text: str | Column, system_prompt: str, marker: str, max_context_tokens: int = 8192,
                     output_reserve_tokens: int = 1024, overhead: int = 20) -> Column:
         """PX-11 with exact tokens."""
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             tokens = self.tokens()
             limit = max_context_tokens - output_reserve_tokens - overhead - tokens.count(system_prompt)
             for texts in batches:
-                yield pd.Series([None if t is None else trimmed_prompt(tokens, t, limit, marker) for t in texts], dtype="object")
-        return F.pandas_udf(run, "string")(_column(text))
+                yield by_slices(lambda part: pa.array([None if t is None else trimmed_prompt(tokens, t, limit, marker) for t in part], pa.string()), texts, pa.string())
+        return F.arrow_udf(run, "string")(_column(text))
 
     def fitting(self, lines: str | Column, head: str, tail: str, system_prompt: str, max_context_tokens: int = 8192,
                 output_reserve_tokens: int = 1024, overhead: int = 20) -> Column:
