@@ -80,19 +80,24 @@ def fit_best(train: DataFrame, dev: DataFrame, reg_params=(0.0, 0.01), num_featu
     """
     spark = train.sparkSession
     stages = build_pipeline(num_features, 0.0, max_iter).getStages()
-    features = Pipeline(stages=stages[:-1]).fit(train)
-    x = features.transform(train).select("label_idx", "features").persist()
+    counting = Pipeline(stages=stages[:-2]).fit(train)
+    counted = counting.transform(train).select("label_idx", "tf").persist()  # texts are taken apart once, for IDF and training
+    weights = stages[-2].fit(counted)
+    x = weights.transform(counted).select("label_idx", "features").persist()
     rows, best, best_f1 = [], None, None
     try:
+        x.count()
+        counted.unpersist()
         for rp in reg_params:
             lr = stages[-1].copy({stages[-1].regParam: float(rp)}).fit(x)
-            m = PipelineModel(features.stages + [lr])
+            m = PipelineModel([*counting.stages, weights, lr])
             pred = score(m, dev, keep=("label",)).select(F.col("label").alias("y"), F.col("intent").alias("pred"))
             f1 = macro_scores(pred).first()["f1"]
             rows.append((float(rp), float(f1)))
             if best_f1 is None or f1 > best_f1:
                 best, best_f1 = m, f1
     finally:
+        counted.unpersist()
         x.unpersist()
     return best, spark.createDataFrame(rows, "reg_param DOUBLE, macro_f1 DOUBLE")
 
