@@ -134,12 +134,18 @@ def group_split(df: DataFrame, text_col: str, label_col: str, pos_col: str, seed
     group of 1/n_folds.
     """
     keyed = df.withColumn("norm_text", group_key(text_col))
+    return split_groups(keyed, order_key(seed, "norm_text"), label_col, pos_col, n_folds)
+
+
+def split_groups(keyed: DataFrame, order, label_col: str, pos_col: str, n_folds: int = 5) -> DataFrame:
+    """SP-6 from step 2 on: rows with their group's key in ``norm_text``; ``order`` is the
+    column, made of that key, by which groups are ranked."""
     dedup = first_by_key(keyed, ["norm_text", label_col], pos_col)
     votes = keyed.groupBy("norm_text", label_col).agg(F.count(F.lit(1)).alias("__v"))
     groups = votes.groupBy("norm_text").agg(
         F.min_by(F.col(label_col), F.struct((-F.col("__v")).alias("v"), F.col(label_col).alias("l")))
         .alias("group_label"))
-    groups = groups.withColumn("__ok", order_key(seed, "norm_text"))
+    groups = groups.withColumn("__ok", order)
     ranked = two_phase_rank(groups, "__ok", ("group_label",), "__rank", tiebreak=("norm_text",))
     folds = ranked.select("norm_text", "group_label",
                           F.pmod(F.col("__rank") - 1, F.lit(n_folds)).alias("fold"))

@@ -31,7 +31,7 @@ from ..operators.dedup import clean_questions
 from ..session import table
 from ..sources import tables
 from ..sources.columns import detect_question_column, log_positions
-from .audit import leak_report
+from .audit import leak_report, text_keys
 
 SEED = 42
 
@@ -202,8 +202,9 @@ def exact_overlap_train_dev(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit route: leakage between train and dev, re-split by group, audit again."""
-    s = split.stratified_split(tables.source_labelled(spark, sf_dir), "label", "doc_id", seed=SEED)
-    train, dev = (cut_lineage(s.filter(F.col("split") == name).select(F.col("doc_id").alias("pos"), "text", "label")) for name in ("train", "dev"))
+    keyed = text_keys(tables.source_labelled(spark, sf_dir), SEED)
+    s = cut_lineage(split.stratified_split(keyed, "label", "doc_id", seed=SEED).withColumnRenamed("doc_id", "pos"))
+    train, dev = (s.filter(F.col("split") == name).drop("split") for name in ("train", "dev"))
     return leak_report(train, dev, seed=SEED)
 
 
