@@ -21,12 +21,13 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.feature import (IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_label_id
 from ..session import cut_lineage
-from . import topics
+from . import softmax, topics
 from .evaluate import macro_scores
 
 
@@ -110,9 +111,9 @@ def fit_rounds(train: DataFrame, dev: DataFrame, rounds: int = 20, iterations: i
     of L-BFGS over the whole training set, is scored on ``dev`` and kept if it beats all
     before (ties: the earlier one). After ``patience`` rounds without a better one training
     stops. The classifier is a softmax regression over hashed character unigrams and
-    bigrams, a network without hidden layers, which takes initial weights. Features are
-    made once and read from the shared folder. Returns the best model and the curve
-    ``(round, iterations, loss, macro_f1, best)``."""
+    bigrams, a network without hidden layers, trained on sparse rows (``softmax``).
+    Features are made once and read from the shared folder. Returns the best model and the
+    curve ``(round, iterations, loss, macro_f1, best)``."""
     spark = train.sparkSession
     made = Pipeline(stages=[
         StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error"),
@@ -123,19 +124,22 @@ def fit_rounds(train: DataFrame, dev: DataFrame, rounds: int = 20, iterations: i
         IDF(inputCol="tf", outputCol="weights", minDocFreq=1),
         Normalizer(inputCol="weights", outputCol="features"),
     ]).fit(train)
-    x = cut_lineage(made.transform(train).select("label_idx", "features"))
+    x = softmax.sparse_rows(made.transform(train), num_features)
     held = cut_lineage(made.transform(dev).select(F.col(label_col).alias("y"), "features"))
     labels = list(made.stages[0].labels)
     names = F.array(*[F.lit(v) for v in labels])
-    weights, best, rows, since = None, None, [], 0
+    classes = max(2, len(labels))
+    blank = spark.createDataFrame([(0.0, Vectors.sparse(num_features, {}))], ["label_idx", "features"])
+    # initialWeights=None as ever: Spark then starts from weights of its own, whatever the seed
+    net = MultilayerPerceptronClassifier(layers=[num_features, classes], maxIter=0, seed=seed, solver="l-bfgs", labelCol="label_idx",
+                                         featuresCol="features", initialWeights=None)
+    loss_at = softmax.objective(x, classes)
+    weights, best, rows, since = net.fit(blank).weights.toArray(), None, [], 0  # no steps: the first weights
     for number in range(1, rounds + 1):
-        net = MultilayerPerceptronClassifier(layers=[num_features, max(2, len(labels))], maxIter=iterations, tol=1e-9, seed=seed,
-                                             solver="l-bfgs", labelCol="label_idx", featuresCol="features", initialWeights=weights)
-        fitted = net.fit(x)
-        weights = fitted.weights
+        weights, loss = softmax.minimize(loss_at, weights, iterations, 1e-9)
+        fitted = net.copy({net.initialWeights: Vectors.dense(weights)}).fit(blank)  # no steps: a model with these weights
         pred = fitted.transform(held).select("y", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("pred"))
         f1 = float(macro_scores(pred).first()["f1"] or 0.0)
-        loss = float(fitted.summary().objectiveHistory[-1])
         better = best is None or f1 > best[1]
         rows.append((number, number * iterations, loss, f1))
         best, since = ((fitted, f1, number), 0) if better else (best, since + 1)
