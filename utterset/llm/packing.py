@@ -14,7 +14,6 @@ if that is longer.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,39 +24,18 @@ from .wordops import slices
 
 # Fixed value: the split pattern that goes with the public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Unicode white space. Python's \s also has U+001C to U+001F, which the pattern's has not.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 END = 50256
 #: A public vocabulary file, used by the queries; callers of ``pack`` give their own.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CACHE = 100_000
 SCHEMA = "block long, row int, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, piece_starts array<long>"
 
 
 def encoder(vocabulary: bytes):
-    """``encode(text) -> list of ids``. A run without blanks, with the blank before it, is
-    always cut off from the next by the pattern, so runs are encoded once and remembered."""
+    """``encode(text) -> list of ids``, a whole text in one call."""
     import tiktoken
 
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
-    plain = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    run = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-    known: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        for part in run.findall(text):
-            ids = known.get(part)
-            if ids is None:
-                ids = plain(part)
-                if len(part) < 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[part] = ids
-            out += ids
-        return out
-
-    return encode
+    return tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
