@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import (IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+from pyspark.ml.feature import (IDF, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sanitize_label_id
-from ..session import cut_lineage
 from . import softmax, topics
 from .evaluate import macro_scores
 
@@ -113,41 +112,39 @@ def fit_rounds(train: DataFrame, dev: DataFrame, rounds: int = 20, iterations: i
     before (ties: the earlier one). After ``patience`` rounds without a better one training
     stops. The classifier is a softmax regression over hashed character unigrams and
     bigrams, a network without hidden layers, trained on sparse rows (``softmax``).
-    Features are made once and read from the shared folder. Returns the best model and the
+    Features are counted once in Arrow batches (``grams``) and read from the shared folder;
+    the model has Spark ML's stages for the same ones. Returns the best model and the
     curve ``(round, iterations, loss, macro_f1, best)``."""
     spark = train.sparkSession
-    made = Pipeline(stages=[
-        StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error"),
-        RegexTokenizer(inputCol=text_col, outputCol="chars", pattern="", gaps=True, toLowercase=False, minTokenLength=1),
-        NGram(n=2, inputCol="chars", outputCol="bigrams"),
-        SQLTransformer(statement="SELECT *, concat(chars, bigrams) AS grams FROM __THIS__"),
-        HashingTF(inputCol="grams", outputCol="tf", numFeatures=num_features),
-        IDF(inputCol="tf", outputCol="weights", minDocFreq=1),
-        Normalizer(inputCol="weights", outputCol="features"),
-    ]).fit(train)
-    x = softmax.sparse_rows(made.transform(train), num_features)
-    held = cut_lineage(made.transform(dev).select(F.col(label_col).alias("y"), "features"))
-    labels = list(made.stages[0].labels)
-    names = F.array(*[F.lit(v) for v in labels])
+    indexer = StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="error").fit(train)
+    x = softmax.counted_rows(indexer.transform(train), num_features, "label_idx", text_col)
+    held = softmax.named_rows(dev, num_features, label_col, text_col)
+    idf = softmax.inverse_frequencies(x, num_features)
+    labels = list(indexer.labels)
     classes = max(2, len(labels))
     blank = spark.createDataFrame([(0.0, Vectors.sparse(num_features, {}))], ["label_idx", "features"])
     # initialWeights=None as ever: Spark then starts from weights of its own, whatever the seed
     net = MultilayerPerceptronClassifier(layers=[num_features, classes], maxIter=0, seed=seed, solver="l-bfgs", labelCol="label_idx",
                                          featuresCol="features", initialWeights=None)
-    loss_at = softmax.objective(x, classes)
+    loss_at = softmax.objective(x, classes, softmax.weighed(idf))
     weights, best, rows, since = net.fit(blank).weights.toArray(), None, [], 0  # no steps: the first weights
     for number in range(1, rounds + 1):
         weights, loss = softmax.minimize(loss_at, weights, iterations, 1e-9)
-        fitted = net.copy({net.initialWeights: Vectors.dense(weights)}).fit(blank)  # no steps: a model with these weights
-        pred = fitted.transform(held).select("y", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("pred"))
-        f1 = float(macro_scores(pred).first()["f1"] or 0.0)
+        f1 = float(macro_scores(softmax.predicted(held, weights, labels, softmax.weighed(idf))).first()["f1"] or 0.0)
         better = best is None or f1 > best[1]
         rows.append((number, number * iterations, loss, f1))
-        best, since = ((fitted, f1, number), 0) if better else (best, since + 1)
+        best, since = ((weights, f1, number), 0) if better else (best, since + 1)
         if since >= patience:
             break
+    fitted = net.copy({net.initialWeights: Vectors.dense(best[0])}).fit(blank)  # no steps: a model with these weights
     curve = spark.createDataFrame([(*r, r[0] == best[2]) for r in rows], "round INT, iterations INT, loss DOUBLE, macro_f1 DOUBLE, best BOOLEAN")
-    return PipelineModel([*made.stages, best[0]]), curve
+    stages = [RegexTokenizer(inputCol=text_col, outputCol="chars", pattern="", gaps=True, toLowercase=False, minTokenLength=1),
+              NGram(n=2, inputCol="chars", outputCol="bigrams"),
+              SQLTransformer(statement="SELECT *, concat(chars, bigrams) AS grams FROM __THIS__"),
+              HashingTF(inputCol="grams", outputCol="tf", numFeatures=num_features),
+              ElementwiseProduct(inputCol="tf", outputCol="weights", scalingVec=Vectors.dense(idf)),
+              Normalizer(inputCol="weights", outputCol="features")]
+    return PipelineModel([indexer, *stages, fitted]), curve
 
 
 def model_info(model: PipelineModel, path: str | None = None, max_length: int | None = None) -> DataFrame:

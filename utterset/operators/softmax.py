@@ -14,6 +14,7 @@ Optimization, 2nd edition, algorithms 3.5, 3.6 and 7.4).
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..session import cut_lineage, ensure_shipped
+from .grams import counted
 
 #: Rows that are one term of the mean together.
 BLOCK = 128
@@ -32,17 +35,26 @@ ENTRIES = 1 << 18
 #: Steps of a line search, of its narrowing, and the two Wolfe constants.
 SEARCHES, ZOOMS, DECREASE, CURVATURE = 10, 10, 1e-4, 0.9
 Point = tuple[float, float, float]
+#: Features and values of some rows, whose numbers of entries are given.
+Entries = Callable[[pa.RecordBatch, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 class StepError(ArithmeticError):
     """No step along the direction lowers the loss enough."""
 
 
+def _in_blocks(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """``(label, share, n, at, value)`` of a partition's rows, ``BLOCK`` of them at a time."""
+    while held := list(itertools.islice(rows, BLOCK)):
+        label, n, at, value = zip(*held, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([1.0 / len(held)] * len(held)), pa.array(n, pa.int32()),
+                                          pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["label", "share", "n", "at", "value"])
+
+
 def sparse_rows(x: DataFrame, num_features: int, label_col: str = "label_idx", features_col: str = "features") -> DataFrame:
     """``(label, share, n, at, value)``: a row's class, its share in the mean of its block, and
     its ``n`` non-zero entries as little-endian int32 and float64. ``features`` are sparse vectors."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             label, vectors = batch.column(0).to_numpy().astype(np.int32), batch.column(1)
             entries = [vectors.field(vectors.type.get_field_index(name)) for name in ("type", "indices", "values")]
@@ -50,24 +62,103 @@ def sparse_rows(x: DataFrame, num_features: int, label_col: str = "label_idx", f
                 kind, at, value = (c[i] for c in entries)
                 value = value.values.to_numpy()
                 at = at.values.to_numpy() if kind.as_py() == 0 else np.arange(num_features)
-                held.append((label[i], len(value), at.astype("<i4").tobytes(), value.astype("<f8").tobytes()))
-                if len(held) == BLOCK:
-                    yield block(held)
-                    held = []
-        if held:
-            yield block(held)
-
-    def block(held: list[tuple]) -> pa.RecordBatch:
-        label, n, at, value = zip(*held, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array([1.0 / len(held)] * len(held)), pa.array(n, pa.int32()),
-                                           pa.array(at, pa.binary()), pa.array(value, pa.binary())], names=["label", "share", "n", "at", "value"])
+                yield label[i], len(value), at.astype("<i4").tobytes(), value.astype("<f8").tobytes()
 
     ensure_shipped(x.sparkSession)
-    return cut_lineage(x.select(label_col, features_col).mapInArrow(run, "label int, share double, n int, at binary, value binary"))
+    return cut_lineage(x.select(label_col, features_col).mapInArrow(lambda batches: _in_blocks(rows(batches)), "label int, share double, n int, at binary, value binary"))
+
+
+def _place_type(num_features: int) -> str:
+    return "<u2" if num_features <= 1 << 16 else "<i4"
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch], num_features: int) -> Iterator[tuple]:
+    kind = _place_type(num_features)
+    for batch in batches:
+        for part in slices(batch, batch.column("text")):
+            own = part.column(0).to_pylist()
+            for first, n, at, count in counted(part.column("text").to_pylist(), num_features):
+                at, count, ends = at.astype(kind), count.astype("<u4"), np.cumsum(n).tolist()
+                for i, (a, b) in enumerate(zip([0, *ends], ends)):
+                    yield own[first + i], b - a, at[a:b].tobytes(), count[a:b].tobytes()
+
+
+def counted_rows(x: DataFrame, num_features: int, label_col: str = "label_idx", text_col: str = "text") -> DataFrame:
+    """As ``sparse_rows``, of the counts of texts' hashed grams (``grams``): 6 bytes an entry up to 65,536 features."""
+    ensure_shipped(x.sparkSession)
+    held = x.select(F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
+    return cut_lineage(held.mapInArrow(lambda batches: _in_blocks(_gram_rows(batches, num_features)), "label int, share double, n int, at binary, value binary"))
+
+
+def named_rows(x: DataFrame, num_features: int, label_col: str, text_col: str = "text") -> DataFrame:
+    """``(y, n, at, value)``: as ``counted_rows``, with the label itself and no share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _gram_rows(batches, num_features)
+        while held := list(itertools.islice(rows, BLOCK)):
+            y, n, at, value = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.string()), pa.array(n, pa.int32()), pa.array(at, pa.binary()), pa.array(value, pa.binary())],
+                                             names=["y", "n", "at", "value"])
+
+    ensure_shipped(x.sparkSession)
+    return cut_lineage(x.select(F.col(label_col).cast("string").alias("y"), F.col(text_col).alias("text")).mapInArrow(run, "y string, n int, at binary, value binary"))
+
+
+def inverse_frequencies(rows: DataFrame, num_features: int) -> np.ndarray:
+    """Spark ML's IDF of ``counted_rows``; one sum a core."""
+    kind = _place_type(num_features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, holders = 0, np.zeros(num_features, np.int64)
+        for batch in batches:
+            documents += batch.num_rows
+            holders += np.bincount(_bytes(batch.column("at"), kind), minlength=num_features)
+        yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([holders.tobytes()], pa.binary())], names=["documents", "holders"])
+
+    sums = rows.select("at").coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "documents long, holders binary").collect()
+    documents, holders = sum(r["documents"] for r in sums), sum((np.frombuffer(r["holders"], np.int64) for r in sums), np.zeros(num_features, np.int64))
+    return np.where(holders > 0, np.log((documents + 1.0) / (holders + 1.0)), 0.0)
 
 
 def _bytes(column: pa.Array, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    """The values of binary strings in a row, without a copy."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, kind, (int(ends[-1]) - int(ends[0])) // np.dtype(kind).itemsize, int(ends[0])) if len(column) and data else np.zeros(0, kind)
+
+
+def _plain(batch: pa.RecordBatch, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features and values of rows as ``sparse_rows`` writes them."""
+    return _bytes(batch.column("at"), "<i4"), _bytes(batch.column("value"), "<f8")
+
+
+def weighed(idf: np.ndarray) -> Entries:
+    """Features and values of ``counted_rows``: counts times ``idf``, each row of unit length."""
+    kind = _place_type(len(idf))
+
+    def entries(batch: pa.RecordBatch, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = _bytes(batch.column("at"), kind)
+        value = _bytes(batch.column("value"), "<u4") * idf[at]
+        length = np.sqrt(_row_sums(value * value, n))
+        return at, value / np.repeat(np.where(length > 0, length, 1.0), n)
+
+    return entries
+
+
+def _row_sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of ``n`` values in a row each."""
+    out, some = np.zeros(len(n)), n > 0
+    if len(x):
+        out[some] = np.add.reduceat(x, (np.cumsum(n) - n)[some])
+    return out
+
+
+def _scores(n: np.ndarray, at: np.ndarray, value: np.ndarray, weights: np.ndarray, classes: int) -> np.ndarray:
+    """Each row's scores, less that of the last class without its intercept, which changes no probability."""
+    w, intercept = weights[:-classes].reshape(-1, classes), weights[-classes:]
+    scores = np.tile(intercept, (len(n), 1))
+    for k in range(classes - 1):
+        scores[:, k] += _row_sums(value * (w[:, k] - w[:, -1])[at], n)
+    return scores
 
 
 def loss_and_gradient(label: np.ndarray, share: np.ndarray, n: np.ndarray, at: np.ndarray, value: np.ndarray,
@@ -75,20 +166,45 @@ def loss_and_gradient(label: np.ndarray, share: np.ndarray, n: np.ndarray, at: n
     """Sums over some rows. The weights are those of a dense layer: a column of ``classes`` for
     each feature, then the intercepts."""
     width = len(weights) // classes - 1
-    w, intercept = weights[:-classes].reshape(width, classes), weights[-classes:]
-    row = np.repeat(np.arange(len(n)), n)
-    scores = np.stack([np.bincount(row, value * w[at, k], len(n)) for k in range(classes)], axis=1) + intercept
+    scores = _scores(n, at, value, weights, classes)
     scores -= scores.max(axis=1, keepdims=True)
     total = np.log(np.exp(scores).sum(axis=1))
     loss = float((share * (total - scores[np.arange(len(n)), label])).sum())
     error = np.exp(scores - total[:, None])
     error[np.arange(len(n)), label] -= 1.0
     error *= share[:, None]
-    out = np.stack([np.bincount(at, value * error[row, k], width) for k in range(classes)], axis=1)
+    out = np.zeros((width, classes))
+    for k in range(classes - 1):
+        out[:, k] = np.bincount(at, value * np.repeat(error[:, k], n), width)
+    out[:, -1] = -out.sum(axis=1)  # a row's errors add up to 0
     return loss, np.concatenate((out.ravel(), error.sum(axis=0)))
 
 
-def objective(rows: DataFrame, classes: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``ENTRIES`` entries (or one row)."""
+    part = (np.cumsum(batch.column("n").to_numpy().astype(np.int64)) - 1).clip(0) // ENTRIES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def predicted(rows: DataFrame, weights: np.ndarray, labels: list[str], entries: Entries) -> DataFrame:
+    """``(y, pred)`` of ``named_rows``."""
+    classes = max(2, len(labels))
+    held = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch):
+                n = some.column("n").to_numpy()
+                best = _scores(n, *entries(some, n), held.value, classes).argmax(axis=1).tolist()
+                yield pa.RecordBatch.from_arrays([some.column("y"), pa.array([labels[k] if k < len(labels) else None for k in best], pa.string())], names=["y", "pred"])
+
+    return rows.mapInArrow(run, "y string, pred string")
+
+
+def objective(rows: DataFrame, classes: int, entries: Entries = _plain) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
     """The mean loss and its gradient at given weights; one job each, one sum a core."""
     spark = rows.sparkSession
     blocks = rows.agg(F.sum("share")).first()[0] or 0.0
@@ -100,14 +216,9 @@ def objective(rows: DataFrame, classes: int) -> Callable[[np.ndarray], tuple[flo
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss, gradient = 0.0, np.zeros(len(held.value))
             for batch in batches:
-                part = (np.cumsum(batch.column("n").to_numpy().astype(np.int64)) - 1).clip(0) // ENTRIES
-                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
-                for a, b in zip(cuts, cuts[1:]):
-                    some = batch.slice(a, b - a)
-                    if not some.num_rows:
-                        continue
+                for some in _parts(batch):
                     label, share, n = (some.column(c).to_numpy() for c in ("label", "share", "n"))
-                    more, slope = loss_and_gradient(label, share, n, _bytes(some.column("at"), "<i4"), _bytes(some.column("value"), "<f8"), held.value, classes)
+                    more, slope = loss_and_gradient(label, share, n, *entries(some, n), held.value, classes)
                     loss, gradient = loss + more, gradient + slope
             yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.tobytes()], pa.binary())], names=["loss", "gradient"])
 
