@@ -15,13 +15,16 @@ task; here it stays a table:
    once through an automaton of their own candidates instead.
 
 Keywords of up to ``LONGEST`` characters need no candidates: a text's substrings of the
-keywords' lengths are hashed in Arrow batches, those whose hash a bitmap of the keywords
-does not have are dropped there, and the rest meet the keywords in an equi-join on the
-hash. The least rule number of a text is its answer once the text is seen to contain the
-keyword; the few texts where two hashes fell together go through steps 1 to 3.
-
-Nothing is collected but the bitmap, of bounded size; sides are broadcast only below
-``BROADCAST_ROWS`` counted rows.
+keywords' lengths are hashed in Arrow batches, and those whose hash a bitmap of the keywords
+does not have are dropped there. A table of slots has, for each part of the hashes, the first
+rule there and its hash: so a task knows the numbers of most of the rules that a text
+contains, and keeps the least. Only hashes whose slot's first rule is another one, and before
+that least, meet the keywords in an equi-join on the hash. The least rule number of a text is
+its answer once the text is seen to contain the keyword; the few texts where two hashes fell
+together go through steps 1 to 3.
+
+Nothing is collected but the bitmap and the slots, of bounded size; sides are broadcast only
+below ``BROADCAST_ROWS`` counted rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import slices
 from ..session import cut_lineage, ensure_shipped
 from .rank import bounded_broadcast, dense_sequence
 
@@ -45,11 +49,15 @@ SCAN_LIMIT = 1 << 24
 #: Characters of the keywords that are looked for by the hash of the whole keyword.
 LONGEST = 64
 #: Lengths at which a longer keyword's beginning must be known, too.
-STEPS = (4, 8, 16)
+STEPS = (3, 4, 6, 8, 12, 16, 24, 32)
 #: Bits of the bitmap, for a keyword and at most.
 BITS_A_KEYWORD, MOST_BITS = 32, 1 << 29
+#: Slots of first rules (12 bytes each), for a keyword and at most.
+SLOTS_A_KEYWORD, MOST_SLOTS = 4, 1 << 23
 #: Characters whose hashes a task holds at a time (or one text).
 SLICE_CHARS = 1 << 20
+#: Distinct words that a task holds before it passes them on.
+HELD_WORDS = 1 << 17
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,6 +72,29 @@ def all_pieces(df: DataFrame, text: str, sizes: list[int], *keep: str) -> DataFr
     return reduce(DataFrame.unionByName, parts)
 
 
+def distinct_words(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``(keyword)``: the texts' distinct words between blanks, tabs and line feeds, in lower case."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
+
+        def flushed() -> pa.RecordBatch:
+            held.discard("")
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string())], names=["keyword"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for part in slices(batch, batch.column(0)):
+                for value in part.column(0).to_pylist():
+                    held.update((value or "").replace("\t", " ").replace("\n", " ").split(" "))
+                    if len(held) > HELD_WORDS:
+                        yield flushed()
+        yield flushed()
+
+    ensure_shipped(texts.sparkSession)
+    return texts.select(F.lower(text).alias("text")).mapInArrow(run, "keyword string").distinct()
+
+
 def dictionary(rules_df: DataFrame, lower_keywords: bool = True) -> DataFrame:
     """``(keyword, rule)``: each keyword once, with its first rule (priority, label)."""
     keyword = F.lower("keyword") if lower_keywords else F.col("keyword")
@@ -176,62 +207,104 @@ def _known(words: DataFrame, bits: int) -> np.ndarray:
             if batch.num_rows:
                 whole, parts = _word_hashes(batch.column("keyword").to_pylist(), STEPS)
                 at = np.concatenate([whole, *parts]) & np.uint64(bits - 1)
-                np.bitwise_or.at(bitmap, (at >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+                low, place = at & np.uint64(7), (at >> np.uint64(3)).astype(np.int64)
+                for bit in range(8):
+                    own = place[low == bit]
+                    bitmap[own] |= np.uint8(1 << bit)
         yield pa.RecordBatch.from_arrays([pa.array([bitmap.tobytes()], pa.binary())], names=["bitmap"])
 
     few = words.select("keyword").coalesce(max(1, words.sparkSession.sparkContext.defaultParallelism))
     return few.mapInArrow(run, "bitmap binary").rdd.map(lambda r: np.frombuffer(r["bitmap"], np.uint8)).treeReduce(np.bitwise_or)
 
 
-def _hash_hits(texts: DataFrame, known: np.ndarray, lengths: list[int]) -> DataFrame:
-    """``(key, hash)``: the hashes of a text's substrings that the bitmap has, once each."""
-    held = texts.sparkSession.sparkContext.broadcast(known)
-    sizes = sorted({*lengths, *(q for q in STEPS if q < lengths[-1])})
+def _first_rules(own: DataFrame, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each slot (the uppermost bits of a hash) the least id of ``own`` there, 0 if there is none, and its hash."""
+    slot = F.shiftrightunsigned("hash", 65 - slots.bit_length())
+    rows = own.groupBy(slot.alias("slot")).agg(F.min("id").alias("id"), F.min_by("hash", "id").alias("hash")).toArrow()
+    ids, hashes = np.zeros(slots, np.uint32 if len(rows) == 0 or rows.column("id").to_numpy().max() < 1 << 32 else np.uint64), np.zeros(slots, np.uint64)
+    place = rows.column("slot").to_numpy()
+    ids[place], hashes[place] = rows.column("id").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+    return ids, hashes
+
+
+def _found(codes: np.ndarray, left: np.ndarray, bitmap: np.ndarray, lengths: set[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(at, hash)``: places where so many characters in a row, of one of ``lengths``, have a hash that the
+    bitmap has. ``left`` are the characters to the text's end."""
+    mask, alive, rolled = np.uint64(len(bitmap) * 8 - 1), np.arange(len(codes), dtype=np.int32), codes
+    for q in range(1, max(lengths) + 1):  # alive: places whose beginnings are those of a keyword
+        if q > 1:
+            keep = np.flatnonzero(left[alive] >= q)
+            alive = alive[keep]
+            rolled = rolled[keep] * BASE + codes[alive + (q - 1)]
+        if not len(alive):
+            return
+        if q not in lengths and q not in STEPS:
+            continue
+        got = _mix(rolled + np.uint64(q))
+        bit = got & mask
+        has = np.flatnonzero((bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
+        if q in lengths:
+            yield alive[has], got[has]
+        if q in STEPS:
+            alive, rolled = alive[has], rolled[has]
+
+
+def _hash_hits(texts: DataFrame, known: np.ndarray, first: tuple[np.ndarray, np.ndarray], lengths: list[int]) -> DataFrame:
+    """``(key, id, hash)``: of a text's substrings that the bitmap has, the least rule that the slots
+    tell, and (with no id) the hashes, once each, that may have one before it."""
+    held = texts.sparkSession.sparkContext.broadcast((known, *first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
-        mask = np.uint64(len(bitmap) * 8 - 1)
+        bitmap, ids, hashes = held.value
+        shift, wanted, none = np.uint64(65 - len(ids).bit_length()), set(lengths), np.iinfo(np.int64).max
         for batch in batches:
             words, keys = batch.column("__text").to_pylist(), batch.column("__key")
             for places in _slices(words):
                 part = [words[i] for i in places]
-                codes = _codes(part)
-                owner = np.repeat(np.arange(len(part), dtype=np.int32), [len(t) for t in part])
-                left = np.concatenate([np.arange(len(t), 0, -1, dtype=np.int32) for t in part])  # characters to the text's end
-                alive = None  # places whose beginning is one of a keyword; None: all
-                found, whose = [], []
-                for q, h in _hashes(codes, sizes):
-                    at = np.flatnonzero(left[: len(h)] >= q) if alive is None else alive[left[alive] >= q]
-                    got = h[at]
-                    bit = got & mask
-                    has = (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-                    if q in lengths:
-                        found.append(got[has])
-                        whose.append(owner[at[has]])
-                    if q in STEPS:
-                        alive = at[has]
-                        if not len(alive):
-                            break
-                got, own = np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(whose or [np.zeros(0, np.int32)])
-                if not len(got):
+                size = np.array([len(t) for t in part])
+                owner = np.repeat(np.arange(len(part), dtype=np.int32), size)
+                left = (np.repeat(np.cumsum(size), size) - np.arange(size.sum())).astype(np.int32)
+                best = np.full(len(part), none, np.int64)
+                other, whose, least = [], [], []
+                for at, got in _found(_codes(part), left, bitmap, wanted):
+                    slot = (got >> shift).astype(np.int64)
+                    id_, own = ids[slot].astype(np.int64), owner[at]
+                    sure = hashes[slot] == got
+                    known_ = np.flatnonzero(sure & (id_ > 0))
+                    np.minimum.at(best, own[known_], id_[known_])
+                    rest = np.flatnonzero(~sure & (id_ > 0))  # an empty slot has no keyword
+                    rest = rest[id_[rest] < best[own[rest]]]
+                    other.append(got[rest])
+                    whose.append(own[rest])
+                    least.append(id_[rest])
+                rows = np.flatnonzero(best < none)
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.array(places)[rows])), pa.array(best[rows]), pa.nulls(len(rows), pa.int64())], names=["key", "id", "hash"])
+                if not other:
                     continue
+                got, own, least = np.concatenate(other), np.concatenate(whose), np.concatenate(least)
+                rest = np.flatnonzero(least < best[own])
+                got, own = got[rest], own[rest]
                 order = np.lexsort((got, own))
                 got, own = got[order], own[order]
-                first = np.concatenate(([True], (got[1:] != got[:-1]) | (own[1:] != own[:-1])))
-                got, own = got[first], own[first]
+                once = np.concatenate(([True], (got[1:] != got[:-1]) | (own[1:] != own[:-1])))[:len(got)]
+                got, own = got[once], own[once]
                 for at in range(0, len(got), SLICE_CHARS):
                     rows = pa.array(np.array(places)[own[at : at + SLICE_CHARS]])
-                    yield pa.RecordBatch.from_arrays([keys.take(rows), pa.array(got[at : at + SLICE_CHARS].view(np.int64))], names=["key", "hash"])
+                    yield pa.RecordBatch.from_arrays([keys.take(rows), pa.nulls(len(rows), pa.int64()), pa.array(got[at : at + SLICE_CHARS].view(np.int64))], names=["key", "id", "hash"])
 
-    return texts.select("__text", "__key").mapInArrow(run, "key binary, hash long")
+    return texts.select("__text", "__key").mapInArrow(run, "key binary, id long, hash long")
 
 
 def _first_by_hash(texts: DataFrame, words: DataFrame, lengths: list[int], n: int) -> DataFrame:
     """``(__key, __word, __first)``: by hash, the first rule of ``words`` that a text contains."""
     numbered = cut_lineage(dense_sequence(words.select("rule.priority", "rule.label", "keyword", "rule"), ["priority", "label", "keyword"]))
     known = _known(numbered, 1 << min(MOST_BITS.bit_length() - 1, max(20, (n * BITS_A_KEYWORD).bit_length())))
-    own = bounded_broadcast(cut_lineage(_keyword_hashes(numbered)), BROADCAST_ROWS)
-    found = _hash_hits(texts.filter("__text <> ''"), known, lengths).join(own, "hash").groupBy("key").agg(F.min("id").alias("id"))
+    own = cut_lineage(_keyword_hashes(numbered))
+    first = _first_rules(own, 1 << min(MOST_SLOTS.bit_length() - 1, max(10, (n * SLOTS_A_KEYWORD).bit_length())))
+    hits = cut_lineage(_hash_hits(texts.filter("__text <> ''"), known, first, lengths))
+    open_ = hits.filter("id IS NULL").select("key", "hash").join(bounded_broadcast(own, BROADCAST_ROWS), "hash").select("key", "id")
+    found = hits.filter("id IS NOT NULL").select("key", "id").unionByName(open_).groupBy("key").agg(F.min("id").alias("id"))
     return cut_lineage(found.join(bounded_broadcast(numbered, BROADCAST_ROWS), "id")
                        .select(F.col("key").alias("__key"), F.col("keyword").alias("__word"), F.col("rule").alias("__first")))
 

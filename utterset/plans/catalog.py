@@ -93,7 +93,7 @@ def rule_word_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-8 with a dictionary that grows with the corpus: every distinct word of
     ``documents`` is a keyword; the longest one that a document contains gives its label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[^ \\t\\n]+"), F.lit(0))).alias("keyword")).distinct()
+    words = dictionary.distinct_words(docs)
     rule = words.select((-F.length("keyword")).alias("priority"), "keyword", F.concat(F.lit("HAS_"), "keyword").alias("label"))
     return dictionary.match_dictionary(docs, rule).select("doc_id", "rule_label")
 
